@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe_matrix, media, packing, token_files
+from paperloom.llm import bpe_matrix, line_dedup, media, packing, token_files, url_reputation
 from paperloom.llm.shared import new_path, written
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -25,10 +25,20 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_digests(spark, path)
 
 
+def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("quality = 0 OR toxic = 1").alias("bad"))
+    return url_reputation.verdicts(table(spark, sf_dir, "pages"), outcomes)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=2, length=1024)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_exact").alias("n_exact"), F.col("_near").alias("n_near"), F.md5("text").alias("text_md5"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(media.with_media(table(spark, sf_dir, "documents")), "media")
     return media.fingerprints(stored).withColumn("feature", F.concat_ws(":", F.size("landmarks"), F.hex(F.xxhash64("landmarks")))).drop("landmarks")
@@ -40,6 +50,6 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_matrix.digest(bpe_matrix.decode(encoded, path, public_tokenizers.PATTERN))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op3_best_fit_packing, op7_media_columns, op10_byte_level_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_url_reputation, op3_best_fit_packing, op4_line_dedup, op7_media_columns, op10_byte_level_bpe)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_url_reputation": url_reputation.oracle(), "op4_line_dedup": line_dedup.oracle()}
