@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe_matrix, line_dedup, media, packing, token_files, url_reputation
-from paperloom.llm.shared import new_path, written
+from paperloom.llm import bpe_matrix, language_id, line_dedup, media, packing, quality_knn, token_files, topk_pivot, url_reputation
+from paperloom.llm.shared import crc_rest, new_path, written
 
 BYTE_BPE = "byte_bpe_50k.json"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -39,17 +39,35 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_exact").alias("n_exact"), F.col("_near").alias("n_near"), F.md5("text").alias("text_md5"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.fit(docs, crc_rest("doc_id", 4) != 2)
+    own = docs.select("doc_id", "text", (crc_rest("doc_id", 4) == 2).alias("held_out"))
+    return language_id.predict(own, profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_pivot.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(media.with_media(table(spark, sf_dir, "documents")), "media")
     return media.fingerprints(stored).withColumn("feature", F.concat_ws(":", F.size("landmarks"), F.hex(F.xxhash64("landmarks")))).drop("landmarks")
 
 
+def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_knn.fit(docs, table(spark, sf_dir, "labels"), crc_rest("doc_id", 5) != 0)
+    scored = quality_knn.predict(docs.select("doc_id", "text", (crc_rest("doc_id", 5) == 0).alias("held_out")), model)
+    return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(MULTI_BPE)
     encoded = bpe_matrix.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return bpe_matrix.digest(bpe_matrix.decode(encoded, path, public_tokenizers.PATTERN))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_url_reputation, op3_best_fit_packing, op4_line_dedup, op7_media_columns, op10_byte_level_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_url_reputation, op3_best_fit_packing, op4_line_dedup, op5_language_id, op6_pivot_top_k, op7_media_columns, op8_quality_knn, op10_byte_level_bpe)}
 
-ORACLE_SQL: dict[str, str] = {"op2_url_reputation": url_reputation.oracle(), "op4_line_dedup": line_dedup.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_url_reputation": url_reputation.oracle(), "op4_line_dedup": line_dedup.oracle(), "op6_pivot_top_k": topk_pivot.oracle()}
