@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe_matrix, language_id, line_dedup, media, packing, quality_knn, token_files, topk_pivot, url_reputation
+from paperloom.llm import bpe_matrix, jaccard_trie, language_id, line_dedup, media, packing, quality_knn, token_files, topk_pivot, url_reputation
 from paperloom.llm.shared import crc_rest, new_path, written
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -62,12 +62,16 @@ def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_trie.similar_components(table(spark, sf_dir, "documents"), size=4, least=85)
+
+
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(MULTI_BPE)
     encoded = bpe_matrix.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return bpe_matrix.digest(bpe_matrix.decode(encoded, path, public_tokenizers.PATTERN))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_url_reputation, op3_best_fit_packing, op4_line_dedup, op5_language_id, op6_pivot_top_k, op7_media_columns, op8_quality_knn, op10_byte_level_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_url_reputation, op3_best_fit_packing, op4_line_dedup, op5_language_id, op6_pivot_top_k, op7_media_columns, op8_quality_knn, op9_jaccard_trie, op10_byte_level_bpe)}
 
-ORACLE_SQL: dict[str, str] = {"op2_url_reputation": url_reputation.oracle(), "op4_line_dedup": line_dedup.oracle(), "op6_pivot_top_k": topk_pivot.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_url_reputation": url_reputation.oracle(), "op4_line_dedup": line_dedup.oracle(), "op6_pivot_top_k": topk_pivot.oracle(), "op9_jaccard_trie": jaccard_trie.oracle()}
