@@ -9,3 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "catalog_by_content"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, with the same in DuckDB where SQL can say it."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from paperloom.plans import elements_plans, ingest_plans, job_plans, page_plans  # noqa: E402, F401  they register themselves
