@@ -22,7 +22,7 @@ FILES = """SELECT doc_id, source || '/' || name AS source_path, name AS source_n
 
 ELEMENTS = """SELECT doc_id, pos, CAST(floor(pos / 5) AS INT) + 1 AS page,
   CASE WHEN pos = 0 THEN 'TITLE' WHEN pos % 9 = 4 THEN 'HEADING' WHEN pos % 7 = 3 THEN 'TABLE' WHEN pos % 6 = 5 THEN 'LIST' WHEN pos % 11 = 8 THEN 'IMAGE' ELSE 'PARAGRAPH' END AS type,
-  1 + pos % 4 AS level, content, CAST(doc_id % 50 AS INT) AS x0, (pos % 5) * 100 AS y0, CAST(doc_id % 50 AS INT) + least(length(content), 500) AS x1, (pos % 5) * 100 + 10 + length(content) % 60 AS y1
+  1 + (pos * 2) % 5 AS level, content, CAST(doc_id % 50 AS INT) AS x0, (pos % 5) * 100 AS y0, CAST(doc_id % 50 AS INT) + least(length(content), 500) AS x1, (pos % 5) * 100 + 10 + length(content) % 60 AS y1
   FROM lines"""
 
 DETECTIONS = """SELECT CAST(l_suppkey % 40 AS INT) AS page, l_orderkey * 10 + l_linenumber AS det_id, l_returnflag || l_linestatus || l_partkey::STRING AS text, l_discount * 10 AS confidence,
