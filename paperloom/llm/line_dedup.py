@@ -156,17 +156,20 @@ def kept_places(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text and any others), ``text`` without the lines that go, with _lines, _blank, _exact and _near: numbers of lines, of blank ones, and of those gone as copies and as near copies."""
-    kept = kept_places(docs.select("doc_id", "text")).select(*[F.col(c).alias(f"_{c}") for c in ("known", "doc", "version", "firsts", "kept")])
-    joined = docs.join(kept, (F.col("doc_id").isNotNull() == F.col("_known")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")) == F.col("_doc")) & (F.xxhash64("text") == F.col("_version")), "left")
-    out = joined.withColumns({"_cut": F.split("text", "\n"), "_kept": F.coalesce("_kept", F.array().cast("array<int>"))})
-    out = out.withColumn("_empty", F.filter(F.transform("_cut", lambda x, k: F.when(F.trim(x) == "", k)), lambda k: k.isNotNull()))
-    stays = F.transform(F.array_sort(F.concat("_kept", "_empty")), lambda k: F.get("_cut", k))
-    counts = {"_lines": F.coalesce(F.size("_cut"), F.lit(0)), "_blank": F.coalesce(F.size("_empty"), F.lit(0)), "_firsts": F.coalesce("_firsts", F.lit(0))}
-    out = out.withColumns(counts | {"_text": F.when(F.col("text").isNotNull(), F.array_join(stays, "\n"))})
-    counts = {"_exact": F.when(F.col("text").isNull(), 0).otherwise(F.col("_lines") - F.col("_blank") - F.col("_firsts")), "_near": F.col("_firsts") - F.size("_kept")}
-    own = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.withColumns(counts).select(*own, "_lines", "_blank", "_exact", "_near")
+    """All columns of ``docs`` (doc_id, text and any others), ``text`` without the lines that go, with _lines, _blank, _exact and _near: numbers of lines, of blank ones, and of those gone as copies and as near copies (columns of these names are replaced)."""
+    # Other columns travel in one struct, so that their names don't matter here.
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")]).alias("rest"))
+    kept = kept_places(docs.select("doc_id", "text"))
+    same = (F.col("doc_id").isNotNull() == F.col("known")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")) == F.col("doc")) & (F.xxhash64("text") == F.col("version"))
+    out = rows.join(kept, same, "left").withColumns({"cut": F.split("text", "\n"), "kept": F.coalesce("kept", F.array().cast("array<int>"))})
+    out = out.withColumn("empty", F.filter(F.transform("cut", lambda x, k: F.when(F.trim(x) == "", k)), lambda k: k.isNotNull()))
+    stays = F.transform(F.array_sort(F.concat("kept", "empty")), lambda k: F.get("cut", k))
+    zero = F.lit(0)
+    counts = {"_lines": F.coalesce(F.size("cut"), zero), "_blank": F.coalesce(F.size("empty"), zero), "firsts": F.coalesce("firsts", zero), "clean": F.when(F.col("text").isNotNull(), F.array_join(stays, "\n"))}
+    out = out.withColumns(counts).withColumns({"_exact": F.when(F.col("text").isNull(), 0).otherwise(F.col("_lines") - F.col("_blank") - F.col("firsts")), "_near": F.col("firsts") - F.size("kept")})
+    own = {"doc_id": F.col("doc_id"), "text": F.col("clean").alias("text")}
+    made = ("_lines", "_blank", "_exact", "_near")
+    return out.select(*[own[c] if c in own else F.col("rest")[c].alias(c) for c in docs.columns if c not in made], *made)
 
 
 def oracle() -> str:

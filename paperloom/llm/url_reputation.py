@@ -54,13 +54,13 @@ def domain_and_suffix(host: Column) -> tuple[Column, Column]:
 
 
 def strength(groups: DataFrame) -> DataFrame:
-    """One row: a level's prior strength from the labelled groups' ``n`` and ``bad`` by the method of moments."""
+    """One row: a level's prior strength from the labelled groups' ``n`` and ``bad`` by the method of moments; the weakest if nothing is labelled."""
     t = groups.where("n > 0").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"), F.sum(F.col("bad").cast("double") * F.col("bad") / F.col("n")).alias("bb"))
     mean = F.col("bad") / F.col("n")
     spread = F.col("bb") - F.col("n") * mean * mean
     noise = mean * (1 - mean)
     over = (spread - noise * (F.col("k") - 1)) / (noise * (F.col("n") - F.col("nn") / F.col("n") - (F.col("k") - 1)))
-    s = F.when((noise > 0) & (over > 0), (1 - over) / over).otherwise(STRONGEST)
+    s = F.when(F.col("k") == 0, WEAKEST).when((noise > 0) & (over > 0), (1 - over) / over).otherwise(STRONGEST)
     return t.select(F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), F.coalesce(s, F.lit(STRONGEST)))).alias("strength"))
 
 
@@ -100,8 +100,8 @@ def oracle(most_bad: float = 0.3, z: float = 1.645, rules=RULES) -> str:
     fits = [(f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))", h + p, v) for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))]
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
     strength = lambda t: (
-        f"(SELECT least({STRONGEST}, greatest({WEAKEST}, coalesce(CASE WHEN m * (1 - m) > 0 AND o > 0 THEN (1 - o) / o ELSE {STRONGEST} END, {STRONGEST}))) FROM ("
-        f"SELECT m, (bb - n * m * m - m * (1 - m) * (k - 1)) / nullif(m * (1 - m) * (n - nn / n - (k - 1)), 0) AS o FROM ("
+        f"(SELECT least({STRONGEST}, greatest({WEAKEST}, coalesce(CASE WHEN k = 0 THEN {WEAKEST} WHEN m * (1 - m) > 0 AND o > 0 THEN (1 - o) / o ELSE {STRONGEST} END, {STRONGEST}))) FROM ("
+        f"SELECT k, m, (bb - n * m * m - m * (1 - m) * (k - 1)) / nullif(m * (1 - m) * (n - nn / n - (k - 1)), 0) AS o FROM ("
         f"SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE / sum(n) AS m, sum(n::DOUBLE * n) AS nn, sum(bad::DOUBLE * bad / n) AS bb FROM {t} WHERE n > 0)))"
     )
     posterior = "(s * above + bad) / (s + n)"

@@ -1,0 +1,393 @@
+"""Each operator against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import io
+import random
+import struct
+import wave
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from paperloom.llm import bpe_matrix, jaccard_trie, language_id, line_dedup, media, packing, quality_knn, token_files, topk_pivot, units, url_reputation
+from paperloom.llm.shared import crc_rest, new_path
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+SF = "/root/testdata/sf0.001"
+#: Names that operators use inside.
+CLASH = "score double, n long, i long, t string, lang_pred string, bucket long, digest binary, short long, line string, kept string, _kept string, first long, h long, start long, row long"
+LONG = " ".join(f"w{k % 977}x{k % 31}" for k in range(30_000))
+TEXTS = [None, "", "   ", "\n\n", "a", "one two three", "The cat sat on the mat.\nThe cat sat on the mat.\n  \nEnd", "Äpfel, größer – 日本語 😀 text", "aaa" * 400, "x　y \x1c!\x1c \r\n\r\n z's", LONG, LONG, "one two three"]
+
+
+def frame(spark, rows, clash=True):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    if clash:
+        have = set(df.columns)
+        for c in CLASH.split(", "):
+            name, kind = c.split(" ")
+            if name not in have:
+                df = df.withColumn(name, F.lit(None).cast(kind))
+    return df
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(TEXTS)]
+    return frame(spark, [*rows, rows[6], (None, "no id here", "en", "s", 10), (None, None, None, None, None)])
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [])
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BYTE_BPE)
+    t.encode_special_tokens = True
+    return lambda x: t.encode(x or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
+def test_units_equal_the_whole_text(library):
+    rng = random.Random(5)
+    odd = ["".join(rng.choice(" \n\t\r　\xa0\x1c'sabÉ1,.!日€") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    for t in [x for x in TEXTS if x] + odd + [" a", "\na", "a\n", "a ", "<|endoftext|> b", "x" * 60 + " " + "y" * 60]:
+        assert np.frombuffer(units.library_encoder(BYTE_BPE).one(t), "<u4").tolist() == library(t), t[:80]
+
+
+def test_op1_round_trip(spark, docs, empty, library):
+    path = new_path(spark, "t1")
+    token_files.write_token_files(docs, path, BYTE_BPE, 0, body_bytes=2000)
+    got = sorted(token_files.read_token_digests(spark, path).collect(), key=lambda r: r["start"])
+    rows = docs.select("doc_id", "text").collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((r[0] is not None, r[0] or 0, len(library(r[1])) + 1, crc([*library(r[1]), 0])) for r in rows)
+    assert [r["doc_id"] is not None and r["doc_id"] for r in got] == sorted((r["doc_id"] is not None and r["doc_id"] for r in got), key=lambda x: -1 if x is False else x)
+    start = 0
+    for r in got:
+        assert r["start"] == start
+        start += r["n_tokens"]
+    found = {r["doc_id"]: list(r["ids"]) for r in token_files.fetch(spark, path, [5, 7]).collect()}
+    assert found == {k: [*library(TEXTS[k]), 0] for k in (5, 7)}
+    path = new_path(spark, "t1e")
+    token_files.write_token_files(empty, path, BYTE_BPE, 0)
+    assert token_files.read_token_digests(spark, path).collect() == []
+
+
+def test_op1_trained_dictionary(spark):
+    path = new_path(spark, "t1d")
+    token_files.write_token_files(spark.read.parquet(f"{SF}/documents.parquet"), path, BYTE_BPE, 0)
+    (dictionary,) = token_files.dictionaries(spark, path).items()
+    assert len(dictionary[1]) > 1000 and hashlib.sha256(dictionary[1]).hexdigest() == dictionary[0]
+
+
+def test_op2_rules_and_reputation(spark):
+    urls = [None, "", "no scheme", "http://A.Example.ORG/es/x?q#f", "http://example.org/en/1?x", "http://example.org", "https://x.com/fr/", "https://x.com/de/y", "https://notcom/fr/", "ftp://m.co.uk:80/p?/q", "http://bad.net/", "http://bad.net/?://", "http://bad.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit("clash"), "n": F.lit(1), "rule": F.lit(2)})
+    outcomes = spark.createDataFrame([(k, True) for k in range(10, 13)] * 40 + [(k, False) for k in range(3, 9)] * 40 + [(None, True), (99, None), (77, True)], "page_id long, bad boolean")
+    got = {r["page_id"]: r for r in url_reputation.verdicts(pages, outcomes).collect()}
+
+    def cut(u):
+        if u is None or "://" not in u:
+            return "", ""
+        rest = u.split("://", 1)[1]
+        k = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        e = min([rest.find(c, k) for c in "?#" if rest.find(c, k) >= 0] or [len(rest)])
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:k]), rest[k:e]
+
+    for k, u in enumerate(urls):
+        host, path = cut(u)
+        fit = [(h + p, v) for v, h, p in url_reputation.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule = max(fit, key=lambda x: len(x[0])) if fit else (None, None)
+        assert (got[k]["host"], got[k]["path"], got[k]["rule"]) == (host, path, rule[0])
+        if rule[1]:
+            assert got[k]["verdict"] == rule[1]
+    assert got[10]["verdict"] == "block" and got[5]["verdict"] == "allow" and got[0]["verdict"] == "allow"
+    assert url_reputation.verdicts(pages.limit(0), outcomes).count() == 0
+    assert {r["verdict"] for r in url_reputation.verdicts(pages, outcomes.limit(0)).where("rule IS NULL").collect()} == {"allow"}
+
+
+def _checked_packing(rows, length):
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= length
+    return by
+
+
+def test_op3_pieces_and_sequences(spark, docs, empty, library):
+    rows = packing.pack_documents(docs, BYTE_BPE, 2, 64).collect()
+    by = _checked_packing(rows, 64)
+    total = sum(r["length"] for r in rows)
+    assert total == sum(len(library(r[1])) + 1 for r in docs.select("doc_id", "text").collect())
+    assert len(by) <= 1.1 * total / 64 + 1
+    ids = [*library(TEXTS[8]), 2]
+    mine = sorted((r for r in rows if r["doc_id"] == 8), key=lambda r: r["piece"])
+    assert [r["length"] for r in mine][1:] == [64] * (len(mine) - 1)
+    assert [r["ids_crc32"] for r in mine] == [crc(ids[r["start"] : r["start"] + r["length"]]) for r in mine]
+    assert packing.pack_documents(empty, BYTE_BPE, 2, 64).count() == 0
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_op3_every_capacity_holds(rule):
+    rng = np.random.default_rng(1)
+    lengths = np.sort(rng.integers(1, 100, 600))[::-1]
+    bins, offsets = packing.pack_lengths(lengths, (100, 3, 6000 + 4000), (1.0, 0.5, 0.5), rule)
+    for b in range(bins.max() + 1):
+        own = lengths[bins == b]
+        assert own.sum() <= 100 and len(own) <= 3 and (own.astype(float) ** 2).sum() <= 10_000
+        assert sorted(offsets[bins == b].tolist()) == sorted((np.cumsum(own) - own).tolist())
+    with pytest.raises(ValueError):
+        packing.pack_lengths(np.array([101]), (100, 3, 100_000))
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def brute_lines(rows):
+    first = {}
+    for d, t in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0)):
+        for k, line in enumerate(t.split("\n")):
+            if line.strip(" "):
+                first.setdefault(line, ((d is not None, d or 0), k))
+    lines = list(first)
+    near = {b for b in lines if len(b) >= line_dedup.SHORTEST and any(first[a] < first[b] and len(a) >= line_dedup.SHORTEST and abs(len(a) - len(b)) <= 1 and edits(a, b) <= 1 for a in lines)}
+    out = {}
+    for d, t in rows:
+        key = (d is not None, d or 0)
+        out[d, t] = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip(" ") or (first[x] == (key, k) and x not in near))
+    return out
+
+
+@pytest.mark.parametrize("crowded", [32, 1])
+def test_op4_line_dedup(spark, docs, empty, monkeypatch, crowded):
+    monkeypatch.setattr(line_dedup, "CROWDED", crowded)
+    rng = random.Random(crowded)
+    base = ["the quick brown fox é jumps over", "a line that is long enough to compare", "short", "größere Zeilen mit Umlauten ÄÖÜ"]
+
+    def changed(x):
+        k = rng.randrange(len(x))
+        return rng.choice([x[:k] + x[k + 1 :], x[:k] + rng.choice("aé z") + x[k:], x[:k] + rng.choice("bü") + x[k + 1 :]])
+
+    rows = [(k, "\n".join(rng.choice([x, changed(x), changed(changed(x)), "", "  "]) for x in rng.choices(base, k=6))) for k in range(30)]
+    rows += [(100, None), (101, ""), (102, rows[3][1]), (103, rows[3][1]), (104, "\n")]
+    df = frame(spark, [(d, t, "en", "s", 0) for d, t in [*rows, rows[3]]])
+    got = line_dedup.dedup(df)
+    want = brute_lines(rows)
+    found = got.select("doc_id", "text").collect()
+    assert len(found) == len(rows) + 1
+    texts = dict(rows)
+    for d, t in found:
+        assert t == want[d, texts[d]], d
+    assert set(df.columns) <= set(got.columns)
+    assert line_dedup.dedup(empty).count() == 0
+
+
+def test_op4_automaton(spark):
+    rng = random.Random(2)
+    pairs = [("", ""), ("a", ""), ("ab", "ba"), ("kitten", "sitting")] + [("".join(rng.choices("ab", k=rng.randint(0, 9))), "".join(rng.choices("ab", k=rng.randint(0, 9)))) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.filter(line_dedup.codes(F.col("a")), lambda x: x > 0).alias("x"), F.filter(line_dedup.codes(F.col("b")), lambda x: x > 0).alias("y"))
+    for most in (1, 2, 3):
+        for r in df.select("a", "b", line_dedup.within(F.col("x"), F.col("y"), most).alias("w")).collect():
+            assert r["w"] == (edits(r["a"], r["b"]) <= most), (r, most)
+
+
+def test_op4_single_edits(spark):
+    rows = [((True, 1, 0, 0), "abcd"), ((True, 2, 0, 0), "abcde"), ((True, 3, 0, 0), "abXd"), ((True, 4, 0, 0), "zzzz"), ((True, 5, 0, 0), "acd")]
+    df = spark.createDataFrame(rows, "first struct<known:boolean,doc:long,version:long,line_no:int>, line string")
+    assert sorted({r["first"]["doc"] for r in line_dedup.by_single_edits(df).collect()}) == [2, 3, 5]
+
+
+def test_op5_languages(spark, docs, empty):
+    own = spark.read.parquet(f"{SF}/documents.parquet")
+    profiles = language_id.fit(own, crc_rest("doc_id", 4) != 2)
+    assert set(profiles) == {"en", "de", "fr", "es"}
+    got = language_id.predict(own.where(crc_rest("doc_id", 4) == 2), profiles).select("lang", "lang_pred", "score").collect()
+    assert np.mean([r[0] == r[1] for r in got]) > 0.95 and all(0 <= r[2] <= 1 for r in got)
+    odd = {(r["text"]): r for r in language_id.predict(docs, profiles).collect()}
+    assert all(odd[t]["lang_pred"] == "und" for t in (None, "", "   ", "\n\n")) and odd["a"]["lang_pred"] != "und"
+    assert language_id.predict(empty, profiles).count() == 0
+    assert language_id.fit(empty, F.lit(True)) == {} and language_id.predict(docs, {}).select("lang_pred").distinct().collect() == [("und",)]
+
+
+def test_op5_distance_by_hand():
+    profiles = {"x": language_id.ranked(*language_id.ngrams("aa ab")).tolist(), "y": language_id.ranked(*language_id.ngrams("zz zy")).tolist()}
+    p = language_id.Profiles(profiles)
+    own = language_id.ranked(*language_id.ngrams("ab")).tolist()
+    apart = sum(abs(profiles["x"].index(g) - k) if g in profiles["x"] else 300 for k, g in enumerate(own))
+    assert p.judge("ab") == ("x", 1 - apart / (300 * len(own)))
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_op6_exact(spark, block):
+    rng = np.random.default_rng(block)
+    x = rng.normal(0, 1, (120, 6)).astype(np.float32)
+    x[60:70] = x[50]
+    rows = [(k * 10, v.tolist()) for k, v in enumerate(x)] + [(5, None), (7, []), (50, [float("nan")] * 6), (100, [None] * 6), (None, [1.0] * 6), (150, [float("inf")] * 6), (9, [1.0, 2.0]), (2000, [1.0, 3.0]), (11, x[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"v": F.lit(1), "d": F.lit(2), "score": F.lit(3)})
+    got = topk_pivot.top_k(df, F.col("vec_id") % 50 == 0, 5, block=block).collect()
+    sound = [(i, [int(np.floor(256 * float(y))) for y in v]) for i, v in rows if i is not None and v and all(y is not None and np.isfinite(y) for y in v)]
+    want = []
+    for i, q in sound:
+        if i % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in sound if j != i and len(v) == len(q))[:5]
+            want += [(i, k, j, -t) for k, (t, j) in enumerate(s, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert topk_pivot.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_op6_bound_skips_work():
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * np.concatenate([rng.normal(c, 0.05, (400, 8)) for c in (-3, 0, 3)]))
+    pivots = x[[0, 500, 900]]
+    best = [topk_pivot.Best(5)]
+    done = topk_pivot.search_block(np.arange(len(x)), x, topk_pivot.to_pivots(x, pivots), np.array([0]), x[:1], topk_pivot.to_pivots(x[:1], pivots), best)
+    assert done < len(x) / 2
+    order = sorted((-int(s), i) for i, s in enumerate(x @ x[0]) if i != 0)[:5]
+    assert [(-int(s), int(i)) for s, i in zip(best[0].scores, best[0].ids)] == order
+
+
+def test_op7_media(spark, docs, empty):
+    stored = media.with_media(docs)
+    got = media.fingerprints(stored).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id IS NOT NULL").collect()}
+    for r in got:
+        if r["doc_id"] is None:
+            continue
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (576 if not raw else 0))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    m = stored.where("doc_id = 4").first()["media"]
+    with wave.open(io.BytesIO(m)) as w:
+        assert w.getnframes() == 576
+    by = {r["doc_id"]: r for r in got}
+    assert by[10]["landmarks"] == by[11]["landmarks"] and by[10]["media_sha256"] == by[11]["media_sha256"]
+    assert media.fingerprints(media.with_media(empty)).count() == 0
+
+
+def test_op7_peaks_by_hand():
+    t = np.arange(576 * 2)
+    samples = (128 + 60 * np.sin(2 * np.pi * 40 * t / 576)).round().astype(np.uint8).tobytes()
+    assert all(40 in row for row in media.peaks(samples).tolist())
+    assert all((p >> 3 & 0x3FFF) > 0 for p in media.pairs(media.peaks(samples)).tolist())
+
+
+def test_op8_quality(spark, docs, empty):
+    own, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality_knn.fit(own, labels, crc_rest("doc_id", 5) != 0)
+    held = quality_knn.predict(own.where(crc_rest("doc_id", 5) == 0), model).join(labels, "doc_id").collect()
+    assert np.mean([(r["quality_score"] >= 0.3) == (r["quality"] == 1) for r in held]) > 0.9
+    odd = quality_knn.predict(docs, model).collect()
+    assert len(odd) == docs.count() and all(0 <= r["quality_score"] <= 1 for r in odd)
+    assert all(abs(r["quality_score"] - model.prior) < 1e-9 for r in odd if not r["text"])
+    assert quality_knn.predict(empty, model).count() == 0
+    none = quality_knn.fit(own, labels.limit(0), F.lit(True))
+    assert {r["quality_score"] for r in quality_knn.predict(docs, none).collect()} == {0.5}
+
+
+def brute_components(rows, size, least):
+    def of(t):
+        w = (t or "").encode().lower().split()
+        return {b" ".join(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {b" ".join(w)} if w else set()
+
+    sets = [of(t) for _, t in rows]
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= least * (len(sets[i]) + len(sets[j]) - both):
+                a, b = part[i], part[j]
+                part = [b if p == a else p for p in part]
+    return [(d, len(s), min(rows[j][0] for j in range(len(rows)) if part[j] == part[i])) for i, (d, s) in enumerate(zip([r[0] for r in rows], sets))]
+
+
+@pytest.mark.parametrize("block,seed", [(1000, 1), (3, 2), (2, 3)])
+def test_op9_components(spark, empty, monkeypatch, block, seed):
+    monkeypatch.setattr(jaccard_trie, "BLOCK", block)
+    monkeypatch.setattr(jaccard_trie, "ENVOYS", 2)
+    monkeypatch.setattr(jaccard_trie, "CHUNK", 200)
+    monkeypatch.setattr(jaccard_trie, "BUCKET", 500)
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    passage = rng.choices(words, k=25)
+    rows = []
+    for g in range(8):
+        base = rng.choices(words, k=rng.randint(30, 90)) + (passage if g % 2 else [])
+        for _ in range(rng.randint(1, 12)):
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = rng.choice(words).upper()
+            rows.append((len(rows), " ".join(own)))
+    rows += [(900 + k, t) for k, t in enumerate([None, "", " \t ", "a b", "A  b", "a b c d", rows[0][1], rows[0][1].upper().replace(" ", "\n")])]
+    got = jaccard_trie.similar_components(frame(spark, [(d, t, "en", "s", 0) for d, t in rows]), 4, 85)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute_components(rows, 4, 85))
+    assert jaccard_trie.similar_components(empty, 4, 85).count() == 0
+
+
+def test_op9_repeated_rows(spark, docs):
+    got = jaccard_trie.similar_components(docs, 4, 85).collect()
+    assert len(got) == docs.count()
+    by = {r["doc_id"]: r for r in got}
+    assert by[11]["component_id"] == 10 and by[12]["component_id"] == 5 and by[0]["n_shingles"] == 0 and by[2]["component_id"] == 2
+
+
+def test_op9_tree_join_matches_pairs():
+    rng = np.random.default_rng(9)
+    limit = jaccard_trie.Threshold(80)
+    sets, sizes = [], []
+    for _ in range(60):
+        base = np.unique(rng.integers(0, 60, 25)) if not sets or rng.random() < 0.3 else np.unique(np.append(rng.choice(sets[-1], max(1, len(sets[-1]) - rng.integers(0, 3)), replace=False), rng.integers(0, 60, rng.integers(0, 2))))
+        sets.append(base)
+        sizes.append(len(base) + rng.integers(0, 2))
+    part = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if limit.links(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j]):
+                a, b = max(part[i], part[j]), min(part[i], part[j])
+                part = [b if p == a else p for p in part]
+    assert jaccard_trie.tree_join(sets, np.array(sizes), limit).tolist() == part
+
+
+def test_op10_matches_the_library(spark, docs, empty):
+    import tiktoken
+
+    ranks = bpe_matrix.read_ranks(MULTI)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    done = bpe_matrix.decode(bpe_matrix.encode(docs, MULTI, public_tokenizers.PATTERN), MULTI, public_tokenizers.PATTERN).collect()
+    want = sorted((r[0] or -1, own.encode_ordinary(r[1] or "")) for r in docs.select("doc_id", "text").collect())
+    assert sorted((r["doc_id"] or -1, np.frombuffer(r["ids"], "<u4").tolist()) for r in done) == want
+    texts = {r[0]: (r[1] or "").encode() for r in docs.where("doc_id IS NOT NULL").select("doc_id", "text").collect()}
+    assert all(bytes(r["bytes"]) == texts[r["doc_id"]] for r in done if r["doc_id"] is not None)
+    assert bpe_matrix.encode(empty, MULTI, public_tokenizers.PATTERN).count() == 0
+
+
+def test_op10_long_pieces():
+    import tiktoken
+
+    ranks = bpe_matrix.read_ranks(MULTI)
+    codec, own = bpe_matrix.held(MULTI, public_tokenizers.PATTERN), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abé", k=3000)), "ab" * 700, "é" * 600, "".join(rng.choices("theandion", k=511))]
+    for t, ids in zip(texts, codec.encode(texts), strict=True):
+        assert ids.tolist() == own.encode_ordinary(t)
