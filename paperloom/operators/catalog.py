@@ -35,8 +35,8 @@ def scan_predicate(name: Column) -> Column:
 def scan(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """Catalog of the files under ``root``: Spark lists and reads them, whatever the store."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    base = F.lit(root.split("://")[-1].rstrip("/").lstrip("/") + "/")
-    relative = F.regexp_replace(F.substring_index(F.col("path"), base, -1), "^/+", "")
+    base = root.split("://")[-1].strip("/") + "/"
+    relative = F.substring_index(F.col("path"), base, -1)
     rows = found.select(relative.alias("source_path"), "length", "modificationTime", "content")
     if not recursive:
         rows = rows.where(~F.col("source_path").contains("/"))
