@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the URL namespace of RFC 4122.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+#: Fixed value: what the names of catalog ids begin with.
+CATALOG_PREFIX = "rag-pipeline-v2:"
 
 
 def uuid5_hex(name: Column, namespace: str = URL_NAMESPACE) -> Column:
@@ -17,7 +19,7 @@ def uuid5_hex(name: Column, namespace: str = URL_NAMESPACE) -> Column:
 
 
 def catalog_id(relative_path: Column, sha256: Column) -> Column:
-    return F.concat(F.lit("cat-"), uuid5_hex(F.concat(F.lit("rag-pipeline-v2:"), F.lower(relative_path), F.lit(":"), sha256)))
+    return F.concat(F.lit("cat-"), uuid5_hex(F.concat(F.lit(CATALOG_PREFIX), F.lower(relative_path), F.lit(":"), sha256)))
 
 
 def prefixed_uuid(prefix: str, *parts: Column) -> Column:

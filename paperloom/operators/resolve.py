@@ -96,7 +96,7 @@ def name_scores(entries: DataFrame, index: DataFrame, least: float = 87.0) -> Da
 
     left = keyed(entries.where("normalized_name <> ''").select("normalized_name").distinct())
     right = keyed(index.where("normalized_name <> ''").select("normalized_name").distinct()).withColumnRenamed("normalized_name", "known_name")
-    # A word in very many names says little: names meet by their rarest words first.
+    # Only distinct names meet, and adaptive execution splits the words that very many of them have.
     pairs = left.join(right, "key").select("normalized_name", "known_name").distinct()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,7 +14,7 @@ from paperloom.sources.tables import FILES_SQL, NAMED_SQL, files, named, table
 
 _FORMAT = "CASE WHEN lower(source_name) LIKE '%.pdf' THEN 'PDF' WHEN lower(source_name) LIKE '%.docx' THEN 'DOCX' WHEN lower(source_name) LIKE '%.doc' THEN 'DOC' WHEN lower(source_name) LIKE '%.png' OR lower(source_name) LIKE '%.jpg' THEN 'IMAGE' ELSE 'UNKNOWN' END"
 _MIME = "CASE WHEN lower(source_name) LIKE '%.pdf' THEN 'application/pdf' WHEN lower(source_name) LIKE '%.docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN lower(source_name) LIKE '%.doc' THEN 'application/msword' WHEN lower(source_name) LIKE '%.png' THEN 'image/png' WHEN lower(source_name) LIKE '%.jpg' THEN 'image/jpeg' ELSE 'application/octet-stream' END"
-_ENTRY = uuid5_sql("'rag-pipeline-v2:' || lower(source_path) || ':' || sha256(text)")
+_ENTRY = uuid5_sql(f"'{ids.CATALOG_PREFIX}' || lower(source_path) || ':' || sha256(text)")
 _CATALOG = f"{FILES_SQL}, catalog AS (SELECT doc_id, 'cat-' || {_ENTRY} AS catalog_id, source_name, source_path, {_FORMAT} AS file_format, sha256(text) AS source_sha256, octet_length(encode(text)) AS size_bytes, {_MIME} AS mime_type FROM files)"
 
 
@@ -75,7 +75,7 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KNOWN = f"""{NAMED_SQL}, known0 AS (SELECT *, (row_number() OVER (PARTITION BY family_id ORDER BY doc_id))::INT AS version_number, count(*) OVER (PARTITION BY family_id) AS n FROM (SELECT * REPLACE (CASE WHEN doc_id % 16 = 0 THEN family_id || '-alt' ELSE family_id END AS family_id) FROM named WHERE doc_id % 4 = 0)),
 known AS (SELECT family_id, family_id || '-v' || lpad(version_number::VARCHAR, 3, '0') || '-' || substr(sha256, 1, 12) AS version_id, sha256, version_number, 'v' || lpad(version_number::VARCHAR, 3, '0') AS version_label, CASE WHEN version_number = n THEN 'ACTIVE' ELSE 'SUPERSEDED' END AS publication_state, normalized_name, document_code FROM known0),
-arriving AS (SELECT doc_id, 'cat-' || {uuid5_sql("'rag-pipeline-v2:' || lower(source_path) || ':' || sha256")} AS catalog_id, source_name, sha256, document_code, normalized_name, family_id FROM named WHERE doc_id % 4 <> 0)"""
+arriving AS (SELECT doc_id, 'cat-' || {uuid5_sql(f"'{ids.CATALOG_PREFIX}' || lower(source_path) || ':' || sha256")} AS catalog_id, source_name, sha256, document_code, normalized_name, family_id FROM named WHERE doc_id % 4 <> 0)"""
 
 
 def _rule_sql(key: str, entry: str, name: str) -> str:
