@@ -35,7 +35,7 @@ def progress_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.changes(table(spark, sf_dir, "events"))
 
 
-@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.windowed(table(spark, sf_dir, "events"))
 

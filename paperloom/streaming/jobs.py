@@ -80,10 +80,10 @@ def changes(events: DataFrame) -> DataFrame:
 
 
 def windowed(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """An addition of this library: events and mean value by kind and tumbling window, late ones dropped by watermark when streaming."""
+    """An addition of this library: events and their values by kind and tumbling window, late ones dropped by watermark when streaming."""
     source = events.withWatermark("ts", late) if events.isStreaming else events
-    per = source.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
-    return per.select(F.col("w.start").alias("start"), "event_type", "n", "mean")
+    per = source.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return per.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def ingest(spark: SparkSession, folder: str, checkpoint: str, batch: Callable[[DataFrame, int], None], pattern: str = "*"):
