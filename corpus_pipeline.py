@@ -42,12 +42,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near duplicates; of wholly repeated rows, one."""
-    found = written(jaccard_trie.similar_components(docs, SHINGLE, SIMILAR), "components")
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """Keeps the document of least id of each group of near duplicates.
+
+    Where ids are null or repeated, rows go by a hash of id and text instead; of wholly repeated rows one stays."""
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        found = jaccard_trie.similar_components(docs, SHINGLE, SIMILAR)
+        return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = jaccard_trie.similar_components(keyed, SHINGLE, SIMILAR, id_col="_row")
+    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
+    return keyed.join(stays, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def test_quality_stage_follows_the_labels(spark, stages):
 
 
 def test_one_document_of_each_group_stays(stages):
-    from test_operators import brute_components
+    from test_llm_operators import brute_components
 
     rows = [(r["doc_id"], r["text"]) for r in stages[2].collect()]
     want = {d for d, _, c in brute_components(rows, P.SHINGLE, P.SIMILAR) if d == c}
@@ -45,7 +45,7 @@ def test_one_document_of_each_group_stays(stages):
 
 
 def test_packed(stages):
-    from test_operators import _checked_packing
+    from test_llm_operators import _checked_packing
 
     rows = stages[-1].collect()
     _checked_packing(rows, P.SEQUENCE)
@@ -61,3 +61,11 @@ def test_empty_and_odd_rows(spark, tmp_path):
         spark.createDataFrame([(1, 0, 0), (3, 1, 0), (None, None, None)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         got = P.run(spark, d)
         assert got.count() <= len(rows)
+
+
+def test_null_and_repeated_ids(spark):
+    a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(1, a), (1, a), (None, a + " x"), (None, b), (1, b + " y"), (7, "alone"), (7, "alone"), (8, "alone too now")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["text"][:5] for r in P.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got) == sorted([a[:5], b[:5], "alone", "alone"])
