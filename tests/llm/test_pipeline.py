@@ -69,3 +69,19 @@ def test_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [r["text"][:5] for r in P.near_duplicates(spark, docs, "").collect()]
     assert sorted(got) == sorted([a[:5], b[:5], "alone", "alone"])
+
+
+def test_clean_removes_what_was_written(spark):
+    from paperloom.llm import shared
+
+    kept, shared._made[:] = list(shared._made), []
+    table = shared.written(spark.range(3).toDF("x"), "test")
+    assert table.count() == 3
+    path = shared._made[0]
+    shared.clean(spark)
+    shared._made[:] = kept
+    try:
+        spark.read.parquet(path)
+        raise AssertionError("still there")
+    except Exception as e:
+        assert "PATH_NOT_FOUND" in str(e)
