@@ -71,7 +71,7 @@ class PairTable:
 class MatrixBpe:
     """Encoder and decoder by one ranks file and piece pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_kept: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_kept: int = 250_000):
         import regex
 
         self.ranks, self.pieces, self.table, self.most_kept = ranks, regex.compile(pattern).findall, PairTable(ranks), most_kept

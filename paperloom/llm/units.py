@@ -20,36 +20,38 @@ _PLAIN = re.compile(f"\n?[^{SPACE}]+")
 
 #: Units longer than this many characters are encoded but not kept.
 LONGEST_KEPT = 48
-#: The cache starts anew beyond this many units, which bounds a worker's memory (about 0.2 KB a unit).
-MOST_KEPT = 800_000
+#: Units kept for good (those met twice) and for the time being; both bound a worker's memory (about 0.2 KB a unit).
+MOST_KEPT, MOST_YOUNG = 300_000, 150_000
 
 
 class UnitEncoder:
     """Packed ids of texts; ``encode_unit`` turns a unit into its ids, little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode_unit: Callable[[str], bytes], most: int = MOST_KEPT):
-        self._encode_unit, self._most, self._known = encode_unit, most, {}
+    def __init__(self, encode_unit: Callable[[str], bytes], most: int = MOST_KEPT, young: int = MOST_YOUNG):
+        self._encode_unit, self._most, self._most_young, self._known, self._young = encode_unit, most, young, {}, {}
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
         """Each text's packed ids; null is as empty."""
         return [self.one(t) if t else b"" for t in texts]
 
     def one(self, text: str) -> bytes:
-        known, encode = self._known, self._encode_unit
-        if len(known) > self._most:
-            known.clear()
+        known, young, encode = self._known, self._young, self._encode_unit
+        if len(young) > self._most_young:
+            young.clear()
         head, *parts = text.replace("\n", " \n").split(" ")
         found = list(map(known.get, parts))
         if None in found:
             for k, ids in enumerate(found):
-                if ids is None:
-                    if (ids := known.get(p := parts[k])) is None:
+                if ids is None and (ids := known.get(p := parts[k])) is None:
+                    if (ids := young.get(p)) is None:
                         if not _PLAIN.fullmatch(p):
                             return b"".join(map(encode, _UNIT.findall(text)))
                         ids = encode(p if p[0] == "\n" else f" {p}")
                         if len(p) <= LONGEST_KEPT:
-                            known[p] = ids
-                    found[k] = ids
+                            young[p] = ids
+                    elif len(known) < self._most:
+                        known[p] = young.pop(p)
+                found[k] = ids
         if head:
             if not _PLAIN.fullmatch(head):
                 return b"".join(map(encode, _UNIT.findall(text)))
@@ -90,7 +92,8 @@ def library_encoder(path: str) -> UnitEncoder:
         letters, tokens = byte_letters(), own.model.tokenize
 
         def piece(p: str) -> bytes:
-            return array("I", [t.id for t in tokens(p.encode().decode("latin-1").translate(letters))]).tobytes()
+            mapped = p.replace(" ", letters[32]) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters)
+            return array("I", [t.id for t in tokens(mapped)]).tobytes()
 
         tails = {p: piece(p) for p in ",."} | {"": b""}
 
