@@ -100,7 +100,8 @@ def within(x: Column, y: Column, most: int = 1) -> Column:
 def texts_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """first, line, crowded: the lines at the places asked for."""
     asked = firsts.groupBy("first").agg(F.max("crowded").alias("crowded")).groupBy("first.known", "first.doc", "first.version").agg(F.collect_list(F.struct("first", "crowded")).alias("asked"))
-    rows = places(docs).join(asked, ["known", "doc", "version"]).select(F.split("text", "\n").alias("cut"), F.explode("asked").alias("a"))
+    # Both sides grow with the data, so the join is a sort-merge join at any size.
+    rows = places(docs).join(asked.hint("merge"), ["known", "doc", "version"]).select(F.split("text", "\n").alias("cut"), F.explode("asked").alias("a"))
     return rows.select("a.first", F.get("cut", F.col("a.first.line_no")).alias("line"), "a.crowded").dropDuplicates(["first"])
 
 
