@@ -43,8 +43,9 @@ def packed(ids: np.ndarray, width: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str, width: int) -> bytes:
-    """A dictionary from a bounded sample: the SAMPLE_DOCS documents of least hashed id, the first SAMPLE_CHARS characters of each.  Empty if the sample is too small to train on."""
-    rows = docs.where(F.length(text_col) > 0).select(F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
+    """A dictionary from a bounded sample: up to SAMPLE_DOCS documents of low hashed id, the first SAMPLE_CHARS characters of each.  Empty if the sample is too small to train on."""
+    few = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE_DOCS / max(1, docs.count())))  # so that tasks send few rows
+    rows = docs.where(few & (F.length(text_col) > 0)).select(F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
     samples = [packed(np.append(np.frombuffer(b, "<u4"), end_id), width) for b in library_encoder(vocabulary)([r.t for r in rows])]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 10), samples).as_bytes()
