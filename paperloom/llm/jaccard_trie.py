@@ -6,7 +6,10 @@
    buffer a task and hash bucket, meet in reducers that credit a class for each token some other
    class has; a task sends a token once, however many of its classes hold it.  Classes with too
    few credits link with nothing.
-3. The rest, usually few, get a global order: tokens nobody shares, then by document frequency,
+   The rest, usually few, is named in a Bloom filter of bounded size, so that the pass that
+   makes every row's class keeps the sets of (nearly) only those.
+   From here a class goes by the first 64 bits of its 128-bit digest.
+3. These get a global order: tokens nobody shares, then by document frequency,
    then by hash.  Classes that share a prefix token of that order are candidates; each token
    names its least class as a hub, so there are as many edges as postings, and the connected
    components of these edges are supersets of the true ones.
@@ -40,7 +43,9 @@ BLOCK = 1000
 #: Representatives of each result of a block.
 ENVOYS = 16
 #: Tokens that a task of step 2 gathers before it sends them, and that a bucket holds about.
-CHUNK, BUCKET = 1 << 21, 1 << 19
+CHUNK, BUCKET = 1 << 20, 1 << 19
+#: Words whose hashes a worker keeps at most.
+MOST_WORDS = 100_000
 _words: dict[bytes, int] = {}
 
 
@@ -81,7 +86,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     words = text.encode().lower().split() if text else ()  # bytes: A-Z, and white space 09-0D and 20
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 1_000_000:
+    if len(_words) > MOST_WORDS:
         _words.clear()
     for w in words:
         if w not in _words:
@@ -103,23 +108,12 @@ def short(d: bytes) -> int:
     return int.from_bytes(d[:8], "little", signed=True) or 1
 
 
-def members(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, digest (null without shingles), short (its first 64 bits) of every row."""
-
-    def run(c: dict[str, list]) -> dict[str, list]:
-        sets = [shingles(t, size) for t in c["t"]]
-        digests = [digest(s) or None for s in sets]
-        return {"doc_id": c["i"], "n": list(map(len, sets)), "digest": digests, "short": [short(d) if d else None for d in digests]}
-
-    return by_batch(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), run, "doc_id long, n long, digest binary, short long")
-
-
 def credits(docs: DataFrame, size: int, limit: Threshold, buckets: int, text_col: str) -> DataFrame:
-    """short, credit: how many tokens of each class's extended prefix another class has in its own."""
+    """short, credit, needed: how many tokens of each class's extended prefix another class has in its own, and how many that must be."""
     sent = arrow_schema("bucket long, blob binary")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, owners, held = [], [], 0
+        tokens, owners, held, needs = [], [], 0, {}
 
         def send() -> pa.RecordBatch:
             pair = np.empty((held, 2), np.uint64)
@@ -138,8 +132,11 @@ def credits(docs: DataFrame, size: int, limit: Threshold, buckets: int, text_col
             out, bucket = out[order], bucket[order]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             rows = [(b, out[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-            if len(who):
-                rows.append((-1 - int(who[0] % np.uint64(buckets)), np.stack([who, n.astype(np.uint64)], axis=1).tobytes()))
+            given = np.array([(o, k) for o, k in needs.items()], np.uint64).reshape(-1, 2)
+            given = np.column_stack([given, np.zeros(len(given), np.uint64)])
+            given = given[np.argsort(given[:, 0])]
+            given[np.searchsorted(given[:, 0], who), 2] = n
+            rows.append((-1 - int(given[0, 0] % np.uint64(buckets)), given.tobytes()))
             return pa.RecordBatch.from_pydict({"bucket": [b for b, _ in rows], "blob": [x for _, x in rows]}, schema=sent)
 
         for b in batches:
@@ -148,19 +145,22 @@ def credits(docs: DataFrame, size: int, limit: Threshold, buckets: int, text_col
                 if not len(own):
                     continue
                 owner = np.int64(short(digest(own))).astype(np.uint64)
-                own = own[: limit.extended(len(own))]
+                size_of = len(own)
+                own = own[: limit.extended(size_of)]
+                needs[int(owner)] = limit.needed(size_of)
                 tokens.append(own), owners.append(np.full(len(own), owner))
                 held += len(own)
                 if held >= CHUNK:
                     yield send()
-                    tokens, owners, held = [], [], 0
+                    tokens, owners, held, needs = [], [], 0, {}
         if held:
             yield send()
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:  # what each class needs, and the credits given already
+            own = np.frombuffer(b"".join(rows["blob"]), np.int64).reshape(-1, 3)
+            return pd.DataFrame({"short": own[:, 0], "credit": own[:, 2], "needed": own[:, 1]})
         pair = np.frombuffer(b"".join(rows["blob"]), np.uint64).reshape(-1, 2)
-        if key[0] < 0:  # credits given already
-            return pd.DataFrame({"short": pair[:, 0].view(np.int64), "credit": pair[:, 1].astype(np.int64)})
         pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
         new = np.append(True, pair[1:, 0] != pair[:-1, 0])
         at = np.flatnonzero(new)
@@ -170,10 +170,63 @@ def credits(docs: DataFrame, size: int, limit: Threshold, buckets: int, text_col
         own = pair[np.repeat(several, size)]
         own = own[np.append(True, (own[1:] != own[:-1]).any(axis=1))] if len(own) else own
         who, n = np.unique(own[own[:, 1] != 0, 1], return_counts=True)
-        return pd.DataFrame({"short": who.view(np.int64), "credit": n.astype(np.int64)})
+        return pd.DataFrame({"short": who.view(np.int64), "credit": n.astype(np.int64), "needed": np.zeros(len(n), np.int64)})
 
     blobs = docs.select(F.col(text_col).alias("t")).mapInArrow(gather, "bucket long, blob binary")
-    return blobs.groupBy("bucket").applyInPandas(meet, "short long, credit long").groupBy("short").agg(F.sum("credit").alias("credit"))
+    return blobs.groupBy("bucket").applyInPandas(meet, "short long, credit long, needed long").groupBy("short").agg(F.sum("credit").alias("credit"), F.max("needed").alias("needed"))
+
+
+class Filter:
+    """Bloom filter of two bits an entry, between 2^16 and 2^28 bits; made by the executors, whose parts are put together by block."""
+
+    BLOCK = 1 << 16
+
+    def __init__(self, ids: DataFrame, column: str):
+        bits = self.bits = 1 << min(28, max(16, (16 * ids.count()).bit_length()))
+        places = self.places
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(bits // 8, np.uint8)
+            for b in batches:
+                for at in places(b.column(0).to_numpy(), bits):
+                    np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            blocks = held.reshape(-1, min(self.BLOCK, bits // 8))
+            some = np.flatnonzero(blocks.any(axis=1)).tolist()
+            yield pa.RecordBatch.from_pydict({"block": some, "blob": [blocks[k].tobytes() for k in some]}, schema=arrow_schema("block long, blob binary"))
+
+        def put(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            parts = np.array([np.frombuffer(x, np.uint8) for x in rows["blob"]])
+            return pd.DataFrame({"block": [key[0]], "blob": [np.bitwise_or.reduce(parts).tobytes()]})
+
+        self.held = np.zeros((-(-bits // 8 // self.BLOCK) or 1, min(self.BLOCK, bits // 8)), np.uint8)
+        for r in ids.select(column).mapInArrow(mark, "block long, blob binary").groupBy("block").applyInPandas(put, "block long, blob binary").collect():
+            self.held[r["block"]] = np.frombuffer(r["blob"], np.uint8)
+        self.held = self.held.ravel()
+
+    @staticmethod
+    def places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        x = ids.astype(np.int64).view(np.uint64)
+        return tuple((y % np.uint64(bits)).astype(np.int64) for y in (x, _mixed(x)))
+
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        out = np.ones(len(ids), bool)
+        for at in self.places(ids, self.bits):
+            out &= (self.held[at >> 3] >> (at & 7) & 1).astype(bool)
+        return out
+
+
+def members(docs: DataFrame, size: int, wanted: Filter, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n, digest and short (null without shingles), hashes (of classes that the filter holds) of every row."""
+    held = docs.sparkSession.sparkContext.broadcast(wanted)  # 32 MB at most
+
+    def run(c: dict[str, list]) -> dict[str, list]:
+        sets = [shingles(t, size) for t in c["t"]]
+        digests = [digest(s) or None for s in sets]
+        shorts = [short(d) if d else 0 for d in digests]
+        some = held.value.holds(np.array(shorts, np.int64))
+        return {"doc_id": c["i"], "n": list(map(len, sets)), "digest": digests, "short": [x or None for x in shorts], "hashes": [s.view(np.int64) if h and len(s) else None for s, h in zip(sets, some, strict=True)]}
+
+    return by_batch(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), run, "doc_id long, n long, digest binary, short long, hashes array<long>")
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:
@@ -295,8 +348,9 @@ def _joined(limit: Threshold, column: str):
 
 def components(sets: DataFrame, edges_by: DataFrame, limit: Threshold) -> DataFrame:
     """cid, root of the classes in candidate components; ``sets`` has cid, n, tokens and ``edges_by`` cid, root of candidates."""
-    kind = "cid binary, part binary, was binary"
-    own = sets.join(edges_by.groupBy("root").agg(F.count("*").alias("size")).join(edges_by, "root"), "cid")
+    kind = "cid long, part long, was long"
+    # Both sides grow with the data, so the join is a sort-merge join at any size.
+    own = sets.join(edges_by.groupBy("root").agg(F.count("*").alias("size")).join(edges_by, "root").hint("merge"), "cid")
     blocks = F.ceil(F.col("size") / BLOCK)
     own = written(own.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), blocks)), "candidate-sets")
     first = written(own.groupBy("root", "block").applyInPandas(_joined(limit, "cid"), kind), "block-parts").select("cid", "part")
@@ -330,24 +384,17 @@ def components(sets: DataFrame, edges_by: DataFrame, limit: Threshold) -> DataFr
 def similar_components(docs: DataFrame, size: int, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; sets of ``size``-word shingles link from a Jaccard of ``least`` percent."""
     limit = Threshold(least)
-    rows = written(members(docs, size, id_col, text_col), "members")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    classes = rows.where("digest IS NOT NULL").groupBy("digest", "short", "n").agg(F.min("doc_id").alias("doc_id"))
-    earned = credits(docs, size, limit, max(1, total // BUCKET), text_col)
+    amount = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0  # about six bytes a word
+    earned = credits(docs, size, limit, max(1, amount // 6 // BUCKET), text_col)
+    left = written(earned.where(F.col("credit") >= F.col("needed")).select("short"), "candidates")
+    rows = written(members(docs, size, Filter(left, "short"), id_col, text_col), "members")
+    classes = rows.where("digest IS NOT NULL").groupBy("digest", "short").agg(F.min("doc_id").alias("doc_id"))
     missing = lambda n: n - F.ceil(n * least / 100)
-    needed = missing(F.ceil(F.col("n") * least / 100)) + 1
-    left = written(classes.join(earned, "short").where(F.col("credit") >= needed).select("digest", "n", "doc_id"), "candidates")
-
-    def sets_of(c: dict[str, list]) -> dict[str, list]:
-        found = [(d, shingles(t, size)) for d, t in zip(c["digest"], c["t"], strict=True)]
-        found = [(d, s) for d, s in found if digest(s) == d]
-        return {"cid": [d for d, _ in found], "n": [len(s) for _, s in found], "hashes": [s.view(np.int64) for _, s in found]}
-
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(left, F.col("i").eqNullSafe(F.col("doc_id")))
-    sets = written(by_batch(texts.select("digest", "t"), sets_of, "cid binary, n long, hashes array<long>").dropDuplicates(["cid"]), "candidate-hashes")
-    tokens = sets.select("cid", "n", F.explode("hashes").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(often, "token").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    # The few sets that only the filter lets through share too little and go below.
+    sets = written(rows.where("hashes IS NOT NULL").select(F.col("short").alias("cid"), "n", "hashes").dropDuplicates(["cid"]), "candidate-hashes")
+    tokens = sets.select("cid", F.explode("hashes").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    shared = tokens.join(often, "token").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared")).join(sets.select("cid", "n"), "cid")
     shared = shared.where(F.size("shared") * 100 >= F.col("n") * least)
     alone = F.col("n") - F.size("shared")
     reach = F.greatest(F.lit(0), missing(F.col("n")) + 1 - alone).cast("int")
@@ -360,11 +407,12 @@ def similar_components(docs: DataFrame, size: int, least: int, id_col: str = "do
     def packed(c: dict[str, list]) -> dict[str, list]:
         return {"cid": c["cid"], "n": c["n"], "tokens": [np.array([(s["df"], s["token"]) for s in x], np.int64).tobytes() for x in c["shared"]]}
 
-    ready = by_batch(shared.select("cid", "n", "shared"), packed, "cid binary, n long, tokens binary")
+    ready = by_batch(shared.select("cid", "n", "shared"), packed, "cid long, n long, tokens binary")
     found = components(ready, every, limit)
-    roots = found.select(F.col("cid").alias("digest"), "root").join(classes.select("digest", "doc_id"), "digest")
-    roots = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = classes.select("digest", "doc_id").join(found.select(F.col("cid").alias("digest"), "root"), "digest", "left").join(roots, "root", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = classes.join(found.select(F.col("cid").alias("short"), "root"), "short")
+    roots = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    moved = joined.join(roots, "root").select("digest", F.col("component_id").alias("least"))
+    ids = classes.select("digest", "doc_id").join(moved, "digest", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id"))
     return rows.join(ids, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
