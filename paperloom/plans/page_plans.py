@@ -65,15 +65,21 @@ def outside_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.outside_grids(_clean(spark, sf_dir), _grids(spark, sf_dir)).select("page", "det_id", "text")
 
 
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detections, the 40 pages cut into sheets by order number, so that a page holds some fifty boxes however many orders there are."""
+    sheet = (F.floor(F.col("det_id") / 20480) * 40 + F.col("page")).cast("int")
+    return ocr.clean(detections(spark, sf_dir).withColumn("page", sheet))
+
+
 @query()
 def visual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row clustering depends on what was clustered before; a test compares it with a plain loop."""
-    return ocr.cluster_rows(_clean(spark, sf_dir).where("det_id % 5 = 0")).withColumns({"confidence": F.round("confidence", 6)})
+    return ocr.cluster_rows(_sheets(spark, sf_dir)).withColumns({"confidence": F.round("confidence", 6)})
 
 
 @query()
 def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.paragraphs(ocr.row_markdown(ocr.cluster_rows(_clean(spark, sf_dir).where("det_id % 5 = 0")), 1100))
+    return ocr.paragraphs(ocr.row_markdown(ocr.cluster_rows(_sheets(spark, sf_dir)), 1100))
 
 
 @query(f"WITH {_CLEAN} SELECT page, count(*) AS boxes, round(avg(confidence), 6) AS mean, round(sum(confidence * length(text)) / sum(length(text)), 6) AS weighted, round(avg(confidence), 6) < 0.46 AS low FROM clean GROUP BY page")
