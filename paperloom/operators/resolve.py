@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,15 +90,37 @@ def token_set_ratio(a: str, b: str) -> float:
 def name_scores(entries: DataFrame, index: DataFrame, least: float = 87.0) -> DataFrame:
     """catalog_id, family_id, score of the distinct name pairs that can reach ``least``.
 
-    Names meet by a shared word; names with no shared word score by characters only and are
-    far under the review threshold unless nearly equal, which the character prefix key catches."""
-    def keyed(names: DataFrame) -> DataFrame:
-        return names.select("*", F.explode(F.array_distinct(F.concat(F.split("normalized_name", " "), F.array(F.concat(F.lit("^"), F.substring("normalized_name", 1, 3)))))).alias("key"))
+    Names meet by a shared word.  Without one the score is the indel similarity of the ordered words, so
+    ``least`` bounds the indels by the known name's length: cut into one segment more than that, one of
+    them is whole in the other name, moved by no more than the indels."""
+    if not 70 <= least < 100:
+        raise ValueError("segments bound scores from 70 to under 100")
+    by_length = (1 - least / 100) * 200 / least
+    longest = math.ceil(1 / by_length)
 
-    left = keyed(entries.where("normalized_name <> ''").select("normalized_name").distinct())
-    right = keyed(index.where("normalized_name <> ''").select("normalized_name").distinct()).withColumnRenamed("normalized_name", "known_name")
+    def names(frame: DataFrame, name: str) -> DataFrame:
+        words = F.array_sort(F.array_distinct(F.filter(F.split("normalized_name", " "), lambda x: x != "")))
+        return frame.where("normalized_name <> ''").select(F.col("normalized_name").alias(name), words.alias("words")).distinct().withColumn("line", F.array_join("words", " "))
+
+    def parts(size: Column) -> Column:
+        return F.floor(size * by_length + 1e-9).cast("int") + 1
+
+    left, right = names(entries, "normalized_name"), names(index, "known_name")
     # Only distinct names meet, and adaptive execution splits the words that very many of them have.
-    pairs = left.join(right, "key").select("normalized_name", "known_name").distinct()
+    by_word = left.select("normalized_name", F.explode("words").alias("key")).join(right.select("known_name", F.explode("words").alias("key")), "key").select("normalized_name", "known_name")
+    line, n = F.col("line"), F.length("line")
+
+    def bound(j: Column) -> Column:
+        return F.floor(n * j / parts(n)).cast("int")
+
+    cut = F.transform(F.sequence(F.lit(0), parts(n) - 1), lambda j: F.struct(F.substring(line, bound(j) + 1, bound(j + 1) - bound(j)).alias("key"), bound(j).alias("at")))
+    runs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - k)), lambda m: F.struct(F.substring(line, k + 1, m).alias("key"), k.alias("at")))))
+    a = left.select("normalized_name", F.col("words").alias("x"), n.alias("nx"), F.explode(runs).alias("e")).select("*", "e.key", F.col("e.at").alias("ax"))
+    b = right.select("known_name", F.col("words").alias("y"), n.alias("ny"), F.explode(cut).alias("e")).select("*", "e.key", F.col("e.at").alias("ay"))
+    both = F.col("nx") + F.col("ny")
+    close = (200 * F.least("nx", "ny") + 1e-6 >= least * both) & (F.abs(F.col("ax") - F.col("ay")) <= (1 - least / 100) * both + 1e-6)
+    by_segment = a.drop("e").join(b.drop("e"), "key").where(close & ~F.arrays_overlap("x", "y")).select("normalized_name", "known_name")
+    pairs = by_word.unionByName(by_segment).distinct()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -106,7 +129,9 @@ def name_scores(entries: DataFrame, index: DataFrame, least: float = 87.0) -> Da
 
     scored = pairs.mapInPandas(score, "normalized_name string, known_name string, score double")
     known = index.select(F.col("normalized_name").alias("known_name"), "family_id").distinct()
-    return entries.select("catalog_id", "normalized_name").join(scored, "normalized_name").join(known, "known_name").groupBy("catalog_id", "family_id").agg(F.max("score").alias("score"))
+    # Names are fewer than entries: each family's best score is taken before entries join.
+    best = scored.join(known, "known_name").groupBy("normalized_name", "family_id").agg(F.max("score").alias("score"))
+    return entries.select("catalog_id", "normalized_name").distinct().join(best, "normalized_name").groupBy("catalog_id", "family_id").agg(F.max("score").alias("score"))
 
 
 def fuzzy_candidates(scores: DataFrame, threshold: float = 90.0, band: float = 3.0) -> DataFrame:

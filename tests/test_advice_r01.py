@@ -5,6 +5,7 @@ import statistics
 
 import pytest
 
+from paperloom.operators import resolve
 from paperloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,23 @@ def test_rows_and_paragraphs_hold_all_detections(spark):
     assert sorted((r["page"], r["row"], r["text"]) for r in got) == sorted(want)
     written = registry.QUERIES["page_paragraphs"](spark, SF).collect()
     assert sorted(w for r in written for w in r["markdown"].removeprefix("## ").split()) == sorted(b["text"] for b in clean)
+
+
+def test_name_scores_find_pairs_without_a_shared_word(spark):
+    rng = random.Random(4)
+    made = {"khoahoc", "nkhoahoc", "taichinhke", "xaichinhke", "a", "ab", "abcd"}
+    while len(made) < 150:
+        made.add(" ".join("".join(rng.choices("abcdk", k=rng.randint(1, 12))) for _ in range(rng.randint(1, 3))))
+    for n in sorted(made):
+        for _ in range(2):
+            k = rng.randint(0, min(3, len(n)))
+            made.add((n[:k] + rng.choice("abxyz") + n[k + rng.randint(0, 1) :]).strip())
+    rng.shuffle(names := sorted(made))
+    left, right = names[::2], names[1::2]
+    left, right = [*left, "nkhoahoc"], [*right, "khoahoc"]
+    entries = spark.createDataFrame([(n, n) for n in sorted(set(left))], "catalog_id string, normalized_name string")
+    index = spark.createDataFrame([(n, n) for n in sorted(set(right))], "family_id string, normalized_name string")
+    for least in (87.0, 75.0):
+        got = {(r["catalog_id"], r["family_id"]): r["score"] for r in resolve.name_scores(entries, index, least).collect()}
+        assert got == {(a, b): s for a in left for b in right if (s := resolve.token_set_ratio(a, b)) >= least}
+        assert got["nkhoahoc", "khoahoc"] == pytest.approx(1400 / 15)
