@@ -1,8 +1,8 @@
 """Media columns: WAV files, their spectra, and fingerprints of spectral-peak pairs.
 
 Payload bytes are the unsigned 8-bit samples of a mono WAV file (binary column ``media``).
-Reading goes through the ``wave`` module; frames of FRAME samples are transformed, the PEAKS
-strongest bins of each are kept, and each peak is paired with the others of its frame and the peaks of the next FAN frames.
+Reading goes through the ``wave`` module; frames of FRAME samples, a HOP apart and with silence
+before and after the payload, are transformed, the PEAKS strongest bins of each are kept, and each peak is paired with the others of its frame and the peaks of the next FAN frames.
 A pair is the time-coded integer  frame << 32 | hash,  hash = bin << 17 | bin of the later << 3 | frames between.
 Null is empty text: payload of one frame of filler.  Equal payloads give equal files and features.
 """
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.shared import by_batch
 
 FRAME, RATE, FILLER = 576, 8000, 255
+#: Samples from one frame to the next, half a frame: a byte at the end of one is in the middle of another.
+HOP = 288
 PEAKS, FAN = 3, 3
 
 
@@ -45,9 +47,12 @@ def padded(data: bytes, block: int = FRAME) -> bytes:
     return data + bytes([FILLER]) * (-len(data) % block or block * (not data))
 
 
-def peaks(samples: bytes, frame: int = FRAME, kept: int = PEAKS) -> np.ndarray:
-    """Frames x kept: the strongest bins of each frame's spectrum, ascending; ties go to the lower bin."""
-    whole, window, out = np.frombuffer(samples, np.uint8).reshape(-1, frame), np.hanning(frame), []
+def peaks(samples: bytes, frame: int = FRAME, kept: int = PEAKS, hop: int = HOP) -> np.ndarray:
+    """Frames x kept: the strongest bins of each frame's spectrum, ascending; ties go to the lower bin.
+
+    Frames start every ``hop`` samples, the first and the last reaching over the ends."""
+    ends = np.pad(np.frombuffer(samples, np.uint8), (frame - hop, frame - hop + -len(samples) % hop), constant_values=128)
+    whole, window, out = np.lib.stride_tricks.sliding_window_view(ends, frame)[::hop], np.hanning(frame), []
     for k in range(0, len(whole), 1024):
         power = np.abs(np.fft.rfft((whole[k : k + 1024] - 128.0) * window, axis=1))[:, 1:].round(3)
         out.append(np.sort(np.argsort(-power, axis=1, kind="stable")[:, :kept], axis=1) + 1)
@@ -55,7 +60,7 @@ def peaks(samples: bytes, frame: int = FRAME, kept: int = PEAKS) -> np.ndarray:
 
 
 def pairs(bins: np.ndarray, fan: int = FAN) -> np.ndarray:
-    """Time-coded hashes of all peak pairs up to ``fan`` frames apart (0: both in one frame, the lower bin first), ascending."""
+    """Time-coded hashes of all peak pairs up to ``fan`` frames, that is hops, apart (0: both in one frame, the lower bin first), ascending."""
     low, high = np.triu_indices(bins.shape[1], 1)
     whole = bins.astype(np.int64)
     out = [(np.arange(len(bins), dtype=np.int64)[:, None] << 32 | whole[:, low] << 17 | whole[:, high] << 3).ravel()]
