@@ -1,70 +1,120 @@
 """Line deduplication by a segment-partition edit join.
 
 Lines are cut at line feeds.  Of equal lines the first occurrence stays (by doc_id, then place);
-of lines within edit distance 1 of a line whose first occurrence is earlier, none stays.  Blank
-lines always stay and lines under SHORTEST characters are only compared for equality.
-
-Two strings within distance 1 agree outside one of any m consecutive segments of the shorter.
-The join starts with threshold + 1 = 2 segments: each distinct line is indexed by its length and
-the string without one segment, and probes the indexes of its own length and of one less, with
-substrings placed by the length difference.  A key that more than CROWDED lines share is not
-paired: its lines come again with finer segments (16, then 128), whose keys only close lines
-share.  What is crowded even then comes with the keys of single edits (the line without one
-character), which decide without pairing.  Candidate pairs are verified by a banded bit-parallel
-automaton: one long for each number of errors, one bit a diagonal.
-
-All is DataFrame expressions.  Lines travel as hashes and places; texts are fetched for
-candidates only.  Rows that repeat doc_id and text are one document, and all get its result.
-Null texts stay null with no lines; an empty text is one blank line.
+of lines near a line whose first occurrence is earlier, none stays.  Blank lines always stay.
+Two lines are near if their edit distance is at most what the shorter's length allows: one edit
+for every PER_EDIT characters, at least one and at most ``most`` (a parameter; 2 unless said).
+
+Two strings within distance t agree on at least one of any t + 1 consecutive segments of the
+shorter.  Each distinct line indexes its t + 1 segments under its length and probes the indexes
+of its own length and of up to t less, with the substrings that a shift by some of the length
+difference and the edits left on either side allow.  Pairs that meet are verified by a banded
+bit-parallel automaton, one long for each number of errors, one bit a diagonal, on what is left
+of them between their common ends.
+
+A key that more than CROWDED lines share is not paired: its lines come again with FINER segments,
+of which all but t agree, in keys of all those together.  Lines that are crowded even then come
+with keys of edits: the line without the characters that a sequence of t edits would touch, and
+the edits.  Lines that share such a key are near, so each is verified against the earliest only.
+No step pairs all lines of a group, however large; keys of edits are about 9/2 n^2 for n
+characters and two edits, for lines only that agree with CROWDED others on all but 2 of 24 parts.
+
+All is DataFrame expressions.  Distinct lines are kept once, bucketed by their hashes, so that
+only keys are shuffled and the texts of candidates are read in place.  Rows that repeat doc_id
+and text are one document, and all get its result.  Null ids come first.  Null texts stay null
+with no lines; an empty text is one blank line; an empty table gives an empty one.  Ties: a line
+is earlier by (doc_id, hash of the text, place), so no two distinct lines are equally early.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from itertools import combinations, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import written
+from paperloom.llm.shared import bucketed, clean, made, written
 
 PLACE = ["known", "doc", "version", "line_no"]
+#: A line's name in keys and pairs: 96 bits of hashes.
+LINE = ["h", "c"]
 
-SHORTEST = 16
-CROWDED = 32
-#: Segments of successive rounds.
-ROUNDS = (2, 16, 128)
-
-
-def places(docs: DataFrame) -> DataFrame:
-    """known, doc, version (a document's identity without nulls, in its order) and text."""
-    return docs.where("text IS NOT NULL").select(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc"), F.xxhash64("text").alias("version"), "text")
-
-
-def segment_keys(line: Column, segments: int) -> Column:
-    """array<struct<key, longer>>: the line's keys for lines of its own length (longer false) and of one less (longer true)."""
-    n = F.length(line)
-
-    def entry(size: Column, j: Column, longer: bool) -> Column:
-        start, end = F.floor(size * j / segments).cast("int"), F.floor(size * (j + 1) / segments).cast("int")
-        left, right = F.substring(line, F.lit(1), start), F.substring(line, n - (size - end) + 1, n)
-        return F.struct(F.xxhash64(size, F.lit(segments), j, left, right).alias("key"), F.lit(longer).alias("longer"))
+MOST, PER_EDIT = 2, 10
+CROWDED = 64
+#: Segments of the rounds after the first.
+FINER = (8, 24)
 
-    if segments <= 4:
-        return F.array(*[entry(n - longer, F.lit(j), bool(longer)) for longer in (0, 1) for j in range(segments)])
-    every = F.sequence(F.lit(0), F.lit(segments - 1))
-    return F.concat(F.transform(every, lambda j: entry(n, j, False)), F.transform(every, lambda j: entry(n - 1, j, True)))
 
+def allowed(length: Column, most: int) -> Column:
+    """Edits that a line of this length, the shorter of a pair, allows."""
+    return F.least(F.lit(most), F.greatest(F.lit(1), F.floor(length / PER_EDIT).cast("int")))
 
-def edit_keys(line: Column) -> Column:
-    """array<struct<key, role>>: ``whole``; ``less``, the line without each character; ``blank``, the same with the place."""
-    n = F.length(line)
 
-    def without(j: Column) -> Column:
-        return F.concat(F.substring(line, F.lit(1), j), F.substring(line, j + 2, n))
-
-    every = F.sequence(F.lit(0), n - 1)
-    whole = F.array(F.struct(F.xxhash64(F.lit("one"), line).alias("key"), F.lit("whole").alias("role")))
-    less = F.transform(every, lambda j: F.struct(F.xxhash64(F.lit("one"), without(j)).alias("key"), F.lit("less").alias("role")))
-    blank = F.transform(every, lambda j: F.struct(F.xxhash64(F.lit("two"), j, without(j)).alias("key"), F.lit("blank").alias("role")))
-    return F.array_distinct(F.concat(whole, less, blank))
+def places(docs: DataFrame) -> DataFrame:
+    """known, doc, version (a document's identity without nulls, in its order) and text."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc")
+    return docs.where("text IS NOT NULL").select(F.col("doc_id").isNotNull().alias("known"), doc, F.xxhash64("text").alias("version"), "text")
+
+
+def patterns(edits: int, segments: int) -> list[dict]:
+    """What a line of length l + ``longer`` has in common with one of length l within ``edits``.
+
+    ``kept`` are ranges of the shorter's segments and by how much they are shifted in the longer: one
+    segment where there are edits + 1, all but ``edits`` of them where there are more.  ``own`` is the
+    shorter's side itself, and ``part`` names what is kept."""
+    out = []
+    for longer in range(edits + 1):
+        if segments == edits + 1:
+            for k in range(segments):
+                for shift in range(max(-k, longer - (edits - k)), min(k, longer + edits - k) + 1):
+                    out.append({"part": k, "longer": longer, "own": longer == shift == 0, "kept": [(k, k + 1, shift)]})
+            continue
+        # The shift changes at each segment left out, by as many edits as it takes.
+        ways = [(0, *s, longer) for s in product(range(-edits, edits + 1), repeat=edits - 1)]
+        ways = [s for s in ways if sum(abs(x - y) for x, y in zip(s, s[1:], strict=False)) <= edits]
+        for part, left_out in enumerate(combinations(range(segments), edits)):
+            cuts = (-1, *left_out, segments)
+            for shifts in ways:
+                kept = [(x + 1, y, s) for x, y, s in zip(cuts, cuts[1:], shifts, strict=False) if y > x + 1]
+                out.append({"part": part, "longer": longer, "own": not any(shifts), "kept": kept})
+    return out
+
+
+def segment_keys(line: Column, segments: int | None, most: int) -> Column:
+    """array<struct<key, own>>: the line's keys as the shorter (own) and as the longer of a pair; edits + 1 segments if not said."""
+    n, out = F.length(line), []
+    kind = "array<struct<part:int,longer:int,own:boolean,kept:array<struct<x:int,y:int,shift:int>>>>"
+
+    def piece(size: Column, m: int, x, y, shift) -> Column:
+        start = F.floor(size * x / m).cast("int")
+        return F.substring(line, start + shift + 1, F.floor(size * y / m).cast("int") - start)
+
+    def entries(rows: list[dict], edits: int, m: int) -> Column:
+        """Many patterns, as one table that each line goes through."""
+        text = json.dumps([p | {"kept": [dict(zip(("x", "y", "shift"), k, strict=True)) for k in p["kept"]]} for p in rows])
+
+        def entry(p: Column) -> Column:
+            size = n - p["longer"]
+            kept = F.concat_ws("\n", F.transform(p["kept"], lambda k: piece(size, m, k["x"], k["y"], k["shift"])))
+            return F.struct(F.xxhash64(size, F.lit(edits), F.lit(m), p["part"], kept).alias("key"), p["own"].alias("own"))
+
+        return F.transform(F.filter(F.from_json(F.lit(text), kind), lambda p: (n > p["longer"]) & (allowed(n - p["longer"], most) == edits)), entry)
+
+    for edits in range(1, most + 1):
+        m = segments or edits + 1
+        every, by = patterns(edits, m), {}
+        if len(every) > 64:
+            out.append(entries(every, edits, m))
+            continue
+        for p in every:
+            by.setdefault(p["longer"], []).append(p)
+        for longer, some in by.items():
+            size = n - longer
+            keys = [F.struct(F.xxhash64(size, F.lit(edits), F.lit(m), F.lit(p["part"]), F.concat_ws("\n", *[piece(size, m, *k) for k in p["kept"]])).alias("key"), F.lit(p["own"]).alias("own")) for p in some]
+            out.append(F.when((size > 0) & (allowed(size, most) == edits), F.array(*keys)).otherwise(F.array().cast("array<struct<key:bigint,own:boolean>>")))
+    return F.concat(*out)
 
 
 def codes(line: Column) -> Column:
@@ -97,92 +147,145 @@ def within(x: Column, y: Column, most: int = 1) -> Column:
     return (F.abs(m - n) <= most) & (F.call_function("shiftright", F.get(last, F.lit(most)), m - n + most).bitwiseAND(F.lit(1).cast("long")) == 1)
 
 
-def texts_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """first, line, crowded: the lines at the places asked for."""
-    asked = firsts.groupBy("first").agg(F.max("crowded").alias("crowded")).groupBy("first.known", "first.doc", "first.version").agg(F.collect_list(F.struct("first", "crowded")).alias("asked"))
+def common(x: Column, y: Column) -> Column:
+    """How many elements the heads of two arrays share."""
+    n = F.least(F.size(x), F.size(y))
+    at = F.array_position(F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda a, b: a == b), False)
+    return F.when(at > 0, at.cast("int") - 1).otherwise(n)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """h, c of the later line of each pair (a, b) of line names that is near; ``texts`` has first and codes by h, c."""
+    t = texts.select(F.struct(*LINE).alias("line"), F.struct("first", "codes").alias("t"))
+    both = pairs.join(t.select(F.col("line").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("line").alias("b"), F.col("t").alias("tb")), "b")
+    both = both.select("a", "b", (F.col("ta.first") < F.col("tb.first")).alias("forward"), F.col("ta.codes").alias("x"), F.col("tb.codes").alias("y"))
+    both = both.withColumn("most", allowed(F.least(F.size("x"), F.size("y")), most)).where(F.abs(F.size("x") - F.size("y")) <= F.col("most"))
+    # Common ends go: they don't change the distance.
+    n = common(F.col("x"), F.col("y"))
+    both = both.withColumns({"x": F.slice("x", n + 1, F.size("x")), "y": F.slice("y", n + 1, F.size("y"))})
+    n = common(F.reverse("x"), F.reverse("y"))
+    both = both.withColumns({"x": F.slice("x", F.lit(1), F.size("x") - n), "y": F.slice("y", F.lit(1), F.size("y") - n)})
+    near = reduce(lambda so_far, k: so_far | ((F.col("most") == k) & within(F.col("x"), F.col("y"), k)), range(1, most + 1), F.lit(False))
+    return both.where(near).select(F.when(F.col("forward"), F.col("b")).otherwise(F.col("a")).alias("line")).select("line.*")
+
+
+def met(entries: DataFrame) -> DataFrame:
+    """The entries (h, c, key, own) of keys where two lines meet, one of them as its own; with ``n``, how many."""
+    one = F.lit(1).cast("long") + F.when(F.col("own"), F.lit(1 << 32)).otherwise(0)
+    keys = entries.groupBy("key").agg(F.sum(one).alias("w")).select("key", F.col("w").bitwiseAND(F.lit((1 << 32) - 1)).alias("n"), F.shiftright("w", 32).alias("mine")).where("n > 1 AND mine > 0")
     # Both sides grow with the data, so the join is a sort-merge join at any size.
-    rows = places(docs).join(asked.hint("merge"), ["known", "doc", "version"]).select(F.split("text", "\n").alias("cut"), F.explode("asked").alias("a"))
-    return rows.select("a.first", F.get("cut", F.col("a.first.line_no")).alias("line"), "a.crowded").dropDuplicates(["first"])
-
-
-def near_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the distinct lines (first, size, keys), those within distance 1 of an earlier one: ``first`` of each."""
-    entries, found = lines.where(F.col("size") >= SHORTEST).select("first", F.explode("keys").alias("e")).select("first", "e.key", "e.longer"), []
-    for k, _ in enumerate(ROUNDS):
-        # A key matters where two lines meet, one of them of the key's own length.
-        met = entries.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("longer")).alias("own")).where("n > 1 AND own > 0")
-        shared = written(entries.join(met, "key"), "line-keys")
-        near = shared.where(F.col("n") <= CROWDED)
-        a, b = near.select("key", F.col("first").alias("a"), F.col("longer").alias("al")), near.select("key", F.col("first").alias("b"), F.col("longer").alias("bl"))
-        pairs = written(a.join(b, "key").where((F.col("a") < F.col("b")) & ~(F.col("al") & F.col("bl"))).select("a", "b").distinct(), "line-pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("first"), F.lit(False).alias("crowded"))
-        crowded = shared.where(F.col("n") > CROWDED).select("first", F.lit(True).alias("crowded"))
-        texts = written(texts_of(docs, needed.unionByName(crowded)).withColumn("codes", codes(F.col("line"))), "line-texts")
-        t = texts.select("first", "codes")
-        both = pairs.join(t.select(F.col("first").alias("a"), F.col("codes").alias("x")), "a").join(t.select(F.col("first").alias("b"), F.col("codes").alias("y")), "b")
-        found.append(both.where(within(F.col("x"), F.col("y"))).select(F.col("b").alias("first")))
-        again = texts.where("crowded").select("first", "line")
-        if again.isEmpty():
+    return written(entries.join(keys.select("key", "n").hint("merge"), "key"), "line-keys")
+
+
+def met_pairs(shared: DataFrame) -> DataFrame:
+    """a, b: line names that meet in a key of CROWDED lines at most, the lesser first."""
+    groups = shared.where(F.col("n") <= CROWDED).groupBy("key").agg(F.collect_set(F.struct(*LINE, "own")).alias("g"))
+    one = groups.select(F.explode(F.filter("g", lambda e: e["own"])).alias("a"), "g").select("a", F.explode("g").alias("b"))
+    a, b = F.struct(*[F.col("a")[k].alias(k) for k in LINE]), F.struct(*[F.col("b")[k].alias(k) for k in LINE])
+    return one.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def near_lines(lines: DataFrame, most: int) -> DataFrame:
+    """h, c of the distinct ``lines`` (h, c, first, line) that are near an earlier one."""
+    since, again, found = made(), lines.select(*LINE, "line"), []
+    for segments in (None, *FINER):
+        shared = met(again.select(*LINE, F.explode(segment_keys(F.col("line"), segments, most)).alias("e")).select(*LINE, "e.*"))
+        pairs = written(met_pairs(shared), "line-pairs")
+        crowded = shared.where(F.col("n") > CROWDED).select(*LINE, F.lit(True).alias("crowded"))
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("e")).select("e.*", F.lit(False).alias("crowded")).unionByName(crowded)
+        asked = asked.groupBy(*LINE).agg(F.max("crowded").alias("crowded"))
+        texts = written(lines.join(asked.hint("merge"), LINE).select(*LINE, "first", "line", codes(F.col("line")).alias("codes"), "crowded"), "line-texts")
+        found.append(verified(pairs, texts, most))
+        crowded = texts.where("crowded")
+        if crowded.isEmpty():
             break
-        if k + 1 < len(ROUNDS):
-            entries = again.select("first", F.explode(segment_keys(F.col("line"), ROUNDS[k + 1])).alias("e")).select("first", "e.key", "e.longer")
-        else:
-            found.append(by_single_edits(again))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
-
-
-def by_single_edits(lines: DataFrame) -> DataFrame:
-    """``first`` of the lines within distance 1 of an earlier one, by keys alone.
-
-    Lines that share a ``blank`` key differ by a substitution; one that has as ``less`` what another has as ``whole``, by an insertion."""
-    entries = lines.select("first", F.explode(edit_keys(F.col("line"))).alias("e")).select("first", "e.key", "e.role")
-    least = entries.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("first"))).alias(r) for r in ("whole", "less", "blank")])
-    late = entries.join(least, "key").where(
-        ((F.col("role") == "blank") & (F.col("first") > F.col("blank"))) | ((F.col("role") == "less") & (F.col("first") > F.col("whole"))) | ((F.col("role") == "whole") & (F.col("first") > F.col("less")))
-    )
-    return late.select("first")
-
-
-def kept_places(docs: DataFrame) -> DataFrame:
+        again = crowded.select(*LINE, "line")
+    else:
+        found.append(verified(by_edits(crowded.select(*LINE, "first", "line"), most), crowded, most))
+    out = written(reduce(DataFrame.unionByName, found).distinct(), "near-lines")
+    clean(lines.sparkSession, since, newest=1)
+    return out
+
+
+def by_edits(lines: DataFrame, most: int) -> DataFrame:
+    """a, b: each of ``lines`` (h, c, first, line) with the earliest line that shares a key of edits with it, if that is earlier.
+
+    An edit substitutes a character (S), or deletes one of the line (D) or of the other (I); a key is the
+    edits, what is kept before each, and what is kept in all.  The other has the same key with D and I changed about."""
+    every = []
+    for edits in range(1, most + 1):
+        state = lines.select(*LINE, "first", F.length("line").alias("n"), F.lit("").alias("kept"), F.col("line").alias("rest"), F.lit("").alias("at"), F.lit("").alias("ops"))
+        for _ in range(edits):
+            state = state.select("*", F.explode(F.sequence(F.lit(0), F.length("rest"))).alias("k")).select("*", F.explode(F.array(*map(F.lit, "SDI"))).alias("op")).where((F.col("op") == "I") | (F.col("k") < F.length("rest")))
+            left = F.substring("rest", F.lit(1), F.col("k"))
+            after = F.col("k") + F.when(F.col("op") == "I", 1).otherwise(2)
+            state = state.select(*LINE, "first", "n", F.concat("kept", left).alias("kept"), F.substring("rest", after, F.col("n")).alias("rest"), F.concat_ws(",", "at", F.length("kept") + F.col("k")).alias("at"), F.concat("ops", "op").alias("ops"))
+        other = F.translate("ops", "DI", "ID")
+        shorter = F.col("n") + F.least(F.lit(0), F.length(F.regexp_replace("ops", "[SD]", "")) - F.length(F.regexp_replace("ops", "[SI]", "")))
+        state = state.where(allowed(shorter, most) == edits)
+        side = F.when(F.col("ops") == other, 0).when(F.col("ops") < other, 1).otherwise(2)
+        every.append(state.select(*LINE, "first", F.xxhash64(F.least("ops", other), "at", "kept", "rest").alias("key"), side.alias("side")))
+    entries = reduce(DataFrame.unionByName, every)
+    name = F.struct("first", *LINE)
+    least = entries.groupBy("key").agg(*[F.min(F.when(F.col("side") == s, name)).alias(f"m{s}") for s in (0, 1, 2)])
+    partner = F.when(F.col("side") == 0, F.col("m0")).when(F.col("side") == 1, F.col("m2")).otherwise(F.col("m1"))
+    found = entries.join(least.hint("merge"), "key").withColumn("p", partner).where(F.col("p.first") < F.col("first"))
+    return found.select(F.struct(*[F.col("p")[k].alias(k) for k in LINE]).alias("a"), F.struct(*LINE).alias("b")).distinct()
+
+
+def kept_places(docs: DataFrame, most: int) -> DataFrame:
     """known, doc, version, kept and firsts: of each document, the places of its lines that stay, and of those that occur there first."""
     rows = places(docs).select("known", "doc", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    rows = rows.select(F.struct(F.xxhash64("line").alias("h"), F.crc32("line").alias("c"), F.length("line").alias("size")).alias("id"), F.struct(*PLACE).alias("first"), segment_keys(F.col("line"), ROUNDS[0]).alias("keys"))
-    lines = written(rows.groupBy("id").agg(F.min("first").alias("first"), F.any_value("keys").alias("keys")).select("first", "id.size", "keys"), "distinct-lines")
-    near = near_lines(lines, docs).withColumn("near", F.lit(True))
-    marked = lines.select("first").join(near, "first", "left")
+    rows = rows.select(F.xxhash64("line").alias("h"), F.hash("line").alias("c"), F.struct(*PLACE).alias("first"), "line")
+    lines = bucketed(rows.groupBy(*LINE).agg(F.min("first").alias("first"), F.any_value("line").alias("line")), "distinct-lines", *LINE)
+    near = near_lines(lines, most).withColumn("near", F.lit(True))
+    marked = lines.select(*LINE, "first").join(near.hint("merge"), LINE, "left")
     return marked.groupBy("first.known", "first.doc", "first.version").agg(F.count("*").alias("firsts"), F.collect_list(F.when(F.col("near").isNull(), F.col("first.line_no"))).alias("kept"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, most: int = MOST) -> DataFrame:
     """All columns of ``docs`` (doc_id, text and any others), ``text`` without the lines that go, with _lines, _blank, _exact and _near: numbers of lines, of blank ones, and of those gone as copies and as near copies (columns of these names are replaced)."""
     # Other columns travel in one struct, so that their names don't matter here.
     rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")]).alias("rest"))
-    kept = kept_places(docs.select("doc_id", "text"))
+    kept = kept_places(docs.select("doc_id", "text"), most)
     same = (F.col("doc_id").isNotNull() == F.col("known")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")) == F.col("doc")) & (F.xxhash64("text") == F.col("version"))
-    out = rows.join(kept, same, "left").withColumns({"cut": F.split("text", "\n"), "kept": F.coalesce("kept", F.array().cast("array<int>"))})
+    out = rows.join(kept.hint("merge"), same, "left").withColumns({"cut": F.split("text", "\n"), "kept": F.coalesce("kept", F.array().cast("array<int>"))})
     out = out.withColumn("empty", F.filter(F.transform("cut", lambda x, k: F.when(F.trim(x) == "", k)), lambda k: k.isNotNull()))
     stays = F.transform(F.array_sort(F.concat("kept", "empty")), lambda k: F.get("cut", k))
     zero = F.lit(0)
     counts = {"_lines": F.coalesce(F.size("cut"), zero), "_blank": F.coalesce(F.size("empty"), zero), "firsts": F.coalesce("firsts", zero), "clean": F.when(F.col("text").isNotNull(), F.array_join(stays, "\n"))}
-    out = out.withColumns(counts).withColumns({"_exact": F.when(F.col("text").isNull(), 0).otherwise(F.col("_lines") - F.col("_blank") - F.col("firsts")), "_near": F.col("firsts") - F.size("kept")})
+    gone = {"_exact": F.when(F.col("text").isNull(), 0).otherwise(F.col("_lines") - F.col("_blank") - F.col("firsts")), "_near": F.col("firsts") - F.size("kept")}
+    out = out.withColumns(counts).withColumns(gone)
     own = {"doc_id": F.col("doc_id"), "text": F.col("clean").alias("text")}
-    made = ("_lines", "_blank", "_exact", "_near")
-    return out.select(*[own[c] if c in own else F.col("rest")[c].alias(c) for c in docs.columns if c not in made], *made)
+    new = ("_lines", "_blank", "_exact", "_near")
+    return out.select(*[own[c] if c in own else F.col("rest")[c].alias(c) for c in docs.columns if c not in new], *new)
+
+
+def _without_head(a: str, b: str) -> str:
+    """DuckDB: how many characters the heads of two strings share."""
+    return f"list_max(list_filter(range(0, least(length({a}), length({b})) + 1), lambda i: substring({a}, 1, i) = substring({b}, 1, i)))"
+
 
+def oracle(most: int = MOST) -> str:
+    """doc_id, n_lines, n_exact, n_near and text_md5 over DuckDB's ``documents`` with distinct, known ids, every pair of lines of like length compared.
 
-def oracle() -> str:
-    """doc_id, n_lines, n_exact, n_near and text_md5 over DuckDB's ``documents`` with distinct, known ids, every pair of lines of like length compared."""
+    DuckDB's levenshtein counts bytes, so pairs it leaves (4 bytes a character) are judged again by characters: after the
+    heads that two lines share, each way of one edit leads to a pair that has one edit less to go."""
+    step, cases = [], []
+    for k in range(most):
+        a, b = f"a{k}", f"b{k}"
+        ways = [(f"substring({a}, h + 2)", f"substring({b}, h + 2)"), (f"substring({a}, h + 2)", f"substring({b}, h + 1)"), (f"substring({a}, h + 1)", f"substring({b}, h + 2)")]
+        cut = f"(SELECT *, {_without_head(a, b)} AS h FROM s{k})"
+        step.append(f"s{k + 1} AS (" + " UNION ".join(f"SELECT id, later, edits, {x} AS a{k + 1}, {y} AS b{k + 1} FROM {cut}" for x, y in ways) + ")")
+        cases.append(f"SELECT later FROM s{k + 1} WHERE edits >= {k + 1} AND a{k + 1} = b{k + 1}")
     return f"""
 WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
 firsts AS (SELECT line, length(line) AS n, min((doc_id, k)) AS f FROM cut WHERE trim(line, ' ') <> '' GROUP BY line),
-near AS (SELECT DISTINCT b.line FROM firsts a JOIN firsts b ON a.n BETWEEN b.n - 1 AND b.n + 1 AND a.f < b.f
-  WHERE a.n >= {SHORTEST} AND b.n >= {SHORTEST} AND levenshtein(a.line, b.line) <= 4
-  AND len(list_filter(range(0, greatest(a.n, b.n)), lambda i: substring(a.line, 1, i) = substring(b.line, 1, i)
-    AND (substring(a.line, i + 2) = substring(b.line, i + 2) OR substring(a.line, i + 1) = substring(b.line, i + 2) OR substring(a.line, i + 2) = substring(b.line, i + 1)))) > 0),
-judged AS (SELECT cut.*, trim(line, ' ') = '' AS blank, f = (doc_id, k) AS is_first, line IN (SELECT line FROM near) AS is_near FROM cut LEFT JOIN firsts USING (line))
+s0 AS (SELECT row_number() OVER () AS id, b.line AS later, least({most}, greatest(1, least(a.n, b.n) // {PER_EDIT})) AS edits, a.line AS a0, b.line AS b0
+  FROM firsts a JOIN firsts b ON a.n BETWEEN b.n - {most} AND b.n + {most} AND a.f < b.f WHERE levenshtein(a.line, b.line) <= {4 * most}),
+{", ".join(step)},
+near AS ({" UNION ".join(cases)}),
+judged AS (SELECT cut.*, trim(line, ' ') = '' AS blank, f = (doc_id, k) AS is_first, line IN (SELECT later FROM near) AS is_near FROM cut LEFT JOIN firsts USING (line))
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, CASE WHEN d.text IS NOT NULL THEN md5(coalesce(t, '')) END AS text_md5
 FROM documents d LEFT JOIN (
   SELECT doc_id, count(*)::INT AS n_lines, (count(*) FILTER (WHERE NOT blank AND NOT is_first))::BIGINT AS n_exact, (count(*) FILTER (WHERE NOT blank AND is_first AND is_near))::BIGINT AS n_near,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,16 +17,22 @@ ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one, which is then set."""
+    """The folder named in ``spark.checkpoint.dir``; a local session without one gets a temporary folder, which is then set.
+
+    On a cluster the driver and the executors share no temporary folder, so there it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='paperloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Folders that this process wrote and has not deleted, and tables of the catalog over some of them.
 _made: list[str] = []
+_names: dict[str, str] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -33,12 +40,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
-def clean(spark: SparkSession) -> None:
-    """Deletes the tables this process wrote to the shared folder; results that still read them are lost."""
-    jvm = spark.sparkContext._jvm
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+def made() -> int:
+    """How many folders there are; ``clean`` from here on deletes the later ones."""
+    return len(_made)
+
+
+def clean(spark: SparkSession, since: int = 0, newest: int = 0) -> None:
+    """Deletes the tables that this process wrote to the shared folder, but for the first ``since`` and the last ``newest``; results that still read them are lost."""
+    jvm, end = spark.sparkContext._jvm, len(_made) - newest
+    for own in _made[since:end]:
+        if own in _names:
+            spark.sql(f"DROP TABLE IF EXISTS {_names.pop(own)}")
+        path = jvm.org.apache.hadoop.fs.Path(own)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[since:end]
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -48,6 +63,16 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *columns: str, codec: str = "zstd") -> DataFrame:
+    """The same, bucketed by ``columns`` as a shuffle by them deals rows out: ``df`` comes so from a grouping, and joins by them read the table without a shuffle."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.format("parquet").option("compression", codec).option("path", path).bucketBy(buckets, *columns).saveAsTable(table)
+    _names[path] = table
+    return spark.table(table)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """For the plain column types the operators return."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64())}

@@ -165,14 +165,18 @@ def edits(a, b):
     return row[-1]
 
 
-def brute_lines(rows):
+def brute_lines(rows, most):
     first = {}
     for d, t in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0)):
         for k, line in enumerate(t.split("\n")):
             if line.strip(" "):
                 first.setdefault(line, ((d is not None, d or 0), k))
-    lines = list(first)
-    near = {b for b in lines if len(b) >= line_dedup.SHORTEST and any(first[a] < first[b] and len(a) >= line_dedup.SHORTEST and abs(len(a) - len(b)) <= 1 and edits(a, b) <= 1 for a in lines)}
+    lines, near = list(first), set()
+    for k, a in enumerate(lines):
+        for b in lines[:k]:
+            allowed = min(most, max(1, min(len(a), len(b)) // 10))
+            if abs(len(a) - len(b)) <= allowed and (len(a) < 500 or a[:50] == b[:50]) and edits(a[max(0, min(len(a), len(b)) - 500) :], b[max(0, min(len(a), len(b)) - 500) :]) <= allowed:
+                near.add(max(a, b, key=first.get))
     out = {}
     for d, t in rows:
         key = (d is not None, d or 0)
@@ -180,21 +184,29 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("crowded", [32, 1])
-def test_op4_line_dedup(spark, docs, empty, monkeypatch, crowded):
+@pytest.mark.parametrize("crowded,most,finer", [(64, 3, ()), (2, 2, (8, 24)), (2, 1, (16,))])
+def test_op4_line_dedup(spark, docs, empty, monkeypatch, crowded, most, finer):
     monkeypatch.setattr(line_dedup, "CROWDED", crowded)
-    rng = random.Random(crowded)
-    base = ["the quick brown fox é jumps over", "a line that is long enough to compare", "short", "größere Zeilen mit Umlauten ÄÖÜ"]
+    monkeypatch.setattr(line_dedup, "FINER", finer)
+    rng = random.Random(10 * crowded + most)
+    base = ["the quick brown fox é jumps over", "a line that is long enough to be compared", "short", "größere Zeilen mit Umlauten ÄÖÜ", "ab"]
 
     def changed(x):
         k = rng.randrange(len(x))
-        return rng.choice([x[:k] + x[k + 1 :], x[:k] + rng.choice("aé z") + x[k:], x[:k] + rng.choice("bü") + x[k + 1 :]])
+        return rng.choice([x[:k] + x[k + 1 :], x[:k] + rng.choice("aé z") + x[k:], x[:k] + rng.choice("bü") + x[k + 1 :]]) or "x"
 
-    rows = [(k, "\n".join(rng.choice([x, changed(x), changed(changed(x)), "", "  "]) for x in rng.choices(base, k=6))) for k in range(30)]
+    def often(x):
+        for _ in range(rng.randint(0, most + 2)):
+            x = changed(x)
+        return x
+
+    rows = [(k, "\n".join(rng.choice([x, often(x), often(x), "", "  "]) for x in rng.choices(base, k=6))) for k in range(12)]
+    if crowded == 64:  # very long lines, which agree on all but their ends
+        rows += [(90 + k, f"{LONG}{end}") for k, end in enumerate(("", "x", "xyz!", " and more of it"))]
     rows += [(100, None), (101, ""), (102, rows[3][1]), (103, rows[3][1]), (104, "\n")]
     df = frame(spark, [(d, t, "en", "s", 0) for d, t in [*rows, rows[3]]])
-    got = line_dedup.dedup(df)
-    want = brute_lines(rows)
+    got = line_dedup.dedup(df, most)
+    want = brute_lines(rows, most)
     found = got.select("doc_id", "text").collect()
     assert len(found) == len(rows) + 1
     texts = dict(rows)
@@ -213,10 +225,16 @@ def test_op4_automaton(spark):
             assert r["w"] == (edits(r["a"], r["b"]) <= most), (r, most)
 
 
-def test_op4_single_edits(spark):
-    rows = [((True, 1, 0, 0), "abcd"), ((True, 2, 0, 0), "abcde"), ((True, 3, 0, 0), "abXd"), ((True, 4, 0, 0), "zzzz"), ((True, 5, 0, 0), "acd")]
-    df = spark.createDataFrame(rows, "first struct<known:boolean,doc:long,version:long,line_no:int>, line string")
-    assert sorted({r["first"]["doc"] for r in line_dedup.by_single_edits(df).collect()}) == [2, 3, 5]
+def test_op4_keys_of_edits(spark):
+    """Lines that meet in such a key are near, and of near ones the later meets an earlier one."""
+    rng = random.Random(6)
+    lines = sorted({"".join(rng.choices("ab", k=rng.randint(3, 7))) + "cdefghijklmnopq" for _ in range(60)})
+    rows = [(k, k, (True, k, 0, 0), x) for k, x in enumerate(lines)]
+    df = spark.createDataFrame(rows, "h long, c int, first struct<known:boolean,doc:long,version:long,line_no:int>, line string")
+    allowed = lambda a, b: min(2, max(1, min(len(a), len(b)) // 10))
+    got = [(r["a"]["h"], r["b"]["h"]) for r in line_dedup.by_edits(df, 2).collect()]
+    assert all(a < b and edits(lines[a], lines[b]) <= allowed(lines[a], lines[b]) for a, b in got)
+    assert {b for _, b in got} == {k for k, x in enumerate(lines) if any(edits(x, y) <= allowed(x, y) for y in lines[:k])}
 
 
 def test_op5_languages(spark, docs, empty):
