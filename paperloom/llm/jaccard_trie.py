@@ -7,23 +7,32 @@
    class has; a task sends a token once, however many of its classes hold it.  Classes with too
    few credits link with nothing.
    The rest, usually few, is named in a Bloom filter of bounded size, so that the pass that
-   makes every row's class keeps the sets of (nearly) only those.
-   From here a class goes by the first 64 bits of its 128-bit digest.
+   makes every row's class keeps the sets of (nearly) only those.  Up to here a class goes by the
+   first 64 bits of its 128-bit digest, and classes that share them only pass too easily; from
+   here by a number of its own.
 3. These get a global order: tokens nobody shares, then by document frequency,
-   then by hash.  Classes that share a prefix token of that order are candidates; each token
-   names its least class as a hub, so there are as many edges as postings, and the connected
-   components of these edges are supersets of the true ones.
+   then by hash.  Classes that share a prefix token of that order are candidates, if one of them
+   shares tokens enough to link with a set of its own size or more.  The least such class of a
+   token is its hub, so there are as many edges as postings, and the connected components of
+   these edges are supersets of the true ones.
 4. A component is dealt to blocks of about BLOCK classes.  In a block the ordered sets form a
    prefix tree of compressed paths; every set traverses it, sharing the overlap counted along a
    path, and leaves a subtree when the shorter of the remaining lengths cannot bring the overlap
    to what the sizes ask for, or when all of it is in the set's own component already, so a group
    of near copies costs about one traversal each.
 5. Components of several blocks are finished exactly: first some representatives of each block's
-   result are joined, then every class outside the largest result meets all classes, in blocks.
+   result are joined; then classes of different results that share a prefix token and whose sizes
+   allow it are compared one by one.  So a set travels once to its block, and again for each class
+   of another result that shares one of its rarest tokens, never to a whole component.
 
 Only components are found, not all pairs.  Null ids and repeated rows: a row is judged by its
-text, and equal sets share a component, whose id is the least id in it.  Null, empty or blank
-texts have no shingles and are linked with nothing.
+text, and equal sets share a component, whose id is the least id in it (null if it has none).
+Null, empty or blank texts have no shingles and are linked with nothing.  An empty table gives an
+empty one; other columns of the input, whatever their names, are not read.
+
+Cost: the filter has 2^28 bits at most.  Beyond some 17 million candidate classes it lets others
+through too (about a quarter of them at 100 million, nearly all at a billion), whose sets are then
+written and dropped in step 3: results stay the same, the written sets grow to those of all rows.
 """
 
 from __future__ import annotations
@@ -34,7 +43,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.shared import arrow_schema, by_batch, written
@@ -70,6 +79,10 @@ class Threshold:
         """Twice the tokens that may be missing, and one."""
         return 2 * (self.prefix(n) - 1) + 1
 
+    def partner(self, shared: Column, n: Column) -> Column:
+        """Tokens of the largest set that one of n tokens, ``shared`` of which others have, can link with."""
+        return F.floor(shared * (100 + self.least) / self.least) - n
+
     def needed(self, n):
         """Tokens of its extended prefix that a set must share with one it links with, whose size may be smaller."""
         return self.prefix(-(-self.least * n // 100))
@@ -147,7 +160,7 @@ def credits(docs: DataFrame, size: int, limit: Threshold, buckets: int, text_col
                 owner = np.int64(short(digest(own))).astype(np.uint64)
                 size_of = len(own)
                 own = own[: limit.extended(size_of)]
-                needs[int(owner)] = limit.needed(size_of)
+                needs[int(owner)] = min(limit.needed(size_of), needs.get(int(owner), size_of))
                 tokens.append(own), owners.append(np.full(len(own), owner))
                 held += len(own)
                 if held >= CHUNK:
@@ -173,44 +186,33 @@ def credits(docs: DataFrame, size: int, limit: Threshold, buckets: int, text_col
         return pd.DataFrame({"short": who.view(np.int64), "credit": n.astype(np.int64), "needed": np.zeros(len(n), np.int64)})
 
     blobs = docs.select(F.col(text_col).alias("t")).mapInArrow(gather, "bucket long, blob binary")
-    return blobs.groupBy("bucket").applyInPandas(meet, "short long, credit long, needed long").groupBy("short").agg(F.sum("credit").alias("credit"), F.max("needed").alias("needed"))
+    met = blobs.groupBy("bucket").applyInPandas(meet, "short long, credit long, needed long")
+    return met.groupBy("short").agg(F.sum("credit").alias("credit"), F.min(F.when(F.col("needed") > 0, F.col("needed"))).alias("needed"))
 
 
 class Filter:
-    """Bloom filter of two bits an entry, between 2^16 and 2^28 bits; made by the executors, whose parts are put together by block."""
+    """Bloom filter of two bits an entry, between 2^16 and 2^28 bits; executors make its parts, of 2^15 bits each."""
 
-    BLOCK = 1 << 16
+    PART = 1 << 15
 
     def __init__(self, ids: DataFrame, column: str):
-        bits = self.bits = 1 << min(28, max(16, (16 * ids.count()).bit_length()))
-        places = self.places
-
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros(bits // 8, np.uint8)
-            for b in batches:
-                for at in places(b.column(0).to_numpy(), bits):
-                    np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            blocks = held.reshape(-1, min(self.BLOCK, bits // 8))
-            some = np.flatnonzero(blocks.any(axis=1)).tolist()
-            yield pa.RecordBatch.from_pydict({"block": some, "blob": [blocks[k].tobytes() for k in some]}, schema=arrow_schema("block long, blob binary"))
-
-        def put(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            parts = np.array([np.frombuffer(x, np.uint8) for x in rows["blob"]])
-            return pd.DataFrame({"block": [key[0]], "blob": [np.bitwise_or.reduce(parts).tobytes()]})
-
-        self.held = np.zeros((-(-bits // 8 // self.BLOCK) or 1, min(self.BLOCK, bits // 8)), np.uint8)
-        for r in ids.select(column).mapInArrow(mark, "block long, blob binary").groupBy("block").applyInPandas(put, "block long, blob binary").collect():
-            self.held[r["block"]] = np.frombuffer(r["blob"], np.uint8)
+        self.bits = 1 << min(28, max(16, (16 * ids.count()).bit_length()))
+        x = F.col(column)
+        # Two slices of the hash, counted from 1 as the bitmap functions do.
+        places = F.explode(F.array(*[F.shiftrightunsigned(x, k).bitwiseAND(F.lit(self.bits - 1)) + 1 for k in (0, 32)])).alias("p")
+        parts = ids.select(places).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("blob"))
+        self.held = np.zeros((self.bits // self.PART, self.PART // 8), np.uint8)
+        for r in parts.collect():  # 32 MB at most
+            self.held[r["part"] - 1] = np.frombuffer(r["blob"], np.uint8)
         self.held = self.held.ravel()
 
-    @staticmethod
-    def places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = ids.astype(np.int64).view(np.uint64)
-        return tuple((y % np.uint64(bits)).astype(np.int64) for y in (x, _mixed(x)))
+        return tuple(((x >> np.uint64(k)) & np.uint64(self.bits - 1)).astype(np.int64) for k in (0, 32))
 
     def holds(self, ids: np.ndarray) -> np.ndarray:
         out = np.ones(len(ids), bool)
-        for at in self.places(ids, self.bits):
+        for at in self.places(ids):
             out &= (self.held[at >> 3] >> (at & 7) & 1).astype(bool)
         return out
 
@@ -346,8 +348,27 @@ def _joined(limit: Threshold, column: str):
     return run
 
 
-def components(sets: DataFrame, edges_by: DataFrame, limit: Threshold) -> DataFrame:
-    """cid, root of the classes in candidate components; ``sets`` has cid, n, tokens and ``edges_by`` cid, root of candidates."""
+def linked_pairs(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """a, b: the parts of the pairs (x, y, a, b) of classes that link; ``sets`` has cid, n, tokens."""
+    both = pairs
+    for k in ("x", "y"):
+        both = both.join(sets.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}")), k)
+
+    def run(c: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"a": [], "b": []}
+        for a, b, n, m, s, t in zip(*(c[k] for k in ("a", "b", "nx", "ny", "tx", "ty")), strict=True):
+            s, t = (np.frombuffer(v, np.int64).reshape(-1, 2)[:, 1] for v in (s, t))
+            if limit.links(len(np.intersect1d(s, t, assume_unique=True)), n, m):
+                out["a"].append(a), out["b"].append(b)
+        return out
+
+    return by_batch(both.select("a", "b", "nx", "ny", "tx", "ty"), run, "a long, b long")
+
+
+def components(sets: DataFrame, edges_by: DataFrame, heads: DataFrame, limit: Threshold) -> DataFrame:
+    """cid, root of the classes in candidate components.
+
+    ``sets`` has cid, n, tokens; ``edges_by`` cid, root of candidates; ``heads`` cid, n, most (size of the largest partner), token."""
     kind = "cid long, part long, was long"
     # Both sides grow with the data, so the join is a sort-merge join at any size.
     own = sets.join(edges_by.groupBy("root").agg(F.count("*").alias("size")).join(edges_by, "root").hint("merge"), "cid")
@@ -358,27 +379,25 @@ def components(sets: DataFrame, edges_by: DataFrame, limit: Threshold) -> DataFr
     if large.isEmpty():
         return first.select("cid", F.col("part").alias("root"))
     # Envoys: a few classes of each block's results, by hash, dealt to blocks of their own.
-    parts = large.join(first, "cid")
+    parts = large.select("cid", "root", "block").join(first, "cid")
     low = parts.groupBy("root", "block", "part").agg(F.count("*").alias("k"))
     envoys = parts.join(low, ["root", "block", "part"]).where(F.pmod(F.xxhash64("cid", F.lit(1)), F.col("k")) < ENVOYS)
     per = envoys.groupBy("root").agg(F.count("*").alias("e"))
     envoys = envoys.join(per, "root").withColumn("deal", F.pmod(F.xxhash64("cid", F.lit(2)), F.ceil(F.col("e") / (2 * BLOCK))))
+    envoys = envoys.select("cid", "root", "deal", "part").join(large.select("cid", "n", "tokens"), "cid")
     met = written(envoys.groupBy("root", "deal").applyInPandas(_joined(limit, "part"), kind), "envoy-parts").where("part <> was").select(F.col("was").alias("a"), F.col("part").alias("b"))
-    merged = connected(met, "envoy-stars")
-    parts = parts.join(merged.select(F.col("node").alias("part"), F.col("root").alias("to")), "part", "left").withColumn("part", F.coalesce("to", "part")).drop("to")
-    parts = written(parts, "envoyed")
-    # Exact rest: whoever is outside its candidate component's largest part meets all of it, in blocks.
-    sizes = parts.groupBy("root", "part").agg(F.count("*").alias("k")).groupBy("root").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
-    late = parts.join(sizes.where("all > most"), "root").withColumn("chunks", F.ceil((F.col("all") - F.col("most")) / BLOCK))
-    late = late.withColumn("strays", F.col("part") != F.col("main"))
-    chunk = F.pmod(F.xxhash64("cid", F.lit(3)), F.col("chunks"))
-    every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-    here = late.withColumn("chunk", F.explode(every))
-    there = late.where("strays").withColumn("chunk", chunk).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    meeting = here.select("root", "block", "chunk", "cid", "n", "tokens", "part").unionByName(there.select("root", "block", "chunk", "cid", "n", "tokens", "part"))
-    met2 = written(meeting.groupBy("root", "block", "chunk").applyInPandas(_joined(limit, "part"), kind), "late-parts").where("part <> was").select(F.col("was").alias("a"), F.col("part").alias("b"))
-    final = connected(met.unionByName(met2), "late-stars")
-    return first.join(final.select(F.col("node").alias("part"), F.col("root").alias("to")), "part", "left").select("cid", F.coalesce("to", "part").alias("root"))
+    merged = connected(met, "envoy-stars").select(F.col("node").alias("part"), F.col("root").alias("to"))
+    parts = written(parts.select("cid", "part").join(merged, "part", "left").select("cid", F.coalesce("to", "part").alias("part")), "envoyed")
+    # Exact rest: prefix tokens that several parts hold, and their classes of like size two by two.
+    posts = heads.join(parts, "cid")
+    mixed = posts.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
+    live = written(posts.join(mixed.hint("merge"), "token"), "mixed-postings")
+    x, y = (live.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("cid", "n", "most", "part")]) for k in "xy")
+    fits = (F.col("part_x") != F.col("part_y")) & (F.struct("n_x", "cid_x") < F.struct("n_y", "cid_y")) & (F.col("n_y") <= F.col("most_x")) & (F.col("n_x") <= F.col("most_y"))
+    pairs = written(x.join(y, "token").where(fits).select(*[F.col(f"{c}_{k}").alias(z) for c, k, z in (("cid", "x", "x"), ("cid", "y", "y"), ("part", "x", "a"), ("part", "y", "b"))]).distinct(), "rest-pairs")
+    links = linked_pairs(pairs, large.select("cid", "n", "tokens"), limit)
+    final = connected(met.unionByName(links), "rest-stars").select(F.col("node").alias("part"), F.col("root").alias("to"))
+    return first.join(final, "part", "left").select("cid", F.coalesce("to", "part").alias("root"))
 
 
 def similar_components(docs: DataFrame, size: int, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,19 +407,22 @@ def similar_components(docs: DataFrame, size: int, least: int, id_col: str = "do
     earned = credits(docs, size, limit, max(1, amount // 6 // BUCKET), text_col)
     left = written(earned.where(F.col("credit") >= F.col("needed")).select("short"), "candidates")
     rows = written(members(docs, size, Filter(left, "short"), id_col, text_col), "members")
-    classes = rows.where("digest IS NOT NULL").groupBy("digest", "short").agg(F.min("doc_id").alias("doc_id"))
+    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     missing = lambda n: n - F.ceil(n * least / 100)
     # The few sets that only the filter lets through share too little and go below.
-    sets = written(rows.where("hashes IS NOT NULL").select(F.col("short").alias("cid"), "n", "hashes").dropDuplicates(["cid"]), "candidate-hashes")
+    some = rows.where("hashes IS NOT NULL").select("digest", "n", "hashes").dropDuplicates(["digest"])
+    sets = written(some.withColumn("cid", F.monotonically_increasing_id()), "candidate-hashes")
     tokens = sets.select("cid", F.explode("hashes").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     shared = tokens.join(often, "token").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared")).join(sets.select("cid", "n"), "cid")
     shared = shared.where(F.size("shared") * 100 >= F.col("n") * least)
     alone = F.col("n") - F.size("shared")
     reach = F.greatest(F.lit(0), missing(F.col("n")) + 1 - alone).cast("int")
-    shared = written(shared.withColumn("head", F.transform(F.slice("shared", F.lit(1), reach), lambda s: s["token"])), "ordered-sets")
-    heads = shared.select("cid", F.explode("head").alias("token"))
-    hubs = heads.groupBy("token").agg(F.min("cid").alias("hub"))
+    shared = shared.withColumn("head", F.transform(F.slice("shared", F.lit(1), reach), lambda s: s["token"]))
+    shared = written(shared.withColumn("most", limit.partner(F.size("shared"), F.col("n"))), "ordered-sets")
+    heads = shared.select("cid", "n", "most", F.explode("head").alias("token"))
+    # Of two sets that link the lesser has a partner of its own size or more.
+    hubs = heads.where("most >= n").groupBy("token").agg(F.min("cid").alias("hub"))
     near = connected(heads.join(hubs, "token").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")), "candidate-stars")
     every = near.select(F.col("node").alias("cid"), "root").unionByName(near.select(F.col("root").alias("cid"), "root").distinct())
 
@@ -408,12 +430,13 @@ def similar_components(docs: DataFrame, size: int, least: int, id_col: str = "do
         return {"cid": c["cid"], "n": c["n"], "tokens": [np.array([(s["df"], s["token"]) for s in x], np.int64).tobytes() for x in c["shared"]]}
 
     ready = by_batch(shared.select("cid", "n", "shared"), packed, "cid long, n long, tokens binary")
-    found = components(ready, every, limit)
-    joined = classes.join(found.select(F.col("cid").alias("short"), "root"), "short")
+    found = components(ready, every, heads, limit)
+    joined = classes.join(sets.select("digest", "cid").join(found, "cid"), "digest")
     roots = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     moved = joined.join(roots, "root").select("digest", F.col("component_id").alias("least"))
-    ids = classes.select("digest", "doc_id").join(moved, "digest", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id"))
-    return rows.join(ids, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    ids = classes.join(moved, "digest", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id"))
+    own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return rows.join(ids, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), own)
 
 
 def oracle(size: int = 4, least: int = 85) -> str:

@@ -363,6 +363,27 @@ def test_op9_components(spark, empty, monkeypatch, block, seed):
     assert jaccard_trie.similar_components(empty, 4, 85).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 600])
+def test_op9_loosely_linked(spark, monkeypatch, n):
+    """One candidate component of n classes that do not link (each shares half with the next), some with near copies: the rest is compared by shared prefix tokens only."""
+    monkeypatch.setattr(jaccard_trie, "BLOCK", 50)
+    pairs, own = [], jaccard_trie.linked_pairs
+    monkeypatch.setattr(jaccard_trie, "linked_pairs", lambda p, *a: (pairs.append(p.count()), own(p, *a))[1])
+    passages = [" ".join(f"p{k}w{j}" for j in range(40)) for k in range(n + 1)]
+    rows = [(k, f"{passages[k]} {passages[k + 1]}", "en", "s", 0) for k in range(n)]
+    rows += [(n + k, f"{passages[k]} {passages[k + 1]} more{k}", "en", "s", 0) for k in range(0, n, 7)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_trie.similar_components(frame(spark, rows), 4, 85).collect()}
+    assert got == {k: k for k in range(n)} | {n + k: k for k in range(0, n, 7)}
+    assert sum(pairs) < 4 * n
+
+
+def test_op9_filter_holds_all(spark):
+    ids = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    f = jaccard_trie.Filter(ids, "h")
+    assert f.holds(np.array([r["h"] for r in ids.collect()], np.int64)).all()
+    assert f.holds(np.array([r["h"] for r in spark.range(10000, 20000).select(F.xxhash64("id").alias("h")).collect()], np.int64)).mean() < 0.1
+
+
 def test_op9_repeated_rows(spark, docs):
     got = jaccard_trie.similar_components(docs, 4, 85).collect()
     assert len(got) == docs.count()
