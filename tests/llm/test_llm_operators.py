@@ -257,33 +257,42 @@ def test_op5_distance_by_hand():
     assert p.judge("ab") == ("x", 1 - apart / (300 * len(own)))
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_op6_exact(spark, block):
+@pytest.mark.parametrize("block,pack", [(4096, 512), (7, 3)])
+def test_op6_exact(spark, monkeypatch, block, pack):
+    for name, value in (("BLOCK", block), ("PACK", pack), ("SLICE", 2)):
+        monkeypatch.setattr(topk_pivot, name, value)
     rng = np.random.default_rng(block)
     x = rng.normal(0, 1, (120, 6)).astype(np.float32)
     x[60:70] = x[50]
     rows = [(k * 10, v.tolist()) for k, v in enumerate(x)] + [(5, None), (7, []), (50, [float("nan")] * 6), (100, [None] * 6), (None, [1.0] * 6), (150, [float("inf")] * 6), (9, [1.0, 2.0]), (2000, [1.0, 3.0]), (11, x[3].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"v": F.lit(1), "d": F.lit(2), "score": F.lit(3)})
-    got = topk_pivot.top_k(df, F.col("vec_id") % 50 == 0, 5, block=block).collect()
-    sound = [(i, [int(np.floor(256 * float(y))) for y in v]) for i, v in rows if i is not None and v and all(y is not None and np.isfinite(y) for y in v)]
+    rows += [(200, x[7].tolist()), (200, x[20].tolist()), (201, x[20].tolist()), (12, [1e17] * 6), (13, [1e18] * 6), (4000, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"v": F.lit(1), "d": F.lit(2), "score": F.lit(3), "row": F.lit(4)})
+    got = topk_pivot.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()
+    sound = [(i, [min(int(np.floor(256 * float(np.float32(y)))), (1 << 63) - 1) for y in v]) for i, v in rows if i is not None and v and all(y is not None and np.isfinite(y) for y in v)]
     want = []
-    for i, q in sound:
+    for a, (i, q) in enumerate(sound):
         if i % 50 == 0:
-            s = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in sound if j != i and len(v) == len(q))[:5]
+            s = sorted((-min(max(sum(x * y for x, y in zip(q, v)), -(1 << 63)), (1 << 63) - 1), j) for b, (j, v) in enumerate(sound) if b != a and len(v) == len(q))[:5]
             want += [(i, k, j, -t) for k, (t, j) in enumerate(s, 1)]
     assert sorted(tuple(r) for r in got) == sorted(want)
     assert topk_pivot.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_op6_bound_skips_work():
+def test_op6_bounds_skip_work(spark, monkeypatch):
+    """On clustered vectors less than a tenth of the products is computed."""
+    monkeypatch.setattr(topk_pivot, "BLOCK", 256)
     rng = np.random.default_rng(3)
-    x = np.floor(256 * np.concatenate([rng.normal(c, 0.05, (400, 8)) for c in (-3, 0, 3)]))
-    pivots = x[[0, 500, 900]]
-    best = [topk_pivot.Best(5)]
-    done = topk_pivot.search_block(np.arange(len(x)), x, topk_pivot.to_pivots(x, pivots), np.array([0]), x[:1], topk_pivot.to_pivots(x[:1], pivots), best)
-    assert done < len(x) / 2
-    order = sorted((-int(s), i) for i, s in enumerate(x @ x[0]) if i != 0)[:5]
-    assert [(-int(s), int(i)) for s, i in zip(best[0].scores, best[0].ids)] == order
+    x = np.concatenate([rng.normal(0, 0.02, (250, 32)) + c / np.linalg.norm(c) for c in rng.normal(0, 1, (24, 32))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = topk_pivot.candidates(df, F.col("vec_id") % 50 == 0, 5)
+    assert topk_pivot.products(found) < 0.1 * len(x) * len(x) / 50
+    v = np.floor(256 * x)
+    by = {}
+    for r in topk_pivot.ranked(found, 5).collect():
+        by.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    for i, best in by.items():
+        assert sorted(best) == sorted((-int(s), j) for j, s in enumerate(v @ v[i]) if j != i)[:5]
+    assert len(by) == len(x) / 50
 
 
 def test_op7_media(spark, docs, empty):
