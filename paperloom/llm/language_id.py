@@ -7,8 +7,10 @@ n-gram the profile lacks, as a share of the greatest possible.  The nearest lang
 the least name); the score is one minus its distance.
 
 Profiles are fitted on a bounded sample of the labelled rows: about SAMPLE documents a language,
-those of least hashed id.  Prediction reads whole texts and nothing but texts.  Null texts and
-texts without a letter are ``und`` with score 0, as is every text if nothing was learned.
+those of least hash of id and text.  Prediction reads whole texts and nothing but texts.  Null texts
+and texts without a letter are ``und`` with score 0, as is every text if nothing was learned.
+Rows that repeat are each predicted, null ids too; an empty table gives an empty one; columns
+``lang_pred`` and ``score`` are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ def ranked(codes: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.nda
 
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, size: int = PROFILE, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, list[int]]:
     """Profiles of the languages that the rows under ``learn`` with a language and a text name."""
-    known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h"))
+    known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)).alias("h"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(False)
     for lang, n in sorted(counts.items()):

@@ -5,6 +5,8 @@ Reading goes through the ``wave`` module; frames of FRAME samples, a HOP apart a
 before and after the payload, are transformed, the PEAKS strongest bins of each are kept, and each peak is paired with the others of its frame and the peaks of the next FAN frames.
 A pair is the time-coded integer  frame << 32 | hash,  hash = bin << 17 | bin of the later << 3 | frames between.
 Null is empty text: payload of one frame of filler.  Equal payloads give equal files and features.
+Null ids stay null, rows that repeat an id are each fingerprinted, an empty table gives an empty one,
+and other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -9,22 +9,27 @@ same state are one class, so an item is compared with states, not with bins.
 Items are dealt evenly to buckets of about BUCKET documents, which are packed apart: memory is
 bounded and only lengths travel.  Measured on 51,282 documents, buckets of 16,384 need 0.15 % more
 sequences than the sum of lengths allows at best, one bucket of all 0.12 %.
-Nulls: null text is empty text (its end id alone).  Rows that repeat an id are packed each.
+Ties: of states that score the same the one met first gets the item, and of bins in one state the
+last.  Nulls: null text is empty text (its end id alone).  Rows that repeat an id are packed each.
+An empty table gives an empty one.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import by_batch
+from paperloom.llm.shared import ROWS, arrow_schema
 from paperloom.llm.units import library_encoder
 
+#: Documents of a bucket, about, and batches of rows that a task deals as one run.
 BUCKET = 16384
 #: Weights of tokens, documents and attention cost.
 WEIGHTS = (1.0, 1e-4, 1e-4)
@@ -75,25 +80,25 @@ def pack_lengths(lengths: np.ndarray, capacities: tuple[int, int, int], weights=
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, length: int, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cuts each document's ids and end id into pieces: all of ``length`` tokens but the first, which may be shorter.
 
-    doc_id, piece, start, length, ids_crc32, bucket; documents are dealt to the buckets in turn, so no id or group of copies makes one large."""
+    doc_id, piece, start, length, ids_crc32, bucket; each task deals its documents to all buckets in turn, from a place of its own, so no id or group of copies makes one large."""
+    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket long"
+    schema, tail = arrow_schema(ddl), np.uint32(end_id).tobytes()
 
-    def cut(c: dict[str, list]) -> dict[str, list]:
-        names = ("doc_id", "piece", "start", "length", "ids_crc32", "bucket")
-        out = {n: [] for n in names}
-        tail = np.uint32(end_id).tobytes()
-        task = TaskContext.get().partitionId() * 7919
-        for k, (doc, ids) in enumerate(zip(c["i"], library_encoder(vocabulary)(c["t"]), strict=True)):
-            ids += tail
-            n = len(ids) // 4
-            ends = range(n % length or length, n + 1, length) if n > length else (n,)
-            start = 0
-            for piece, end in enumerate(ends):
-                for name, v in zip(names, (doc, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end]), (task + k) % buckets), strict=True):
-                    out[name].append(v)
-                start = end
-        return out
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, dealt = library_encoder(vocabulary), TaskContext.get().partitionId() * 7919
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                rows: list[tuple] = []
+                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                    ids += tail
+                    n, start, dealt = len(ids) // 4, 0, dealt + 1
+                    for piece, end in enumerate(range(n % length or length, n + 1, length) if n > length else (n,)):
+                        rows.append((doc, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end]), dealt % buckets))
+                        start = end
+                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema=schema)
 
-    return by_batch(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), cut, "doc_id long, piece int, start long, length long, ids_crc32 long, bucket long")
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(cut, ddl)
 
 
 def best_fit(pieces: DataFrame, capacities: tuple[int, int, int], weights=WEIGHTS, rule: str = "norm") -> DataFrame:
@@ -108,10 +113,13 @@ def best_fit(pieces: DataFrame, capacities: tuple[int, int, int], weights=WEIGHT
     return pieces.groupBy("bucket").applyInPandas(pack, f"{ddl}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, length: int = 1024, most_docs: int | None = None, most_attention: int | None = None, weights=WEIGHTS, rule: str = "norm", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(
+    docs: DataFrame, vocabulary: str, end_id: int, length: int = 1024, most_docs: int | None = None, most_attention: int | None = None, longest: int | None = None, weights=WEIGHTS, rule: str = "norm", id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Pieces of all documents with their sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``most_docs`` and ``most_attention`` default to what the token capacity allows anyway."""
+    Documents over ``longest`` tokens (``length`` unless said) are cut.  ``most_docs`` and ``most_attention`` default to what
+    the token capacity allows anyway; the latter must have room for the square of the longest piece."""
     buckets = -(-max(1, docs.count()) // BUCKET)
-    pieces = token_pieces(docs, vocabulary, end_id, length, buckets, id_col, text_col)
+    pieces = token_pieces(docs, vocabulary, end_id, longest or length, buckets, id_col, text_col)
     return best_fit(pieces, (length, most_docs or length, most_attention or length * length), weights, rule)

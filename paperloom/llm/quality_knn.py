@@ -10,6 +10,10 @@ block; the NEAREST vote with their similarity to the power SHARP.
 
 The score reads whole texts and nothing but texts.  A text with no features (null, empty) gets
 the share of label 1, as does every text where nothing was learned from both labels (0.5 if from none).
+Of neighbours as near as the last that votes those learned first (by doc_id, label) vote.  Labels
+without a document or with a null id, and documents with a null id, teach nothing; of documents that
+repeat an id the text of least hash teaches; an id with both labels teaches both.  Rows that repeat
+are each scored; an empty table gives an empty one; a column ``quality_score`` is replaced.
 """
 
 from __future__ import annotations
@@ -96,6 +100,9 @@ class Neighbours:
         some, k = np.abs(x).sum(axis=1) > 0, min(NEAREST, len(self.vectors))
         near = unit_rows(x @ self.project) @ self.vectors.T
         at = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        last = np.take_along_axis(near, at, 1).min(axis=1, keepdims=True)
+        for r in np.flatnonzero((near >= last).sum(axis=1) > k):
+            at[r] = np.argsort(-near[r], kind="stable")[:k]
         w = np.take_along_axis(near, at, 1).clip(min=0).astype(np.float64) ** SHARP * self.weights[at]
         total = w.sum(axis=1)
         return np.where(some & (total > 0), (w * self.labels[at]).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
@@ -112,8 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "qua
     if picked is None:
         return Neighbours(np.zeros((0, WIDTH), np.float32), np.zeros(0), np.zeros(0))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 x per_class ids at most
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     made = by_batch(rows.select("doc_id", "label", "text"), lambda c: {"doc_id": c["doc_id"], "label": c["label"], "x": [features(t).astype(np.float16).tobytes() for t in c["text"]]}, "doc_id long, label int, x binary")
-    found = sorted((r["doc_id"], r["label"], bytes(r["x"])) for r in made.dropDuplicates(["doc_id", "label"]).collect())
+    found = sorted((r["doc_id"], r["label"], bytes(r["x"])) for r in made.collect())
     y = np.array([l for _, l, _ in found], np.int64)
     n = np.bincount(y, minlength=2)
     x = np.array([np.frombuffer(v, np.float16) for *_, v in found], np.float32).reshape(-1, WIDTH)

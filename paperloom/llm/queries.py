@@ -52,7 +52,7 @@ def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(media.with_media(table(spark, sf_dir, "documents")), "media")
-    return media.fingerprints(stored).withColumn("feature", F.concat_ws(":", F.size("landmarks"), F.hex(F.xxhash64("landmarks")))).drop("landmarks")
+    return media.fingerprints(stored).withColumn("feature", F.concat_ws(":", F.size("landmarks"), F.hex(F.xxhash64("landmarks"))))
 
 
 def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

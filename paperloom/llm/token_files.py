@@ -10,7 +10,8 @@ against lost tasks.  A container holds consecutive documents in ascending id ord
 
 A short document is read by one container's index entry and one frame.
 Nulls: a null text counts as empty (one end id); null document ids come first.  Rows that
-repeat an id are all kept, next to each other.  An empty table gives an empty set.
+repeat an id are all kept, next to each other, ordered by a hash of their text.  An empty table
+gives an empty set.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +39,16 @@ DICTIONARY_BYTES = 64 << 10
 BODY_BYTES = 1 << 20
 
 
+def width_for(vocabulary: str, end_id: int) -> int:
+    """Bytes that every id of the vocabulary and the end id fit in: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(end_id, *Tokenizer.from_file(vocabulary).get_vocab().values()) < 1 << 16 else 4
+
+
 def packed(ids: np.ndarray, width: int) -> bytes:
+    if width == 2 and len(ids) and ids.max() >= 1 << 16:
+        raise ValueError(f"id {ids.max()} does not fit in 2 bytes")
     return ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
@@ -57,12 +67,12 @@ def _codec(dictionary: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, width: int = 2, id_col: str = "doc_id", text_col: str = "text", body_bytes: int = BODY_BYTES) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, width: int | None = None, id_col: str = "doc_id", text_col: str = "text", body_bytes: int = BODY_BYTES) -> None:
     """Encodes every whole text, appends ``end_id`` and writes the set at ``path`` (``containers`` and ``dictionary``).
 
-    ``width`` is 2 where all ids are below 65,536, else 4.  One range shuffle of the texts orders
+    ``width`` is by default 2 where all ids are below 65,536, else 4.  One range shuffle of the texts orders
     them; encoding, compression and packing run in the shuffle's reducers, a batch at a time."""
-    spark = docs.sparkSession
+    spark, width = docs.sparkSession, width or width_for(vocabulary, end_id)
     dictionary = train_dictionary(docs, vocabulary, end_id, id_col, text_col, width)
     sha = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(sha, bytearray(dictionary))], "dictionary string, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")

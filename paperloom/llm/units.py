@@ -72,9 +72,10 @@ _encoders: dict[str, UnitEncoder] = {}
 def library_encoder(path: str) -> UnitEncoder:
     """The worker's encoder by the ``tokenizers`` library for the byte-level BPE file at ``path``.
 
-    Strings of special tokens are ordinary text and none are added.  Units in the Latin
-    script are cut by the vocabulary's pattern here and go to the library's BPE model piece
-    by piece; all others go through the library whole."""
+    As in the library, strings of special tokens in a text become these tokens, and none are
+    added.  Units in the Latin script are cut by the vocabulary's pattern here and go to the
+    library's BPE model piece by piece; all others, and those with a special token's string, go
+    through the library whole."""
     if path not in _encoders:
         import os
 
@@ -85,7 +86,9 @@ def library_encoder(path: str) -> UnitEncoder:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
+        specials = [t.content for t in own.get_added_tokens_decoder().values()]
+        if any(set(t) & set(SPACE) for t in specials):
+            raise ValueError("an added token holds white space, so texts can't be cut there")
         pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         latin = re.compile("[\n -~À-ſ]*").fullmatch
         word = re.compile("( [A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)").fullmatch
@@ -98,7 +101,7 @@ def library_encoder(path: str) -> UnitEncoder:
         tails = {p: piece(p) for p in ",."} | {"": b""}
 
         def unit(u: str) -> bytes:
-            if len(u) <= LONGEST_KEPT:
+            if len(u) <= LONGEST_KEPT and not any(t in u for t in specials):
                 if m := word(u):
                     return piece(m[1]) + tails[m[2]]
                 if latin(u):

@@ -11,7 +11,8 @@ Everything is DataFrame expressions.  Counts are combined before each shuffle; t
 with hosts is an ordinary one whose hot hosts adaptive execution splits; only single rows of
 totals are joined without a key.  Null urls and urls without ``://`` have empty host and path and
 are judged like any host.  Labels that are null or whose page is missing count nowhere; several
-label rows of a page are several outcomes.
+label rows of a page are several outcomes.  Rows that repeat a page are each judged; an empty table
+gives an empty one; of rules as long as each other the last by (verdict, host, path) wins.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.shared import written
+
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Public suffixes of two labels; any other suffix is the last label.
@@ -89,6 +92,7 @@ def verdicts(pages: DataFrame, outcomes: DataFrame, rules=RULES, most_bad: float
     counted = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
     one = cut.select("page_id", "host").dropDuplicates(["page_id", "host"]).join(counted, "page_id", "left")
     hosts = one.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    hosts = written(hosts, "hosts")  # three levels read it
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     said = F.when(F.col("mean") - z * F.col("deviation") > most_bad, "block").otherwise("allow")
     return cut.join(reputations(hosts), "host", "left").select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, said).alias("verdict"), F.col("n").alias("labelled"), F.col("bad").alias("labelled_bad"))

@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 #: Names that operators use inside.
 CLASH = "score double, n long, i long, t string, lang_pred string, bucket long, digest binary, short long, line string, kept string, _kept string, first long, h long, start long, row long"
 LONG = " ".join(f"w{k % 977}x{k % 31}" for k in range(30_000))
-TEXTS = [None, "", "   ", "\n\n", "a", "one two three", "The cat sat on the mat.\nThe cat sat on the mat.\n  \nEnd", "Äpfel, größer – 日本語 😀 text", "aaa" * 400, "x　y \x1c!\x1c \r\n\r\n z's", LONG, LONG, "one two three"]
+TEXTS = [None, "", "   ", "\n\n", "a", "one two three", "The cat sat on the mat.\nThe cat sat on the mat.\n  \nEnd", "Äpfel, größer – 日本語 😀 text", "aaa" * 400, "x　y \x1c!\x1c \r\n\r\n z's", LONG, LONG, "one two three", "a<|endoftext|>b <|endoftext|> c\n<|endoftext|>"]
 
 
 def frame(spark, rows, clash=True):
@@ -51,7 +51,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -62,7 +61,7 @@ def crc(ids):
 def test_units_equal_the_whole_text(library):
     rng = random.Random(5)
     odd = ["".join(rng.choice(" \n\t\r　\xa0\x1c'sabÉ1,.!日€") for _ in range(rng.randint(0, 60))) for _ in range(400)]
-    for t in [x for x in TEXTS if x] + odd + [" a", "\na", "a\n", "a ", "<|endoftext|> b", "x" * 60 + " " + "y" * 60]:
+    for t in [x for x in TEXTS if x] + odd + [" a", "\na", "a\n", "a ", "<|endoftext|> b", "a  <|endoftext|>b", "x<|endoftext|>\n\n<|endoftext|><|endoftext|> y" * 3, "x" * 60 + " " + "y" * 60]:
         assert np.frombuffer(units.library_encoder(BYTE_BPE).one(t), "<u4").tolist() == library(t), t[:80]
 
 
@@ -84,6 +83,15 @@ def test_op1_round_trip(spark, docs, empty, library):
     assert token_files.read_token_digests(spark, path).collect() == []
 
 
+def test_op1_widths(spark):
+    assert token_files.width_for(BYTE_BPE, 0) == 2 and token_files.width_for(BYTE_BPE, 70_000) == 4
+    with pytest.raises(ValueError):
+        token_files.packed(np.array([70_000], np.uint32), 2)
+    path = new_path(spark, "t1w")
+    token_files.write_token_files(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), path, BYTE_BPE, 70_000)
+    assert list(token_files.fetch(spark, path, [1]).first()["ids"])[-1] == 70_000
+
+
 def test_op1_trained_dictionary(spark):
     path = new_path(spark, "t1d")
     token_files.write_token_files(spark.read.parquet(f"{SF}/documents.parquet"), path, BYTE_BPE, 0)
@@ -156,6 +164,42 @@ def test_op3_every_capacity_holds(rule):
         packing.pack_lengths(np.array([101]), (100, 3, 100_000))
 
 
+@pytest.mark.parametrize("rule,weights", [("norm", (1.0, 0.5, 0.5)), ("dot", (1.0, 0.5, 0.5)), ("norm", (0.1, 1.0, 3.0)), ("dot", (0.2, 2.0, 0.3))])
+def test_op3_choice_by_brute_force(rule, weights):
+    """Every open bin is scored for every item: the chosen one has room and none scores better; a bin opens only where none has room."""
+    rng = np.random.default_rng(7)
+    caps = np.array((100, 4, 5200.0))
+    lengths = np.sort(rng.integers(1, 72, 300))[::-1]
+    bins, _ = packing.pack_lengths(lengths, (100, 4, 5200), weights, rule)
+    free, bound = {}, np.zeros(3, bool)
+    for n, b in zip(lengths.tolist(), bins.tolist()):
+        need = np.array((n, 1.0, float(n) * n))
+        fits = {k: f for k, f in free.items() if (f - need >= 0).all()}
+        bound |= np.array([any((f - need)[j] < 0 and (np.delete(f - need, j) >= 0).all() for f in free.values()) for j in range(3)])
+        if b not in free:
+            assert not fits
+            free[b] = caps - need
+            continue
+        score = {k: -sum(w * ((f[j] - need[j]) / caps[j]) ** 2 for j, w in enumerate(weights)) if rule == "norm" else sum(w * f[j] / caps[j] * need[j] / caps[j] for j, w in enumerate(weights)) for k, f in fits.items()}
+        assert b in score and score[b] >= max(score.values()) - 1e-12
+        free[b] = free[b] - need
+    assert bound.all()  # each capacity alone has kept an item out of some bin
+
+
+def test_op3_capacities_of_documents(spark, docs):
+    rows = packing.pack_documents(docs, BYTE_BPE, 2, 64, most_docs=3, most_attention=40 * 40, longest=40).collect()
+    for parts in _checked_packing(rows, 64).values():
+        assert len(parts) <= 3 and sum(n * n for _, n in parts) <= 1600
+    assert max(r["length"] for r in rows) == 40
+
+
+def test_op3_buckets_are_even(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 100)
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    sizes = [r["n"] for r in packing.token_pieces(docs, BYTE_BPE, 2, 64, 200).groupBy("bucket").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 200 and max(sizes) <= 104
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -320,6 +364,56 @@ def test_op7_peaks_by_hand():
     assert all((p >> 3 & 0x3FFF) > 0 for p in media.pairs(media.peaks(samples)).tolist())
 
 
+def test_op7_peaks_and_pairs_by_brute_force():
+    rng = random.Random(8)
+    data = media.padded(bytes(rng.choices(range(256), k=576 * 5 + 99)))
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * k / 575) for k in range(576)]
+    silence = [128] * (576 - media.HOP)
+    samples = [*silence, *data, *([128] * (-len(data) % media.HOP)), *silence]
+    frames = []
+    for at in range(0, len(samples) - 575, media.HOP):
+        x = [(s - 128) * w for s, w in zip(samples[at : at + 576], window)]
+        power = [round(abs(sum(v * np.exp(-2j * np.pi * b * k / 576) for k, v in enumerate(x))), 3) for b in range(1, 289)]
+        frames.append(sorted(sorted(range(1, 289), key=lambda b: (-power[b - 1], b))[: media.PEAKS]))
+    assert media.peaks(data).tolist() == frames
+    want = []
+    for t, own in enumerate(frames):
+        for i, b in enumerate(own):
+            want += [t << 32 | b << 17 | c << 3 for c in own[i + 1 :]]
+            want += [t << 32 | b << 17 | c << 3 | gap for gap in range(1, media.FAN + 1) if t + gap < len(frames) for c in frames[t + gap]]
+    assert media.pairs(media.peaks(data)).tolist() == sorted(want)
+
+
+def test_op8_votes_by_brute_force():
+    """All cosines with all labelled vectors, the nearest by (similarity, place), voting with similarity^SHARP."""
+    rng = random.Random(3)
+    words = ["alpha", "Beta", "g4mma", "delta!", "x", "yy", "ZZZ", "$$$"]
+    texts = [" ".join(rng.choices(words[: 4 + 4 * (k % 2)], k=rng.randint(1, 30))) for k in range(80)]
+    texts += texts[:30]  # equal neighbours
+    x = np.array([quality_knn.features(t) for t in texts])
+    labels, weights = np.array([k % 2 for k in range(len(texts))]), np.array([1.0 + k % 2 for k in range(len(texts))])
+    model = quality_knn.Neighbours(x, labels, weights)
+    asked = np.array([quality_knn.features(t) for t in [*texts[:40], "", "alpha x", "QQQ 12 ~"]])
+    got = model.score(asked)
+    for row, score in zip(asked, got):
+        own = (row @ model.project).astype(np.float32)
+        unit = own / np.linalg.norm(own) if np.linalg.norm(own) else own
+        cosines = [float(sum(float(p) * float(q) for p, q in zip(unit, v))) for v in model.vectors]
+        least = sorted(cosines, reverse=True)[quality_knn.NEAREST - 1]
+        sure = [k for k, c in enumerate(cosines) if c > least + 1e-5]
+        ties = [k for k, c in enumerate(cosines) if abs(c - least) <= 1e-5]
+        votes = [(max(0, cosines[k]) ** quality_knn.SHARP * weights[k], labels[k]) for k in [*sure, *ties[: quality_knn.NEAREST - len(sure)]]]
+        total = sum(w for w, _ in votes)
+        assert score == pytest.approx(sum(w * l for w, l in votes) / total if total > 1e-9 and row.any() else model.prior, abs=0.12 if len(ties) > 1 and len({labels[k] for k in ties}) > 1 else 1e-3)
+
+
+def test_op8_ties_go_to_the_first():
+    x = np.array([quality_knn.features("same words here")] * 40 + [quality_knn.features("OTHER $$ 12")] * 5)
+    labels = np.array([1] * 20 + [0] * 25)
+    model = quality_knn.Neighbours(x, labels, np.ones(45))
+    assert model.score(x[:3]).tolist() == pytest.approx([1.0] * 3)
+
+
 def test_op8_quality(spark, docs, empty):
     own, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = quality_knn.fit(own, labels, crc_rest("doc_id", 5) != 0)
