@@ -218,7 +218,7 @@ class Filter:
 
 
 def members(docs: DataFrame, size: int, wanted: Filter, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, digest and short (null without shingles), hashes (of classes that the filter holds) of every row."""
+    """doc_id, text_hash, n, digest and short (null without shingles), hashes (of classes that the filter holds) of every row."""
     held = docs.sparkSession.sparkContext.broadcast(wanted)  # 32 MB at most
 
     def run(c: dict[str, list]) -> dict[str, list]:
@@ -226,9 +226,11 @@ def members(docs: DataFrame, size: int, wanted: Filter, id_col: str, text_col: s
         digests = [digest(s) or None for s in sets]
         shorts = [short(d) if d else 0 for d in digests]
         some = held.value.holds(np.array(shorts, np.int64))
-        return {"doc_id": c["i"], "n": list(map(len, sets)), "digest": digests, "short": [x or None for x in shorts], "hashes": [s.view(np.int64) if h and len(s) else None for s, h in zip(sets, some, strict=True)]}
+        hashes = [s.view(np.int64) if h and len(s) else None for s, h in zip(sets, some, strict=True)]
+        return {"doc_id": c["i"], "text_hash": c["x"], "n": list(map(len, sets)), "digest": digests, "short": [x or None for x in shorts], "hashes": hashes}
 
-    return by_batch(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), run, "doc_id long, n long, digest binary, short long, hashes array<long>")
+    own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("x"))
+    return by_batch(own, run, "doc_id long, text_hash long, n long, digest binary, short long, hashes array<long>")
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:
@@ -402,12 +404,27 @@ def components(sets: DataFrame, edges_by: DataFrame, heads: DataFrame, limit: Th
 
 def similar_components(docs: DataFrame, size: int, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; sets of ``size``-word shingles link from a Jaccard of ``least`` percent."""
+    rows, ids = _judged(docs, size, least, F.col("doc_id"), id_col, text_col)
+    own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
+    return rows.join(ids, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), own)
+
+
+def representatives(docs: DataFrame, size: int, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash (xxhash64) of the row of each component that has the least id, null ids last, and of rows with that id the least hash; rows without shingles are components of their own."""
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    rows, ids = _judged(docs, size, least, row, id_col, text_col)
+    alone = rows.where("digest IS NULL").select("doc_id", "text_hash")
+    return ids.select("least.doc_id", "least.text_hash").unionByName(alone).distinct()
+
+
+def _judged(docs: DataFrame, size: int, least: int, own: Column, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_hash, n, digest), and by digest the least ``own`` of its component."""
     limit = Threshold(least)
     amount = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0  # about six bytes a word
     earned = credits(docs, size, limit, max(1, amount // 6 // BUCKET), text_col)
     left = written(earned.where(F.col("credit") >= F.col("needed")).select("short"), "candidates")
     rows = written(members(docs, size, Filter(left, "short"), id_col, text_col), "members")
-    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(own).alias("least"))
     missing = lambda n: n - F.ceil(n * least / 100)
     # The few sets that only the filter lets through share too little and go below.
     some = rows.where("hashes IS NOT NULL").select("digest", "n", "hashes").dropDuplicates(["digest"])
@@ -432,11 +449,9 @@ def similar_components(docs: DataFrame, size: int, least: int, id_col: str = "do
     ready = by_batch(shared.select("cid", "n", "shared"), packed, "cid long, n long, tokens binary")
     found = components(ready, every, heads, limit)
     joined = classes.join(sets.select("digest", "cid").join(found, "cid"), "digest")
-    roots = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    moved = joined.join(roots, "root").select("digest", F.col("component_id").alias("least"))
-    ids = classes.join(moved, "digest", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id"))
-    own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    return rows.join(ids, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), own)
+    roots = joined.groupBy("root").agg(F.min("least").alias("of_all"))
+    moved = joined.join(roots, "root").select("digest", "of_all")
+    return rows, classes.join(moved, "digest", "left").select("digest", F.coalesce("of_all", "least").alias("least"))
 
 
 def oracle(size: int = 4, least: int = 85) -> str:

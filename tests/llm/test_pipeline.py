@@ -48,7 +48,9 @@ def test_packed(stages):
     from test_llm_operators import _checked_packing
 
     rows = stages[-1].collect()
-    _checked_packing(rows, P.SEQUENCE)
+    for parts in _checked_packing(rows, P.SEQUENCE).values():
+        assert len(parts) <= P.MOST_DOCS and sum(n * n for _, n in parts) <= P.MOST_ATTENTION
+    assert max(r["length"] for r in rows) <= P.LONGEST
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in stages[3].collect()}
 
 
@@ -64,11 +66,38 @@ def test_empty_and_odd_rows(spark, tmp_path):
 
 
 def test_null_and_repeated_ids(spark):
-    a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
-    rows = [(1, a), (1, a), (None, a + " x"), (None, b), (1, b + " y"), (7, "alone"), (7, "alone"), (8, "alone too now")]
-    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = [r["text"][:5] for r in P.near_duplicates(spark, docs, "").collect()]
-    assert sorted(got) == sorted([a[:5], b[:5], "alone", "alone"])
+    """Rows are judged one by one: an odd row elsewhere changes nothing for the rest."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "wvu")
+    rows = [(1, a), (1, a), (None, a + " x"), (None, b), (1, b + " y"), (7, "alone"), (7, "alone"), (8, "alone too now"), (30, c), (20, c + " z"), (25, c)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t), k, "extra") for k, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, known int, row string")
+    got = P.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([(1, a), (1, b + " y"), (7, "alone"), (8, "alone too now"), (20, c + " z")])
+
+
+def test_long_texts_and_clashing_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    longest = docs.orderBy(F.length("text").desc()).limit(1).withColumns({"doc_id": F.lit(10**9), "text": F.repeat("text", 3), "lang": F.lit(None).cast("string")})
+    more = {c: F.lit(1) for c in ("score", "lang_pred", "quality_score", "known", "text_hash", "row", "h", "first", "kept", "bucket", "_lines")}
+    docs.unionByName(longest).withColumns(more).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = P.run(spark, str(tmp_path)).collect()
+    assert len({r["doc_id"] for r in got}) > 0.5 * docs.count()
+
+
+def test_gibberish_and_unlearned_languages_go(spark):
+    import random
+
+    rng = random.Random(2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=600)) for _ in range(10)]
+    odd += ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."]
+    rows = docs.unionByName(spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(odd)], docs.schema))
+    kept = P.language(spark, rows, SF)
+    assert kept.where("doc_id >= 1000000").count() == 0
+    assert kept.count() >= 0.97 * docs.where("text RLIKE '[a-z]'").count()
 
 
 def test_clean_removes_what_was_written(spark):
