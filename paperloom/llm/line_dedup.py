@@ -29,6 +29,7 @@ is earlier by (doc_id, hash of the text, place), so no two distinct lines are eq
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations, product
 
@@ -154,19 +155,33 @@ def common(x: Column, y: Column) -> Column:
     return F.when(at > 0, at.cast("int") - 1).otherwise(n)
 
 
+def let(value: Column, result: Callable[[Column], Column]) -> Column:
+    """``result`` of ``value``, which is evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), result), F.lit(0))
+
+
+def near_codes(x: Column, y: Column, most: int) -> Column:
+    """Whether two lines' codes are within the distance that the shorter allows; common ends, which don't change it, go first."""
+
+    def without_heads(a: Column, b: Column) -> Column:
+        return let(common(a, b), lambda n: F.struct(F.reverse(F.slice(a, n + 1, F.size(a))).alias("x"), F.reverse(F.slice(b, n + 1, F.size(b))).alias("y")))
+
+    def judged(p: Column) -> Column:
+        out = F.lit(False)
+        for k in range(1, most + 1):
+            out = F.when(allowed(F.least(F.size(x), F.size(y)), most) == k, within(p["x"], p["y"], k)).otherwise(out)
+        return out
+
+    return let(without_heads(x, y), lambda p: let(without_heads(p["x"], p["y"]), judged))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     """h, c of the later line of each pair (a, b) of line names that is near; ``texts`` has first and codes by h, c."""
     t = texts.select(F.struct(*LINE).alias("line"), F.struct("first", "codes").alias("t"))
     both = pairs.join(t.select(F.col("line").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("line").alias("b"), F.col("t").alias("tb")), "b")
     both = both.select("a", "b", (F.col("ta.first") < F.col("tb.first")).alias("forward"), F.col("ta.codes").alias("x"), F.col("tb.codes").alias("y"))
-    both = both.withColumn("most", allowed(F.least(F.size("x"), F.size("y")), most)).where(F.abs(F.size("x") - F.size("y")) <= F.col("most"))
-    # Common ends go: they don't change the distance.
-    n = common(F.col("x"), F.col("y"))
-    both = both.withColumns({"x": F.slice("x", n + 1, F.size("x")), "y": F.slice("y", n + 1, F.size("y"))})
-    n = common(F.reverse("x"), F.reverse("y"))
-    both = both.withColumns({"x": F.slice("x", F.lit(1), F.size("x") - n), "y": F.slice("y", F.lit(1), F.size("y") - n)})
-    near = reduce(lambda so_far, k: so_far | ((F.col("most") == k) & within(F.col("x"), F.col("y"), k)), range(1, most + 1), F.lit(False))
-    return both.where(near).select(F.when(F.col("forward"), F.col("b")).otherwise(F.col("a")).alias("line")).select("line.*")
+    both = both.where(F.abs(F.size("x") - F.size("y")) <= most).where(near_codes(F.col("x"), F.col("y"), most))
+    return both.select(F.when(F.col("forward"), F.col("b")).otherwise(F.col("a")).alias("line")).select("line.*")
 
 
 def met(entries: DataFrame) -> DataFrame:
