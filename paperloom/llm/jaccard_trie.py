@@ -186,7 +186,8 @@ def credits(docs: DataFrame, size: int, limit: Threshold, buckets: int, text_col
         return pd.DataFrame({"short": who.view(np.int64), "credit": n.astype(np.int64), "needed": np.zeros(len(n), np.int64)})
 
     blobs = docs.select(F.col(text_col).alias("t")).mapInArrow(gather, "bucket long, blob binary")
-    met = blobs.groupBy("bucket").applyInPandas(meet, "short long, credit long, needed long")
+    # Partitions follow the data: two or so buckets each.
+    met = blobs.repartition(max(1, buckets), "bucket").groupBy("bucket").applyInPandas(meet, "short long, credit long, needed long")
     return met.groupBy("short").agg(F.sum("credit").alias("credit"), F.min(F.when(F.col("needed") > 0, F.col("needed"))).alias("needed"))
 
 
