@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 #: White space that plain compaction joins.
 BLANKS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 #: Marks of text decoded by the wrong code page.
-MOJIBAKE = ("Ã", "Â", "â€", "Ä‘", "�")
+MOJIBAKE = ("Ã", "Â", "â€", "ðŸ", "�")
 
 
 def _bare(x: str | None) -> str | None:

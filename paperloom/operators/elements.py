@@ -74,10 +74,10 @@ def item_numbers(elements: DataFrame) -> DataFrame:
 
 
 def selection(elements: DataFrame, assets: DataFrame) -> DataFrame:
-    """doc_id, pos, fate: visuals are filtered if decorative by their own class or their asset's, else pending; the rest is indexable unless marked."""
-    held = elements.join(assets.select("asset_id", F.col("classification").alias("asset_class")), "asset_id", "left")
-    kind = F.upper(F.coalesce(F.nullif(F.col("classification"), F.lit("")), F.col("asset_class"), F.lit("")))
-    decorative = kind.isin("DECORATIVE", "LOGO", "BRAND_LOGO", "BACKGROUND")
+    """doc_id, pos, fate: visuals are filtered if decorative by class or role, their own or else their asset's, else pending; the rest is indexable unless marked."""
+    held = elements.join(assets.select("asset_id", F.col("classification").alias("asset_class"), F.col("role").alias("asset_role")), "asset_id", "left")
+    first = lambda own, theirs: F.upper(F.coalesce(F.nullif(F.col(own), F.lit("")), F.col(theirs), F.lit("")))
+    decorative = (first("classification", "asset_class") == "DECORATIVE") | first("role", "asset_role").isin("BRAND_LOGO", "PAGE_DECORATION")
     fate = F.when(F.col("type").isin("IMAGE", "FLOWCHART"), F.when(decorative, "filtered").otherwise("pending_visual")).when(~F.coalesce(F.col("indexable"), F.lit(True)), "filtered").otherwise("indexable")
     return held.select("doc_id", "pos", "type", fate.alias("fate"))
 
@@ -90,7 +90,7 @@ def page_gaps(documents: DataFrame, elements: DataFrame) -> DataFrame:
 
 def repetition(elements: DataFrame, least: int = 8) -> DataFrame:
     """doc_id, lines, ratio: repeats among folded lines, 0 under ``least`` lines. Counted in two steps, so a line that repeats a lot is combined before it moves."""
-    lines = elements.where(F.col("type").isin("PARAGRAPH", "HEADING", "LIST", "TITLE")).select("doc_id", F.lower(text.compact(F.col("content"))).alias("line")).where("line <> ''")
+    lines = elements.where(F.col("type").isin("TITLE", "HEADING", "PARAGRAPH", "CAPTION")).select("doc_id", F.lower(text.compact(F.col("content"))).alias("line")).where("line <> ''")
     per = lines.groupBy("doc_id", "line").agg(F.count("*").alias("n"))
     return per.groupBy("doc_id").agg(F.sum("n").alias("lines"), F.sum(F.col("n") - 1).alias("again")).select("doc_id", "lines", F.when(F.col("lines") < least, 0.0).otherwise(F.col("again") / F.col("lines")).alias("ratio"))
 
@@ -145,41 +145,87 @@ RULES = (
     ("page_text_too_short", "WARNING", "TEXT", True),
     ("page_mojibake_ratio_exceeded", "ERROR", "TEXT", True),
     ("page_text_repetition_abnormal", "WARNING", "TEXT", True),
+    ("reading_order_invalid", "ERROR", "TEXT", True),
     ("heading_hierarchy_jump", "WARNING", "TEXT", True),
     ("table_grid_invalid", "ERROR", "TABLE", True),
     ("markdown_encoding_error", "ERROR", "TEXT", True),
+    ("page_count_mismatch", "ERROR", "PROVENANCE", True),
     ("pages_without_mapped_elements", "WARNING", "PROVENANCE", True),
     ("insufficient_bbox_coverage", "ERROR", "PROVENANCE", True),
+    ("no_mapped_elements", "ERROR", "TEXT", True),
     ("repeated_decorative_asset", "WARNING", "VISUAL", False),
+    ("repeated_brand_logo", "WARNING", "VISUAL", False),
+    ("unreferenced_extracted_assets", "WARNING", "VISUAL", False),
+    ("graph_topology_invalid", "ERROR", "VISUAL", True),
 )
+#: Limits of the page rules.
+SHORT_TEXT, MOST_MOJIBAKE, REPEATED_TEXT, REPEATED_LINES, MOST_REPEATED, LEAST_BOXED = 12, 0.02, 300, 8, 0.70, 0.98
+
+
+def page_issues(elements: DataFrame, scopes: DataFrame | None = None, block: str = "pos") -> DataFrame:
+    """issue_id, doc_id, page, code, severity, domain, fallback of the rules that look at one page; ``scopes`` (doc_id, page) are the pages that should be there."""
+    texts = ~F.col("type").isin("IMAGE", "FLOWCHART", "HEADER", "FOOTER") & (F.col("content") != "")
+    line = F.when(F.col("type").isin("TITLE", "HEADING", "PARAGRAPH", "CAPTION"), F.nullif(F.lower(text.compact(F.col("content"))), F.lit("")))
+    bad_table = (F.col("type") == "TABLE") & ~text.gfm_table(F.col("content"))
+    broken = F.col(block) <= F.lag(block).over(W.partitionBy("doc_id", "page").orderBy("pos"))
+    rows = elements.withColumns({"part": F.when(texts, F.struct("pos", "content")), "line": line, "bad_table": bad_table, "broken": F.coalesce(broken, F.lit(False)), "rich": F.col("type").isin("TABLE", "LIST", "IMAGE", "FLOWCHART")})
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["content"]), "\n")
+    pages = rows.groupBy("doc_id", "page").agg(joined.alias("t"), F.max("rich").alias("rich"), F.max("bad_table").alias("bad_table"), F.max("broken").alias("broken"), F.collect_list("line").alias("lines"))
+    again = F.size("lines") - F.size(F.array_distinct("lines"))
+    ratio = F.when(F.size("lines") < REPEATED_LINES, 0.0).otherwise(again / F.size("lines"))
+    codes = F.array(
+        F.when((F.length(F.regexp_replace("t", r"^\s+|\s+$", "")) < SHORT_TEXT) & ~F.col("rich"), "page_text_too_short"),
+        F.when(text.mojibake_ratio(F.col("t")) > MOST_MOJIBAKE, "page_mojibake_ratio_exceeded"),
+        F.when((F.length("t") >= REPEATED_TEXT) & (ratio > MOST_REPEATED), "page_text_repetition_abnormal"),
+        F.when(F.col("broken"), "reading_order_invalid"),
+        F.when(F.col("bad_table"), "table_grid_invalid"),
+    )
+    found = pages.select("doc_id", "page", F.explode(F.array_compact(codes)).alias("code"))
+    jumps = heading_jumps(elements).join(elements.select("doc_id", "pos", "page"), ["doc_id", "pos"]).select("doc_id", "page", F.lit("heading_hierarchy_jump").alias("code")).distinct()
+    found = found.unionByName(jumps)
+    if scopes is not None:
+        found = found.unionByName(scopes.join(pages, ["doc_id", "page"], "left_anti").select("doc_id", "page", F.lit("empty_page").alias("code")))
+    return with_rules(found)
 
 
-def page_issues(elements: DataFrame) -> DataFrame:
-    """issue_id, doc_id, page, code, severity, domain, fallback of the rules that look at one page."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n")
-    pages = elements.groupBy("doc_id", "page").agg(joined.alias("t"), F.max(F.col("type").isin("TABLE", "LIST", "IMAGE")).alias("rich"))
-    size = F.length(F.trim("t"))
+def document_issues(documents: DataFrame, elements: DataFrame, assets: DataFrame) -> DataFrame:
+    """issue_id, doc_id, page (null), code, severity, domain, fallback of the rules that look at a whole extraction.
+
+    ``documents`` has doc_id, pages, manifest_pages, broken (replacement characters); ``elements`` doc_id, page, boxed;
+    ``assets`` doc_id, asset_id, classification, role, files and referenced (numbers of physical files and of those referred to)."""
+    per = elements.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("boxed").alias("boxed"), F.collect_set("page").alias("on"))
+    d = documents.join(per, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    missing = F.exists(F.when(F.col("manifest_pages") > 0, F.sequence(F.lit(1), F.col("manifest_pages"))).otherwise(F.array().cast("array<int>")), lambda p: ~F.array_contains(F.coalesce("on", F.array().cast("array<int>")), p))
     codes = F.array(
-        F.when(size == 0, "empty_page"),
-        F.when((size > 0) & (size < 12) & ~F.col("rich"), "page_text_too_short"),
-        F.when(text.mojibake_ratio(F.col("t")) > 0.02, "page_mojibake_ratio_exceeded"),
-        F.when(F.col("t").contains("�"), "markdown_encoding_error"),
+        F.when(F.col("broken") > 0, "markdown_encoding_error"),
+        F.when(F.col("pages") != F.col("manifest_pages"), "page_count_mismatch"),
+        F.when(missing, "pages_without_mapped_elements"),
+        F.when(F.when(F.col("n") > 0, F.col("boxed") / F.col("n")).otherwise(0.0) < LEAST_BOXED, "insufficient_bbox_coverage"),
+        F.when(F.col("n") == 0, "no_mapped_elements"),
     )
-    found = pages.select("doc_id", "page", F.explode(F.array_compact(codes)).alias("code"))
-    return with_rules(found.unionByName(heading_jumps(elements).join(elements.select("doc_id", "pos", "page"), ["doc_id", "pos"]).select("doc_id", "page", F.lit("heading_hierarchy_jump").alias("code")).distinct()))
+    logo = F.when(F.col("role") == "BRAND_LOGO", "repeated_brand_logo").otherwise("repeated_decorative_asset")
+    visual = F.array(F.when((F.col("classification") == "DECORATIVE") & (F.col("files") > 1), logo), F.when(F.col("files") > F.col("referenced"), "unreferenced_extracted_assets"))
+    found = d.select("doc_id", F.lit("").alias("asset_id"), F.explode(F.array_compact(codes)).alias("code")).unionByName(assets.select("doc_id", F.col("asset_id").cast("string").alias("asset_id"), F.explode(F.array_compact(visual)).alias("code")))
+    return _ruled(found.withColumn("page", F.lit(None).cast("int")), "asset_id")
 
 
 def with_rules(found: DataFrame) -> DataFrame:
+    return _ruled(found, "page")
+
+
+def _ruled(found: DataFrame, of: str) -> DataFrame:
     rules = found.sparkSession.createDataFrame(list(RULES), "code string, severity string, domain string, fallback boolean")
-    return found.join(F.broadcast(rules), "code").select(ids.digest_id("quality-issue", F.col("code"), F.col("doc_id"), F.col("page")).alias("issue_id"), "doc_id", "page", "code", "severity", "domain", "fallback")
+    own = found.join(F.broadcast(rules), "code").withColumn("issue_id", ids.digest_id("quality-issue", F.col("code"), F.col("doc_id"), F.col(of)))
+    return own.select("issue_id", "doc_id", "page", "code", "severity", "domain", "fallback")
 
 
 def report(documents: DataFrame, issues: DataFrame) -> DataFrame:
-    """doc_id, issues, errors, warnings, fallbacks, disposition by the gravest issue."""
+    """doc_id, issues, errors, warnings, fallbacks, disposition: a fallback that is asked for, else the gravest issue."""
     per = issues.groupBy("doc_id").agg(F.count("*").alias("issues"), F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARNING").alias("warnings"), F.count_if("fallback").alias("fallbacks"))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("issues", "errors", "warnings", "fallbacks")}
     out = documents.select("doc_id").join(per, "doc_id", "left").withColumns(zero)
-    return out.withColumn("disposition", F.when(F.col("fallbacks") > 0, "FALLBACK").when(F.col("errors") > 0, "REJECT").when(F.col("warnings") > 0, "PASS_WITH_WARNINGS").otherwise("PASS"))
+    fate = F.when(F.col("fallbacks") > 0, "FALLBACK_REQUIRED").when(F.col("errors") > 0, "QUARANTINE_REQUIRED").when(F.col("warnings") > 0, "PASS_WITH_WARNINGS").otherwise("PASS")
+    return out.withColumn("disposition", fate)
 
 
 def issue_scopes(issues: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -194,24 +240,77 @@ def issue_scopes(issues: DataFrame, scopes: DataFrame) -> DataFrame:
     return i.select("issue_id").join(every.groupBy("issue_id").agg(F.min("scope_id").alias("scope_id")), "issue_id", "left")
 
 
-#: Kind of route -> ordered (step, attempts).
+#: Kind of route -> ordered (action, attempts, engine, condition).
 PLANS = {
-    "TEXT_TABLE": (("HYBRID", 1), ("REVERIFY", 1), ("MINERU", 1), ("REVERIFY", 1), ("QUARANTINE", 1)),
-    "PROVENANCE": (("REPAIR_PROVENANCE", 2), ("VERIFY_PROVENANCE", 1), ("QUARANTINE", 1)),
-    "GRAPH": (("QWEN_VL", 2), ("VERIFY_GRAPH", 1), ("QUARANTINE", 1)),
-    "VISUAL_SUFFICIENT": (("SUBSTITUTE_NARRATIVE", 1), ("VERIFY", 1), ("PASS", 1)),
-    "VISUAL_INSUFFICIENT": (("QWEN_VL", 2), ("VERIFY_GRAPH", 1), ("VERIFY_PROVENANCE", 1), ("QUARANTINE", 1)),
+    "TEXT_TABLE": (
+        ("ODL_HYBRID", 1, "OPENDATALOADER_HYBRID", "local_page_failed"),
+        ("REVERIFY", 1, None, "after_odl_hybrid"),
+        ("MINERU_PAGE", 1, "MINERU", "odl_hybrid_reverify_failed"),
+        ("REVERIFY", 1, None, "after_mineru_page"),
+        ("EXTRACTION_QUARANTINE", 0, None, "mineru_reverify_failed"),
+    ),
+    "PROVENANCE": (
+        ("PROVENANCE_REPAIR", 2, None, "source_anchor_validation_failed"),
+        ("PROVENANCE_VERIFY", 1, None, "after_provenance_repair"),
+        ("EXTRACTION_QUARANTINE", 0, None, "source_anchor_mapping_failed"),
+    ),
+    "GRAPH_TOPOLOGY": (
+        ("QWEN_FLOWCHART", 2, "QWEN3_VL", "graph_topology_invalid"),
+        ("GRAPH_VERIFY", 1, None, "after_qwen_flowchart"),
+        ("EXTRACTION_QUARANTINE", 0, None, "qwen_retry_cap_exhausted"),
+    ),
+    "VISUAL_NARRATIVE": (
+        ("NARRATIVE_SUBSTITUTION", 1, None, "narrative_coverage_verified"),
+        ("PROVENANCE_VERIFY", 1, None, "after_narrative_substitution"),
+        ("PASS", 0, None, "substitution_provenance_valid"),
+    ),
+    "VISUAL_QWEN": (
+        ("QWEN_FLOWCHART", 2, "QWEN3_VL", "narrative_coverage_insufficient"),
+        ("GRAPH_VERIFY", 1, None, "after_qwen_flowchart"),
+        ("PROVENANCE_VERIFY", 1, None, "graph_topology_valid"),
+        ("EXTRACTION_QUARANTINE", 0, None, "graph_or_provenance_invalid_after_retry"),
+    ),
+    "PASS": (("PASS", 0, None, "quality_gate_passed"),),
 }
+#: Kinds that need no fallback, and those whose engine is an external model.
+SETTLED, EXTERNAL = ("PASS", "VISUAL_NARRATIVE"), ("GRAPH_TOPOLOGY", "VISUAL_QWEN")
+
+
+def scope_routes(issues: DataFrame, narratives: DataFrame, scopes: DataFrame) -> DataFrame:
+    """route_id, doc_id, scope_id, page, kind, reasons, fallback, external, ordinal (in the plan: pages before what has none, then by scope and kind).
+
+    ``issues`` has doc_id, scope_id, code, domain, fallback; ``narratives`` doc_id, scope_id, sufficient of visuals, whose
+    routes are one each; ``scopes`` doc_id, scope_id, page and source_sha256.  A scope that no route covers passes."""
+    i = issues.where("fallback")
+    kinds = F.array_compact(F.array(
+        F.when(F.col("domain").isin("TEXT", "TABLE"), "TEXT_TABLE"), F.when(F.col("domain") == "PROVENANCE", "PROVENANCE"), F.when(F.col("code") == "graph_topology_invalid", "GRAPH_TOPOLOGY"),
+    ))
+    by_kind = i.select("doc_id", "scope_id", "code", F.explode(kinds).alias("kind")).groupBy("doc_id", "scope_id", "kind").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("reasons"))
+    enough = F.col("sufficient")
+    visual = narratives.select(
+        "doc_id", "scope_id", F.when(enough, "VISUAL_NARRATIVE").otherwise("VISUAL_QWEN").alias("kind"), F.concat(F.lit("visual_narrative_coverage_"), F.when(enough, "sufficient").otherwise("insufficient")).alias("reasons")
+    )
+    asked = by_kind.unionByName(visual)
+    passed = scopes.join(asked, ["doc_id", "scope_id"], "left_anti").select("doc_id", "scope_id", F.lit("PASS").alias("kind"), F.lit("").alias("reasons"))
+    rows = asked.unionByName(passed).join(scopes, ["doc_id", "scope_id"])
+    route = F.substring(F.sha2(F.concat_ws("|", "source_sha256", "scope_id", "kind", "reasons"), 256), 1, 24)
+    ordinal = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("page").asc_nulls_last(), "scope_id", "kind", "reasons"))
+    return rows.select(F.concat(F.lit("fallback-route-"), route).alias("route_id"), "doc_id", "scope_id", "page", "kind", "reasons", (~F.col("kind").isin(*SETTLED)).alias("fallback"), F.col("kind").isin(*EXTERNAL).alias("external"), ordinal.alias("ordinal"))
+
 
+def route_steps(routes: DataFrame) -> DataFrame:
+    """One row a step: the route's columns, step (from 1), action, attempts, engine, condition."""
+    rows = [(k, n, *s) for k, plan in PLANS.items() for n, s in enumerate(plan, 1)]
+    steps = routes.sparkSession.createDataFrame(rows, "kind string, step int, action string, attempts int, engine string, condition string")
+    return routes.join(F.broadcast(steps), "kind")
 
-def route_plan(issues: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row a route step (scope = page): a route for each kind of fallback issue on a page, in the kind's order of steps; pages without a route get PASS."""
-    kind = F.when(F.col("domain").isin("TEXT", "TABLE"), "TEXT_TABLE").when(F.col("domain") == "PROVENANCE", "PROVENANCE").otherwise("VISUAL_INSUFFICIENT")
-    asked = issues.where("fallback").select("doc_id", "page", kind.alias("kind")).distinct()
-    steps = issues.sparkSession.createDataFrame([(k, n, s, a) for k, plan in PLANS.items() for n, (s, a) in enumerate(plan, 1)], "kind string, step int, action string, attempts int")
-    routed = asked.join(F.broadcast(steps), "kind")
-    passed = pages.select("doc_id", "page").distinct().join(asked, ["doc_id", "page"], "left_anti").select("doc_id", "page", F.lit("PASS").alias("kind"), F.lit(1).alias("step"), F.lit("PASS").alias("action"), F.lit(1).alias("attempts"))
-    return routed.select("doc_id", "page", "kind", "step", "action", "attempts").unionByName(passed)
+
+def fallback_engine(steps: DataFrame, chains: DataFrame) -> DataFrame:
+    """doc_id, engine: the first engine of the plan's fallback routes that isn't the last of the document's chain (doc_id, last_engine), else MANUAL."""
+    asked = steps.where("fallback AND engine IS NOT NULL").join(chains, "doc_id").where(F.col("engine") != F.col("last_engine"))
+    first = asked.groupBy("doc_id").agg(F.min_by("engine", F.struct("ordinal", "step")).alias("engine"))
+    needs = steps.where("fallback").select("doc_id").distinct()
+    return needs.join(first, "doc_id", "left").select("doc_id", F.coalesce("engine", F.lit("MANUAL")).alias("engine"))
 
 
 def keep_first(rows: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -219,14 +318,30 @@ def keep_first(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("_nth", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_nth = 1").drop("_nth")
 
 
-def narrative(elements: DataFrame, apart: int = 4) -> DataFrame:
-    """doc_id, pos, characters, keywords, coverage, sufficient of visuals: by the text on their page within ``apart`` blocks."""
-    v = elements.where("type = 'IMAGE'").select("doc_id", "page", F.col("pos").alias("vpos"))
-    t = elements.where(F.col("type").isin("PARAGRAPH", "LIST", "HEADING")).select("doc_id", "page", "pos", text.compact(F.col("content")).alias("t"))
-    near = v.join(t, ["doc_id", "page"], "left").where(F.col("pos").isNull() | (F.abs(F.col("vpos") - F.col("pos")) <= apart))
-    words = F.size(F.array_distinct(F.regexp_extract_all(F.lower("all"), F.lit("(the|and|than|that|one)"), F.lit(1))))
-    per = near.groupBy("doc_id", "vpos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), " ").alias("all"))
-    out = v.select("doc_id", "vpos").join(per, ["doc_id", "vpos"], "left").withColumn("all", F.coalesce("all", F.lit("")))
-    out = out.select("doc_id", F.col("vpos").alias("pos"), F.length("all").alias("characters"), words.alias("keywords"))
-    score = F.round(0.6 * F.least(F.col("characters") / 60, F.lit(1.0)) + 0.4 * F.least(F.col("keywords") / 3, F.lit(1.0)), 6)
-    return out.withColumn("coverage", score).withColumn("sufficient", (F.col("characters") >= 60) & (F.col("coverage") >= 0.65))
+#: Words that tell of a process, in folded form.
+PROCESS_WORDS = ("lưu đồ", "quy trình", "bước", "nếu", "đạt", "không đạt", "nhánh", "tiếp theo", "flowchart", "process")
+#: Marks by which an extraction has judged a visual itself.
+SUFFICIENT, INSUFFICIENT = ("true", "sufficient", "complete", "pass", "đủ"), ("false", "insufficient", "missing", "fail", "thiếu")
+
+
+def narrative(elements: DataFrame, apart: int = 4, least: int = 60, least_score: float = 0.65) -> DataFrame:
+    """doc_id, pos, characters, keywords, coverage, sufficient, overridden of visuals, by the text within ``apart`` blocks on their page, or in their section if they have no page.
+
+    ``elements`` has doc_id, pos, page, section, type, content and told (a visual's own mark, which overrides)."""
+    key = lambda page, section: F.when(page.isNotNull(), F.concat(F.lit("p"), page)).otherwise(F.concat(F.lit("s"), F.coalesce(section.cast("string"), F.lit("none"))))
+    v = elements.where(F.col("type").isin("IMAGE", "FLOWCHART")).select("doc_id", F.col("pos").alias("vpos"), key(F.col("page"), F.col("section")).alias("near"), F.lower(F.trim("told")).alias("told"))
+    t = elements.where(F.col("type").isin("PARAGRAPH", "CAPTION", "LIST", "HEADING")).select("doc_id", "pos", F.regexp_replace("content", r"^\s+|\s+$", "").alias("t"), "page", "section").where("t <> ''")
+    none = F.lit(None).cast("int")
+    t = t.select("doc_id", "pos", "t", F.explode(F.array_compact(F.array(F.when(F.col("page").isNotNull(), F.concat(F.lit("p"), "page")), key(none, F.col("section"))))).alias("near"))
+    found = v.join(t, ["doc_id", "near"]).where(F.abs(F.col("vpos") - F.col("pos")) <= apart)
+    per = found.groupBy("doc_id", "vpos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "\n").alias("all"))
+    out = v.join(per, ["doc_id", "vpos"], "left").withColumn("all", F.coalesce("all", F.lit("")))
+    words = sum((F.lower("all").contains(w).cast("int") for w in PROCESS_WORDS), F.lit(0))
+    marked = F.col("told").isin(*SUFFICIENT, *INSUFFICIENT)
+    out = out.select("doc_id", F.col("vpos").alias("pos"), F.coalesce(marked, F.lit(False)).alias("overridden"), F.col("told").isin(*SUFFICIENT).alias("yes"), F.length("all").alias("n"), words.alias("k"))
+    score = 0.6 * F.least(F.col("n") / least, F.lit(1.0)) + 0.4 * F.least(F.col("k") / 3, F.lit(1.0))
+    own = F.col("overridden")
+    return out.select(
+        "doc_id", "pos", F.when(own, 0).otherwise(F.col("n")).alias("characters"), F.when(own, 0).otherwise(F.col("k")).alias("keywords"),
+        F.when(own, F.col("yes").cast("double")).otherwise(F.round(score, 6)).alias("coverage"), F.when(own, F.col("yes")).otherwise((F.col("n") >= least) & (score >= least_score)).alias("sufficient"), own.alias("overridden"),
+    )

@@ -9,11 +9,11 @@ from paperloom.functions import ids
 
 #: Format, route, primary engine, fallbacks.
 ROUTES = (
-    ("PDF", "PDF_LOCAL", "OPENDATALOADER_LOCAL", ["OPENDATALOADER_HYBRID", "MINERU"]),
+    ("PDF", "PDF_OPENDATALOADER", "OPENDATALOADER_LOCAL", ["OPENDATALOADER_HYBRID", "MINERU"]),
     ("DOCX", "DOCX_NATIVE", "DOCX_NATIVE", []),
-    ("DOC", "DOC_CONVERT", "LIBREOFFICE", []),
-    ("IMAGE", "IMAGE_OCR", "MINERU", []),
-    ("UNKNOWN", "UNSUPPORTED", None, []),
+    ("DOC", "DOC_CONVERT", "LIBREOFFICE", ["MANUAL"]),
+    ("IMAGE", "IMAGE_VISUAL", "QWEN3_VL", ["MANUAL"]),
+    ("UNKNOWN", "UNSUPPORTED", "MANUAL", []),
 )
 
 

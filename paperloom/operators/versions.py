@@ -13,7 +13,9 @@ def assign(decided: DataFrame, versions: DataFrame) -> DataFrame:
     """decided (catalog_id, decision_id, pos, outcome, family_id, matched_version_id, sha256) -> a version each.
 
     Content that the family has already, in the registry or earlier in the batch, reuses that version;
-    new content gets the family's next number in order of ``pos`` and supersedes its ACTIVE version."""
+    new content gets the family's next number in order of ``pos`` and supersedes its ACTIVE version.
+    Content that only another family has is refused: ``foreign_content`` names it."""
+    decided = decided.join(foreign_content(decided, versions).select("catalog_id"), "catalog_id", "left_anti")
     own = versions.groupBy("family_id", "sha256").agg(F.min(F.struct("version_number", "version_id")).alias("held"))
     last = versions.groupBy("family_id").agg(F.max("version_number").alias("last"), F.max(F.when(F.col("publication_state") == "ACTIVE", F.col("version_id"))).alias("active"))
     firsts = decided.groupBy("family_id", "sha256").agg(F.min("pos").alias("first_pos"))
@@ -23,7 +25,7 @@ def assign(decided: DataFrame, versions: DataFrame) -> DataFrame:
     number = F.coalesce("held.version_number", F.coalesce("last", F.lit(0)) + F.col("nth"))
     vid = F.coalesce("held.version_id", ids.version_id(F.col("family_id"), number, F.col("sha256")))
     created = F.col("held").isNull() & (F.col("pos") == F.col("first_pos"))
-    action = F.when(created & F.col("last").isNull() & (F.col("nth") == 1), "CREATE_FAMILY_VERSION").when(created, "CREATE_VERSION").otherwise("REUSE_VERSION")
+    action = F.when(created & F.col("last").isNull() & (F.col("nth") == 1), "CREATE_FAMILY_AND_VERSION").when(created, "CREATE_VERSION").otherwise("REUSE_VERSION")
     rows = rows.withColumns({"number": number.cast("int"), "version_id": vid, "action": action})
     return rows.select(
         ids.prefixed_uuid("va", F.col("decision_id"), F.col("version_id"), F.col("action")).alias("assignment_id"), "catalog_id", "decision_id", "family_id", "version_id",
@@ -31,6 +33,13 @@ def assign(decided: DataFrame, versions: DataFrame) -> DataFrame:
     )
 
 
+def foreign_content(decided: DataFrame, versions: DataFrame) -> DataFrame:
+    """catalog_id, family_id, sha256, known_family: decisions whose content is registered under other families only."""
+    known = versions.groupBy("sha256").agg(F.array_sort(F.collect_set("family_id")).alias("families"))
+    j = decided.join(known, "sha256").where(~F.array_contains("families", F.col("family_id")))
+    return j.select("catalog_id", "family_id", "sha256", F.get("families", F.lit(0)).alias("known_family"))
+
+
 def violations(families: DataFrame, versions: DataFrame, decisions: DataFrame, catalog: DataFrame) -> DataFrame:
     """kind, id of everything that breaks the registry's rules; empty when sound."""
     def of(kind: str, frame: DataFrame, column: str) -> DataFrame:

@@ -73,13 +73,17 @@ def item_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ELEMENTS_SQL} SELECT doc_id, pos, type, CASE WHEN type = 'IMAGE' THEN CASE WHEN upper(coalesce(nullif(CASE WHEN pos % 3 = 0 THEN 'logo' ELSE '' END, ''), a.c, '')) IN ('DECORATIVE', 'LOGO', 'BRAND_LOGO', 'BACKGROUND') THEN 'filtered' ELSE 'pending_visual' END WHEN pos % 13 = 7 THEN 'filtered' ELSE 'indexable' END AS fate
-    FROM elements e LEFT JOIN (SELECT item_id AS asset_id, CASE WHEN item_id % 2 = 0 THEN 'Decorative' ELSE 'Chart' END AS c FROM benchmark) a ON a.asset_id = e.doc_id % 60"""
+    f"""WITH {ELEMENTS_SQL}, e AS (SELECT *, CASE WHEN pos % 3 = 0 THEN 'decorative' ELSE '' END AS c, CASE WHEN pos % 5 = 0 THEN 'brand_logo' WHEN pos % 7 = 2 THEN 'FIGURE' ELSE '' END AS r FROM elements),
+    a AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'DECORATIVE' WHEN 1 THEN 'INFORMATIVE' ELSE 'UNKNOWN' END AS ac, CASE item_id % 4 WHEN 0 THEN 'PAGE_DECORATION' ELSE 'UNKNOWN' END AS ar FROM benchmark)
+    SELECT doc_id, pos, type, CASE WHEN type = 'IMAGE' THEN CASE WHEN upper(coalesce(nullif(c, ''), ac, '')) = 'DECORATIVE' OR upper(coalesce(nullif(r, ''), ar, '')) IN ('BRAND_LOGO', 'PAGE_DECORATION') THEN 'filtered' ELSE 'pending_visual' END WHEN pos % 13 = 7 THEN 'filtered' ELSE 'indexable' END AS fate
+    FROM e LEFT JOIN a ON a.item_id = e.doc_id % 60"""
 )
 def element_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = elements(spark, sf_dir).withColumns({"asset_id": F.col("doc_id") % 60, "classification": F.when(F.col("pos") % 3 == 0, "logo").otherwise(""), "indexable": F.col("pos") % 13 != 7})
-    assets = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("asset_id"), F.when(F.col("item_id") % 2 == 0, "Decorative").otherwise("Chart").alias("classification"))
-    return E.selection(own, assets)
+    p, i = F.col("pos"), F.col("item_id")
+    role = F.when(p % 5 == 0, "brand_logo").when(p % 7 == 2, "FIGURE").otherwise("")
+    own = elements(spark, sf_dir).withColumns({"asset_id": F.col("doc_id") % 60, "classification": F.when(p % 3 == 0, "decorative").otherwise(""), "role": role, "indexable": p % 13 != 7})
+    kind = F.when(i % 3 == 0, "DECORATIVE").when(i % 3 == 1, "INFORMATIVE").otherwise("UNKNOWN")
+    return E.selection(own, table(spark, sf_dir, "benchmark").select(i.alias("asset_id"), kind.alias("classification"), F.when(i % 4 == 0, "PAGE_DECORATION").otherwise("UNKNOWN").alias("role")))
 
 
 @query(f"WITH {ELEMENTS_SQL}, d AS (SELECT doc_id, max(page) + 1 AS pages FROM elements GROUP BY doc_id), x AS (SELECT doc_id, unnest(range(1, pages + 1))::INT AS page FROM d) SELECT doc_id, page FROM x ANTI JOIN (SELECT DISTINCT doc_id, page FROM elements WHERE page % 3 <> 2) USING (doc_id, page)")
@@ -89,7 +93,7 @@ def page_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ELEMENTS_SQL}, l AS (SELECT doc_id, lower({_compact("content")}) AS line, count(*) AS n FROM elements WHERE type IN ('PARAGRAPH', 'HEADING', 'LIST', 'TITLE') GROUP BY ALL HAVING line <> '')
+    f"""WITH {ELEMENTS_SQL}, l AS (SELECT doc_id, lower({_compact("content")}) AS line, count(*) AS n FROM elements WHERE type IN ('TITLE', 'HEADING', 'PARAGRAPH', 'CAPTION') GROUP BY ALL HAVING line <> '')
     SELECT doc_id, sum(n)::BIGINT AS lines, CASE WHEN sum(n) < 8 THEN 0.0 ELSE sum(n - 1) / sum(n) END::DOUBLE AS ratio FROM l GROUP BY doc_id"""
 )
 def repetition_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,51 +152,106 @@ def provenance_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _anchored(spark, sf_dir).groupBy("doc_id").agg(n.alias("elements"), F.round(boxed / n, 6).alias("box_coverage"), F.round(F.count_if(F.col("page").between(1, F.col("pages"))) / n, 6).alias("anchor_coverage"), (boxed / n >= 0.98).alias("sufficient"))
 
 
-_ISSUES = f"""{ELEMENTS_SQL}, t AS (SELECT doc_id, page, string_agg(content, chr(10) ORDER BY pos) AS t, bool_or(type IN ('TABLE', 'LIST', 'IMAGE')) AS rich FROM elements GROUP BY doc_id, page),
+_RULES_SQL = "(VALUES " + ", ".join(f"('{c}', '{s}', '{d}', {str(f).lower()})" for c, s, d, f in E.RULES) + ") AS rules(code, severity, domain, fallback)"
+#: GFM: every line a row of one width with a bar in it, dashes in the second.
+_ISSUES = f"""{ELEMENTS_SQL}, tabled AS (SELECT * REPLACE (CASE WHEN type = 'TABLE' AND pos % 2 = 1 THEN '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace(content, '|', '/') || ' | x |' ELSE content END AS content), CASE WHEN pos % 31 = 17 THEN pos - 2 ELSE pos END AS block FROM elements),
+scopes AS (SELECT doc_id, unnest(range(1, pages + 1))::INT AS page FROM (SELECT doc_id, max(page) + (doc_id % 10 = 0)::INT AS pages FROM elements GROUP BY doc_id)),
+t AS (SELECT doc_id, page, coalesce(string_agg(content, chr(10) ORDER BY pos) FILTER (WHERE type <> 'IMAGE' AND content <> ''), '') AS t, bool_or(type IN ('TABLE', 'LIST', 'IMAGE')) AS rich, bool_or(type = 'TABLE' AND pos % 2 = 0) AS bad_table FROM tabled GROUP BY doc_id, page),
 jumps AS (SELECT DISTINCT doc_id, page FROM (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM elements WHERE type = 'HEADING') WHERE level > before + 1),
-issues0 AS (SELECT doc_id, page, 'empty_page' AS code, 'ERROR' AS severity, 'TEXT' AS domain FROM t WHERE length(trim(t)) = 0 UNION ALL SELECT doc_id, page, 'page_text_too_short', 'WARNING', 'TEXT' FROM t WHERE length(trim(t)) BETWEEN 1 AND 11 AND NOT rich
-  UNION ALL SELECT doc_id, page, 'page_mojibake_ratio_exceeded', 'ERROR', 'TEXT' FROM t WHERE length(t) > 0 AND ((length(t) - length(replace(t, 'Ã', ''))) + (length(t) - length(replace(t, 'Â', ''))) + (length(t) - length(replace(t, 'â€', ''))) / 2 + (length(t) - length(replace(t, 'Ä‘', ''))) / 2 + (length(t) - length(replace(t, '�', '')))) / length(t) > 0.02
-  UNION ALL SELECT doc_id, page, 'markdown_encoding_error', 'ERROR', 'TEXT' FROM t WHERE contains(t, '�') UNION ALL SELECT doc_id, page, 'heading_hierarchy_jump', 'WARNING', 'TEXT' FROM jumps),
-issues AS (SELECT 'quality-issue-' || substr(sha256(code || '|' || doc_id::VARCHAR || '|' || page::VARCHAR), 1, 24) AS issue_id, doc_id, page, code, severity, domain, true AS fallback FROM issues0)"""
+breaks AS (SELECT DISTINCT doc_id, page FROM (SELECT *, lag(block) OVER (PARTITION BY doc_id, page ORDER BY pos) AS before FROM tabled) WHERE block <= before),
+issues0 AS (SELECT doc_id, page, 'empty_page' AS code FROM scopes ANTI JOIN t USING (doc_id, page) UNION ALL SELECT doc_id, page, 'page_text_too_short' FROM t WHERE length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) < 12 AND NOT rich
+  UNION ALL SELECT doc_id, page, 'page_mojibake_ratio_exceeded' FROM t WHERE length(t) > 0 AND ((length(t) - length(replace(t, 'Ã', ''))) + (length(t) - length(replace(t, 'Â', ''))) + (length(t) - length(replace(t, 'â€', ''))) / 2 + (length(t) - length(replace(t, 'ðŸ', ''))) / 2 + (length(t) - length(replace(t, '�', '')))) / length(t) > 0.02
+  UNION ALL SELECT doc_id, page, 'table_grid_invalid' FROM t WHERE bad_table UNION ALL SELECT doc_id, page, 'heading_hierarchy_jump' FROM jumps UNION ALL SELECT doc_id, page, 'reading_order_invalid' FROM breaks),
+issues AS (SELECT 'quality-issue-' || substr(sha256(code || '|' || doc_id::VARCHAR || '|' || page::VARCHAR), 1, 24) AS issue_id, doc_id, page, code, severity, domain, fallback FROM issues0 JOIN {_RULES_SQL} USING (code))"""
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other table is sound, some blocks are out of order, and some documents lack their last page."""
+    own, p = elements(spark, sf_dir), F.col("pos")
+    table_ = F.concat(F.lit("| a | b |\n| --- | --- |\n| "), F.replace("content", F.lit("|"), F.lit("/")), F.lit(" | x |"))
+    made = own.withColumns({"content": F.when((F.col("type") == "TABLE") & (p % 2 == 1), table_).otherwise(F.col("content")), "block": F.when(p % 31 == 17, p - 2).otherwise(p)})
+    last = own.groupBy("doc_id").agg(F.max("page").alias("last")).withColumn("last", F.col("last") + (F.col("doc_id") % 10 == 0).cast("int"))
+    return E.page_issues(made, last.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("page")), "block")
 
 
 @query(f"WITH {_ISSUES} SELECT * FROM issues")
 def page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.page_issues(elements(spark, sf_dir))
+    return _issues(spark, sf_dir)
 
 
 @query(
-    f"""WITH {_ISSUES} SELECT doc_id, count(issue_id) AS issues, count(*) FILTER (WHERE severity = 'ERROR') AS errors, count(*) FILTER (WHERE severity = 'WARNING') AS warnings, count(*) FILTER (WHERE fallback) AS fallbacks, CASE WHEN count(*) FILTER (WHERE fallback) > 0 THEN 'FALLBACK' ELSE 'PASS' END AS disposition FROM documents LEFT JOIN issues USING (doc_id) GROUP BY doc_id"""
+    f"""WITH {ELEMENTS_SQL}, d AS (SELECT doc_id, max(page) AS pages, max(page) + (doc_id % 9 = 4)::INT AS mp, sum(length(content) - length(replace(content, 'q', ''))) % 5 = 1 AS broken, count(*) AS n, count(*) FILTER (WHERE pos % 40 <> 3) AS boxed FROM elements WHERE doc_id % 17 <> 5 GROUP BY doc_id
+      UNION ALL SELECT doc_id, 1, 1, false, 0, 0 FROM documents WHERE doc_id % 17 = 5),
+    a AS (SELECT item_id, item_id % 3 AS c, item_id % 2 AS r, item_id % 4 AS f, item_id % 3 AS u FROM benchmark),
+    i AS (SELECT doc_id, '' AS asset, 'markdown_encoding_error' AS code FROM d WHERE broken UNION ALL SELECT doc_id, '', 'page_count_mismatch' FROM d WHERE pages <> mp UNION ALL SELECT doc_id, '', 'pages_without_mapped_elements' FROM d WHERE n = 0 OR mp > pages
+      UNION ALL SELECT doc_id, '', 'insufficient_bbox_coverage' FROM d WHERE n = 0 OR boxed / n < 0.98 UNION ALL SELECT doc_id, '', 'no_mapped_elements' FROM d WHERE n = 0
+      UNION ALL SELECT item_id, item_id::VARCHAR, CASE WHEN r = 0 THEN 'repeated_brand_logo' ELSE 'repeated_decorative_asset' END FROM a WHERE c = 0 AND f > 1 UNION ALL SELECT item_id, item_id::VARCHAR, 'unreferenced_extracted_assets' FROM a WHERE f > u)
+    SELECT 'quality-issue-' || substr(sha256(code || '|' || doc_id::VARCHAR || '|' || asset), 1, 24) AS issue_id, doc_id, code, severity, domain, fallback FROM i JOIN {_RULES_SQL} USING (code)"""
+)
+def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, i, d = elements(spark, sf_dir).where("doc_id % 17 <> 5"), F.col("item_id"), F.col("doc_id")
+    q = F.length("content") - F.length(F.replace("content", F.lit("q"), F.lit("")))
+    docs = own.groupBy("doc_id").agg(F.max("page").alias("pages"), (F.sum(q) % 5 == 1).cast("int").alias("broken")).withColumn("manifest_pages", F.col("pages") + (d % 9 == 4).cast("int"))
+    bare = table(spark, sf_dir, "documents").where("doc_id % 17 = 5").select("doc_id", F.lit(1).alias("pages"), F.lit(0).alias("broken"), F.lit(1).alias("manifest_pages"))
+    assets = table(spark, sf_dir, "benchmark").select(
+        i.alias("doc_id"), i.alias("asset_id"), F.when(i % 3 == 0, "DECORATIVE").otherwise("INFORMATIVE").alias("classification"), F.when(i % 2 == 0, "BRAND_LOGO").otherwise("FIGURE").alias("role"), (i % 4).alias("files"), (i % 3).alias("referenced")
+    )
+    return E.document_issues(docs.unionByName(bare), own.withColumn("boxed", F.col("pos") % 40 != 3), assets).drop("page")
+
+
+@query(
+    f"""WITH {_ISSUES} SELECT doc_id, count(issue_id) AS issues, count(*) FILTER (WHERE severity = 'ERROR') AS errors, count(*) FILTER (WHERE severity = 'WARNING') AS warnings, count(*) FILTER (WHERE fallback) AS fallbacks, CASE WHEN count(*) FILTER (WHERE fallback) > 0 THEN 'FALLBACK_REQUIRED' ELSE 'PASS' END AS disposition FROM documents LEFT JOIN issues USING (doc_id) GROUP BY doc_id"""
 )
 def quality_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.report(table(spark, sf_dir, "documents"), E.page_issues(elements(spark, sf_dir)))
+    return E.report(table(spark, sf_dir, "documents"), _issues(spark, sf_dir))
+
+
+_STEPS = " UNION ALL ".join(f"SELECT '{k}' AS kind, {n} AS step, '{s}' AS action, {a} AS attempts, {f"'{e}'" if e else 'NULL'} AS engine, '{c}' AS condition" for k, plan in E.PLANS.items() for n, (s, a, e, c) in enumerate(plan, 1))
+_ROUTES = f"""{_ISSUES}, scoped AS (SELECT DISTINCT s.doc_id, 'page-' || lpad(s.page::VARCHAR, 5, '0') AS scope_id, s.page, sha256(text) AS sha FROM scopes s JOIN documents USING (doc_id)),
+by_kind AS (SELECT doc_id, 'page-' || lpad(page::VARCHAR, 5, '0') AS scope_id, 'TEXT_TABLE' AS kind, array_to_string(list_sort(list(DISTINCT code)), ',') AS reasons FROM issues GROUP BY doc_id, page),
+visual AS (SELECT doc_id, 'page-' || lpad(page::VARCHAR, 5, '0') AS scope_id, CASE WHEN pos % 2 = 0 THEN 'VISUAL_NARRATIVE' ELSE 'VISUAL_QWEN' END AS kind, CASE WHEN pos % 2 = 0 THEN 'visual_narrative_coverage_sufficient' ELSE 'visual_narrative_coverage_insufficient' END AS reasons FROM elements WHERE type = 'IMAGE'),
+asked AS (SELECT * FROM by_kind UNION ALL SELECT * FROM visual), every AS (SELECT * FROM asked UNION ALL SELECT doc_id, scope_id, 'PASS', '' FROM scoped ANTI JOIN asked USING (doc_id, scope_id)),
+routes AS (SELECT 'fallback-route-' || substr(sha256(sha || '|' || scope_id || '|' || kind || '|' || reasons), 1, 24) AS route_id, doc_id, scope_id, page, kind, reasons, kind NOT IN ('PASS', 'VISUAL_NARRATIVE') AS fallback, kind IN ('GRAPH_TOPOLOGY', 'VISUAL_QWEN') AS external, row_number() OVER (PARTITION BY doc_id ORDER BY page NULLS LAST, scope_id, kind, reasons) AS ordinal FROM every JOIN scoped USING (doc_id, scope_id)),
+steps AS (SELECT * FROM routes JOIN ({_STEPS}) USING (kind))"""
 
 
-_STEPS = " UNION ALL ".join(f"SELECT '{k}' AS kind, {n} AS step, '{s}' AS action, {a} AS attempts" for k, plan in E.PLANS.items() for n, (s, a) in enumerate(plan, 1))
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other visual counts as told by its text."""
+    own, scope = elements(spark, sf_dir), F.format_string("page-%05d", "page")
+    last = own.groupBy("doc_id").agg(F.max("page").alias("last")).withColumn("last", F.col("last") + (F.col("doc_id") % 10 == 0).cast("int"))
+    scopes = last.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("page")).join(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("source_sha256")), "doc_id")
+    visuals = own.where("type = 'IMAGE'").select("doc_id", scope.alias("scope_id"), (F.col("pos") % 2 == 0).alias("sufficient"))
+    return E.route_steps(E.scope_routes(_issues(spark, sf_dir).withColumn("scope_id", scope), visuals, scopes.withColumn("scope_id", scope)))
 
 
-@query(f"WITH {_ISSUES}, steps AS ({_STEPS}), asked AS (SELECT DISTINCT doc_id, page, 'TEXT_TABLE' AS kind FROM issues) SELECT doc_id, page, kind, step, action, attempts FROM asked JOIN steps USING (kind) UNION ALL SELECT DISTINCT doc_id, page, 'PASS', 1, 'PASS', 1 FROM elements ANTI JOIN asked USING (doc_id, page)")
+@query(f"WITH {_ROUTES} SELECT route_id, doc_id, scope_id, page, kind, reasons, fallback, external, ordinal, step, action, attempts, engine, condition FROM steps")
 def fallback_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = elements(spark, sf_dir)
-    return E.route_plan(E.page_issues(own), own)
+    return _routes(spark, sf_dir).select("route_id", "doc_id", "scope_id", "page", "kind", "reasons", "fallback", "external", "ordinal", "step", "action", "attempts", "engine", "condition")
 
 
-@query(f"WITH {_ISSUES} SELECT action, count(*) AS steps, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, page, action FROM (SELECT DISTINCT doc_id, page, 'TEXT_TABLE' AS kind FROM issues) JOIN ({_STEPS}) USING (kind)) GROUP BY action")
+@query(f"WITH {_ROUTES} SELECT action, count(*) AS steps, count(DISTINCT doc_id) AS documents FROM steps GROUP BY action")
 def route_step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = elements(spark, sf_dir)
-    plan = E.route_plan(E.page_issues(own), own).where("kind <> 'PASS'")
-    return plan.groupBy("action").agg(F.count("*").alias("steps"), F.count_distinct("doc_id").alias("documents"))
+    return _routes(spark, sf_dir).groupBy("action").agg(F.count("*").alias("steps"), F.count_distinct("doc_id").alias("documents"))
 
 
 @query(
-    f"""WITH {ELEMENTS_SQL}, i AS (SELECT 'i' || doc_id::VARCHAR || '-' || pos::VARCHAR AS issue_id, doc_id, CASE WHEN pos % 3 = 0 THEN [page] ELSE []::INT[] END AS pages, CASE WHEN pos % 3 = 1 THEN [pos] ELSE []::INT[] END AS els FROM elements WHERE pos < 12),
+    f"""WITH {_ROUTES}, e AS (SELECT doc_id, arg_min(engine, (ordinal, step)) FILTER (WHERE engine IS NOT NULL AND engine <> CASE doc_id % 3 WHEN 0 THEN 'OPENDATALOADER_HYBRID' WHEN 1 THEN 'QWEN3_VL' ELSE 'OPENDATALOADER_LOCAL' END) AS engine FROM steps WHERE fallback GROUP BY doc_id) SELECT doc_id, coalesce(engine, 'MANUAL') AS engine FROM e"""
+)
+def fallback_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    chains = table(spark, sf_dir, "documents").select("doc_id", F.when(d % 3 == 0, "OPENDATALOADER_HYBRID").when(d % 3 == 1, "QWEN3_VL").otherwise("OPENDATALOADER_LOCAL").alias("last_engine"))
+    return E.fallback_engine(_routes(spark, sf_dir), chains)
+
+
+@query(
+    f"""WITH {ELEMENTS_SQL}, i AS (SELECT 'i' || doc_id::VARCHAR || '-' || pos::VARCHAR AS issue_id, doc_id, CASE WHEN pos % 3 = 0 THEN [page] ELSE []::INT[] END AS pages, CASE WHEN pos % 3 = 1 THEN [pos] ELSE []::INT[] END AS els FROM elements),
     s AS (SELECT 's' || lpad(page::VARCHAR, 4, '0') AS scope_id, doc_id, [page] AS pages, list_sort(list(pos)) AS els FROM elements GROUP BY doc_id, page)
     SELECT issue_id, min(scope_id) AS scope_id FROM i LEFT JOIN s ON i.doc_id = s.doc_id AND (list_has_any(i.pages, s.pages) OR list_has_any(i.els, s.els) OR (len(i.pages) = 0 AND len(i.els) = 0)) GROUP BY issue_id"""
 )
 def issue_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = elements(spark, sf_dir)
     none = F.array().cast("array<int>")
-    i = own.where("pos < 12").select(F.concat(F.lit("i"), "doc_id", F.lit("-"), "pos").alias("issue_id"), "doc_id", F.when(F.col("pos") % 3 == 0, F.array("page")).otherwise(none).alias("pages"), F.when(F.col("pos") % 3 == 1, F.array("pos")).otherwise(none).alias("elements"))
+    i = own.select(F.concat(F.lit("i"), "doc_id", F.lit("-"), "pos").alias("issue_id"), "doc_id", F.when(F.col("pos") % 3 == 0, F.array("page")).otherwise(none).alias("pages"), F.when(F.col("pos") % 3 == 1, F.array("pos")).otherwise(none).alias("elements"))
     s = own.groupBy("doc_id", "page").agg(F.collect_list("pos").alias("elements")).select(F.format_string("s%04d", "page").alias("scope_id"), "doc_id", F.array("page").alias("pages"), "elements")
     return E.issue_scopes(i, s)
 
@@ -203,13 +262,24 @@ def first_seen_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.keep_first(own, ["doc_id", "folded"], ["pos"])
 
 
+_WORDS_SQL = " + ".join(f"contains(lower(t), '{w}')::INT" for w in E.PROCESS_WORDS)
+
+
 @query(
-    f"""WITH {ELEMENTS_SQL}, v AS (SELECT doc_id, page, pos AS vpos FROM elements WHERE type = 'IMAGE'), n AS (SELECT v.doc_id, vpos, coalesce(string_agg({_compact("e.content")}, ' ' ORDER BY e.pos), '') AS t FROM v LEFT JOIN elements e ON e.doc_id = v.doc_id AND e.page = v.page AND e.type IN ('PARAGRAPH', 'LIST', 'HEADING') AND abs(e.pos - vpos) <= 4 GROUP BY v.doc_id, vpos),
-    c AS (SELECT doc_id, vpos AS pos, length(t)::INT AS characters, len(list_distinct(regexp_extract_all(lower(t), '(the|and|than|that|one)', 1)))::INT AS keywords FROM n), s AS (SELECT *, round(0.6 * least(characters / 60, 1.0) + 0.4 * least(keywords / 3, 1.0), 6)::DOUBLE AS coverage FROM c)
-    SELECT *, characters >= 60 AND coverage >= 0.65 AS sufficient FROM s"""
+    f"""WITH {ELEMENTS_SQL}, e AS (SELECT doc_id, pos, CASE WHEN type = 'IMAGE' AND doc_id % 4 = 0 THEN NULL ELSE page END AS page, pos // 12 AS section, CASE WHEN pos % 10 = 6 THEN 'CAPTION' ELSE type END AS type, CASE WHEN pos % 4 = 1 THEN content || ' Quy trình: bước một, nếu ĐẠT' ELSE content END AS content, CASE WHEN pos % 22 = 8 THEN ' Sufficient' WHEN pos % 33 = 19 THEN 'thiếu' ELSE '' END AS told FROM elements),
+    v AS (SELECT doc_id, page, section, pos AS vpos, lower(trim(told)) AS told FROM e WHERE type = 'IMAGE'), n AS (SELECT v.doc_id, vpos, any_value(v.told) AS told, coalesce(string_agg(regexp_replace(e.content, '^\\s+|\\s+$', '', 'g'), chr(10) ORDER BY e.pos) FILTER (WHERE regexp_replace(e.content, '^\\s+|\\s+$', '', 'g') <> ''), '') AS t
+      FROM v LEFT JOIN e ON e.doc_id = v.doc_id AND (v.page = e.page OR (v.page IS NULL AND v.section = e.section)) AND e.type IN ('PARAGRAPH', 'CAPTION', 'LIST', 'HEADING') AND abs(e.pos - vpos) <= 4 GROUP BY v.doc_id, vpos),
+    c AS (SELECT doc_id, vpos AS pos, told IN ('sufficient', 'thiếu') AS o, told, length(t)::INT AS n, ({_WORDS_SQL})::INT AS k FROM n), s AS (SELECT *, 0.6::DOUBLE * least(n / 60, 1.0::DOUBLE) + 0.4::DOUBLE * least(k / 3, 1.0::DOUBLE) AS s FROM c)
+    SELECT doc_id, pos, CASE WHEN o THEN 0 ELSE n END AS characters, CASE WHEN o THEN 0 ELSE k END AS keywords, CASE WHEN o THEN (told = 'sufficient')::INT::DOUBLE ELSE round(s, 6) END AS coverage, CASE WHEN o THEN told = 'sufficient' ELSE n >= 60 AND s >= 0.65 END AS sufficient, o AS overridden FROM s"""
 )
 def narrative_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.narrative(elements(spark, sf_dir))
+    """Visuals of every fourth document have no page, some texts tell of a process, some visuals are marked."""
+    p, content = F.col("pos"), F.col("content")
+    own = elements(spark, sf_dir).select(
+        "doc_id", "pos", F.when(~((F.col("type") == "IMAGE") & (F.col("doc_id") % 4 == 0)), F.col("page")).alias("page"), F.floor(p / 12).alias("section"), F.when(p % 10 == 6, "CAPTION").otherwise(F.col("type")).alias("type"),
+        F.when(p % 4 == 1, F.concat(content, F.lit(" Quy trình: bước một, nếu ĐẠT"))).otherwise(content).alias("content"), F.when(p % 22 == 8, " Sufficient").when(p % 33 == 19, "thiếu").otherwise("").alias("told"),
+    )
+    return E.narrative(own)
 
 
 _TOKEN_SQL = r"[\p{L}\p{N}_]+(?:[''’][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s]"
@@ -244,14 +314,14 @@ def chunk_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {ELEMENTS_SQL}, n AS (SELECT doc_id, pos, type IN ('TABLE', 'LIST', 'FLOWCHART') AS alone, type IN ('HEADING', 'TITLE') AS head, len(regexp_extract_all(content, '{_TOKEN_SQL}'))::INT AS tokens FROM elements WHERE pos < 60),
+    f"""WITH RECURSIVE {ELEMENTS_SQL}, n AS (SELECT doc_id, pos, type IN ('TABLE', 'LIST', 'FLOWCHART') AS alone, type IN ('HEADING', 'TITLE') AS head, len(regexp_extract_all(content, '{_TOKEN_SQL}'))::INT AS tokens FROM elements),
     r AS (SELECT doc_id, pos, 1 AS chunk, tokens AS size, alone OR tokens > 60 AS closed FROM n WHERE pos = 0
       UNION ALL SELECT n.doc_id, n.pos, r.chunk + (closed OR alone OR head OR size + tokens > 60)::INT, CASE WHEN closed OR alone OR head OR size + tokens > 60 THEN tokens ELSE size + tokens END, alone OR tokens > 60 FROM r JOIN n ON n.doc_id = r.doc_id AND n.pos = r.pos + 1)
     SELECT doc_id, pos, chunk FROM r"""
 )
 def semantic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ordered grouping alone, at a small target, without paths."""
-    own = elements(spark, sf_dir).where("pos < 60").select("doc_id", "pos", F.lit(0).alias("part"), "type", F.array().cast("array<string>").alias("path"), text.token_count(F.col("content")).alias("tokens"))
+    own = elements(spark, sf_dir).select("doc_id", "pos", F.lit(0).alias("part"), "type", F.array().cast("array<string>").alias("path"), text.token_count(F.col("content")).alias("tokens"))
     return chunking.group(own, 60).select("doc_id", "pos", "chunk")
 
 

@@ -70,7 +70,9 @@ def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve(arriving(spark, sf_dir), known_versions(spark, sf_dir))
+    """All rules: content, code, name, similar name, new family."""
+    entries, known = arriving(spark, sf_dir), known_versions(spark, sf_dir)
+    return resolve.resolve(entries, known, resolve.name_scores(entries, known))
 
 
 _KNOWN = f"""{NAMED_SQL}, known0 AS (SELECT *, (row_number() OVER (PARTITION BY family_id ORDER BY doc_id))::INT AS version_number, count(*) OVER (PARTITION BY family_id) AS n FROM (SELECT * REPLACE (CASE WHEN doc_id % 16 = 0 THEN family_id || '-alt' ELSE family_id END AS family_id) FROM named WHERE doc_id % 4 = 0)),
@@ -82,12 +84,35 @@ def _rule_sql(key: str, entry: str, name: str) -> str:
     return f"{name} AS (SELECT a.catalog_id, list_sort(list(DISTINCT k.family_id)) AS fams, min(k.version_id) AS ver FROM arriving a JOIN known k ON {entry} = k.{key} GROUP BY a.catalog_id)"
 
 
+def _lcs(p: str, q: str) -> str:
+    """Longest common subsequence of two names of up to 62 characters, by bit-parallel rows."""
+    full = f"((1::BIGINT << length({p})) - 1)"
+    mask = f"coalesce(list_sum(list_transform(range(0, length({p})), lambda i: CASE WHEN substring({p}, i + 1, 1) = c THEN 1::BIGINT << i ELSE 0 END)), 0)::BIGINT"
+    rows = f"list_prepend({full}, list_transform(string_split({q}, ''), lambda c: {mask}))"
+    return f"bit_count(xor({full}, list_reduce({rows}, lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})))"
+
+
+def _scores_sql(names: str) -> str:
+    """scored: name, family_id, score from 87 on, over a table's names and the known ones."""
+    words = "list_sort(list_distinct(list_filter(string_split(normalized_name, ' '), lambda x: x <> '')))"
+    part = lambda x: f"200.0::DOUBLE * length(c) / (length(c) + length({x}))"
+    return f"""wn AS (SELECT DISTINCT normalized_name AS a, {words} AS x FROM {names} WHERE normalized_name <> ''), wk AS (SELECT DISTINCT normalized_name AS b, {words} AS y FROM known WHERE normalized_name <> ''),
+both0 AS (SELECT a, b, list_sort(list_intersect(x, y)) AS c, list_filter(x, lambda w: NOT list_contains(y, w)) AS ox, list_filter(y, lambda w: NOT list_contains(x, w)) AS oy FROM wn, wk),
+both1 AS (SELECT a, b, len(c) > 0 AND (len(ox) = 0 OR len(oy) = 0) AS inside, array_to_string(c, ' ') AS c, array_to_string(list_concat(c, ox), ' ') AS p, array_to_string(list_concat(c, oy), ' ') AS q FROM both0),
+both2 AS (SELECT a, b, CASE WHEN inside THEN 100.0 WHEN 200.0 * least(length(p), length(q)) / (length(p) + length(q)) < 87 THEN greatest({part("p")}, {part("q")}) ELSE greatest({part("p")}, {part("q")}, 200.0::DOUBLE * {_lcs("p", "q")} / (length(p) + length(q))) END AS score FROM both1),
+scored AS (SELECT a AS normalized_name, family_id, max(score) AS score FROM both2 JOIN (SELECT DISTINCT normalized_name AS b, family_id FROM known) USING (b) WHERE score >= 87 GROUP BY ALL),
+tops AS (SELECT normalized_name, max(score) AS best FROM scored GROUP BY normalized_name HAVING max(score) >= 90),
+fuzzy AS (SELECT normalized_name, best, list_sort(list(DISTINCT family_id)) AS fams FROM scored JOIN tops USING (normalized_name) WHERE score >= greatest(90.0, best - 3) GROUP BY normalized_name, best)"""
+
+
 _DECIDED = f"""{_KNOWN}, {_rule_sql("sha256", "a.sha256", "r1")}, {_rule_sql("document_code", "a.document_code", "r2")}, {_rule_sql("normalized_name", "a.normalized_name", "r3")},
-judged AS (SELECT a.*, coalesce(r1.fams, r2.fams, r3.fams) AS fams, CASE WHEN r1.fams IS NOT NULL THEN 1 WHEN r2.fams IS NOT NULL THEN 2 WHEN r3.fams IS NOT NULL THEN 3 ELSE 5 END AS rule, r1.ver FROM arriving a LEFT JOIN r1 USING (catalog_id) LEFT JOIN r2 USING (catalog_id) LEFT JOIN r3 USING (catalog_id)),
-decided0 AS (SELECT doc_id, sha256, catalog_id, CASE WHEN rule = 5 THEN 'UNRELATED' WHEN len(fams) > 1 THEN 'CONFLICT' WHEN rule = 1 THEN 'SAME_VERSION' ELSE 'NEW_VERSION' END AS outcome,
-  CASE WHEN rule = 5 THEN family_id WHEN len(fams) = 1 THEN fams[1] END AS family_id, CASE WHEN rule = 1 AND len(fams) = 1 THEN ver END AS matched_version_id, CASE WHEN rule < 5 AND len(fams) > 1 THEN array_to_string(fams, ',') ELSE '' END AS candidates,
-  CASE rule WHEN 1 THEN 1.0 WHEN 2 THEN 0.98 WHEN 3 THEN 0.93 ELSE CASE WHEN document_code IS NULL THEN 0.8 ELSE 1.0 END END::DOUBLE AS confidence,
-  CASE rule WHEN 1 THEN 'exact_sha256_match' WHEN 2 THEN 'document_code_match' WHEN 3 THEN 'normalized_name_match' ELSE 'no_known_family_match' END || CASE WHEN rule < 5 AND len(fams) > 1 THEN '_conflict' ELSE '' END AS reason_code FROM judged),
+judged0 AS (SELECT a.*, coalesce(r1.fams, r2.fams, r3.fams) AS fams, CASE WHEN r1.fams IS NOT NULL THEN 1 WHEN r2.fams IS NOT NULL THEN 2 WHEN r3.fams IS NOT NULL THEN 3 ELSE 5 END AS rule, r1.ver FROM arriving a LEFT JOIN r1 USING (catalog_id) LEFT JOIN r2 USING (catalog_id) LEFT JOIN r3 USING (catalog_id)),
+unnamed AS (SELECT normalized_name FROM judged0 WHERE rule = 5), {_scores_sql('unnamed')},
+judged AS (SELECT j.* REPLACE (CASE WHEN rule = 5 AND f.fams IS NOT NULL THEN 4 ELSE rule END AS rule, CASE WHEN rule = 5 THEN f.fams ELSE j.fams END AS fams), best FROM judged0 j LEFT JOIN fuzzy f ON f.normalized_name = j.normalized_name),
+decided0 AS (SELECT doc_id, sha256, catalog_id, CASE WHEN rule = 5 THEN 'UNRELATED' WHEN rule = 4 OR len(fams) > 1 THEN 'CONFLICT' WHEN rule = 1 THEN 'SAME_VERSION' ELSE 'NEW_VERSION' END AS outcome,
+  CASE WHEN rule = 5 THEN family_id WHEN rule < 4 AND len(fams) = 1 THEN fams[1] END AS family_id, CASE WHEN rule = 1 AND len(fams) = 1 THEN ver END AS matched_version_id, CASE WHEN rule = 4 OR (rule < 4 AND len(fams) > 1) THEN array_to_string(fams, ',') ELSE '' END AS candidates,
+  CASE rule WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.98::DOUBLE WHEN 3 THEN 0.93::DOUBLE WHEN 4 THEN best / 100 ELSE CASE WHEN document_code IS NULL THEN 0.8 ELSE 1.0 END END::DOUBLE AS confidence,
+  CASE rule WHEN 1 THEN 'exact_sha256_match' WHEN 2 THEN 'document_code_match' WHEN 3 THEN 'normalized_name_match' WHEN 4 THEN 'fuzzy_name_match_requires_review' ELSE 'no_known_family_match' END || CASE WHEN rule < 4 AND len(fams) > 1 THEN '_conflict' ELSE '' END AS reason_code FROM judged),
 decided AS (SELECT *, 'res-' || {uuid5_sql("catalog_id || '|' || outcome || '|' || reason_code || '|' || coalesce(family_id, '') || '|' || candidates")} AS decision_id FROM decided0)"""
 
 
@@ -107,9 +132,9 @@ def resolution_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.quarantine(decided(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_KNOWN}, {_scores_sql('arriving')} SELECT DISTINCT catalog_id, round(best, 4) AS best, array_to_string(fams, ',') AS families FROM arriving JOIN fuzzy USING (normalized_name)")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families of similar names for review; the scorer is procedural, so tests compare it with all pairs."""
+    """Families of similar names for review."""
     return resolve.fuzzy_candidates(resolve.name_scores(arriving(spark, sf_dir), known_versions(spark, sf_dir))).select("catalog_id", F.round("best", 4).alias("best"), F.array_join("fuzzy", ",").alias("families"))
 
 
@@ -146,7 +171,7 @@ lasts AS (SELECT family_id, max(version_number) AS last, max(CASE WHEN publicati
 numbered AS (SELECT f.*, row_number() OVER (PARTITION BY f.family_id ORDER BY fp) AS nth FROM firsts f ANTI JOIN held h ON f.family_id = h.family_id AND f.sha256 = h.sha256),
 assigned0 AS (SELECT t.*, (CASE WHEN held.h IS NOT NULL THEN held.h[1] ELSE coalesce(last, 0) + nth END)::INT AS version_number, held.h, fp, nth, last, active FROM todo t LEFT JOIN held USING (family_id, sha256) LEFT JOIN numbered USING (family_id, sha256) LEFT JOIN lasts USING (family_id)),
 assigned1 AS (SELECT *, 'v' || lpad(version_number::VARCHAR, 3, '0') AS version_label, CASE WHEN h IS NOT NULL THEN h[2] ELSE family_id || '-v' || lpad(version_number::VARCHAR, 3, '0') || '-' || substr(sha256, 1, 12) END AS version_id,
-  CASE WHEN h IS NULL AND doc_id = fp AND last IS NULL AND nth = 1 THEN 'CREATE_FAMILY_VERSION' WHEN h IS NULL AND doc_id = fp THEN 'CREATE_VERSION' ELSE 'REUSE_VERSION' END AS action FROM assigned0),
+  CASE WHEN h IS NULL AND doc_id = fp AND last IS NULL AND nth = 1 THEN 'CREATE_FAMILY_AND_VERSION' WHEN h IS NULL AND doc_id = fp THEN 'CREATE_VERSION' ELSE 'REUSE_VERSION' END AS action FROM assigned0),
 assigned AS (SELECT 'va-' || {uuid5_sql("decision_id || '|' || version_id || '|' || action")} AS assignment_id, catalog_id, decision_id, family_id, version_id, version_number, version_label, sha256, action, CASE WHEN action <> 'REUSE_VERSION' THEN active END AS supersedes_version_id FROM assigned1)"""
 
 
@@ -189,9 +214,9 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ROUTED = f"""{_ASSIGNED}, kinds AS (SELECT catalog_id, {_FORMAT} AS file_format, text FROM (SELECT 'cat-' || {_ENTRY} AS catalog_id, source_name, text FROM files)),
-routed0 AS (SELECT a.*, file_format, CASE file_format WHEN 'PDF' THEN 'PDF_LOCAL' WHEN 'DOCX' THEN 'DOCX_NATIVE' WHEN 'DOC' THEN 'DOC_CONVERT' WHEN 'IMAGE' THEN 'IMAGE_OCR' ELSE 'UNSUPPORTED' END AS route_type FROM assigned a JOIN kinds USING (catalog_id)),
-routed AS (SELECT 'route-' || {uuid5_sql("catalog_id || '|' || version_id || '|' || route_type")} AS route_id, catalog_id, version_id, file_format, route_type, CASE route_type WHEN 'PDF_LOCAL' THEN 'OPENDATALOADER_LOCAL' WHEN 'DOCX_NATIVE' THEN 'DOCX_NATIVE' WHEN 'DOC_CONVERT' THEN 'LIBREOFFICE' WHEN 'IMAGE_OCR' THEN 'MINERU' END AS primary_engine,
-  CASE route_type WHEN 'PDF_LOCAL' THEN 'OPENDATALOADER_HYBRID,MINERU' ELSE '' END AS fallback_engines, CASE WHEN action = 'REUSE_VERSION' THEN 'reused' WHEN route_type = 'UNSUPPORTED' THEN 'unsupported' ELSE 'extract' END AS destination FROM routed0)"""
+routed0 AS (SELECT a.*, file_format, CASE file_format WHEN 'PDF' THEN 'PDF_OPENDATALOADER' WHEN 'DOCX' THEN 'DOCX_NATIVE' WHEN 'DOC' THEN 'DOC_CONVERT' WHEN 'IMAGE' THEN 'IMAGE_VISUAL' ELSE 'UNSUPPORTED' END AS route_type FROM assigned a JOIN kinds USING (catalog_id)),
+routed AS (SELECT 'route-' || {uuid5_sql("catalog_id || '|' || version_id || '|' || route_type")} AS route_id, catalog_id, version_id, file_format, route_type, CASE route_type WHEN 'PDF_OPENDATALOADER' THEN 'OPENDATALOADER_LOCAL' WHEN 'DOCX_NATIVE' THEN 'DOCX_NATIVE' WHEN 'DOC_CONVERT' THEN 'LIBREOFFICE' WHEN 'IMAGE_VISUAL' THEN 'QWEN3_VL' ELSE 'MANUAL' END AS primary_engine,
+  CASE route_type WHEN 'PDF_OPENDATALOADER' THEN 'OPENDATALOADER_HYBRID,MINERU' WHEN 'DOC_CONVERT' THEN 'MANUAL' WHEN 'IMAGE_VISUAL' THEN 'MANUAL' ELSE '' END AS fallback_engines, CASE WHEN action = 'REUSE_VERSION' THEN 'reused' WHEN route_type = 'UNSUPPORTED' THEN 'unsupported' ELSE 'extract' END AS destination FROM routed0)"""
 
 
 @query(f"WITH {_ROUTED} SELECT *, CASE WHEN destination = 'unsupported' THEN 'qr-' || {uuid5_sql("'routing-quarantine:' || route_id")} END AS quarantine_id FROM routed")
