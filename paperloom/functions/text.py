@@ -133,36 +133,38 @@ def page_locator(pages: Column) -> Column:
     return F.when(F.size(pages) == 1, F.concat(F.lit("p. "), F.array_join(pages, ""))).otherwise(F.concat(F.lit("pp. "), F.array_join(pages, ", ")))
 
 
-def alphabetic(n: Column, digits: int = 4) -> Column:
-    """Bijective base 26 (a, ..., z, aa, ...) of numbers from 1 of up to ``digits`` letters."""
-    out, rest = F.lit(""), n
-    for _ in range(digits):
-        out = F.when(rest > 0, F.concat(F.chr(F.lit(97) + F.pmod(rest - 1, F.lit(26)).cast("int")), out)).otherwise(out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(rest)
-    return out
+def alphabetic(n: Column) -> Column:
+    """Bijective base 26 (a, ..., z, aa, ...) of whole numbers of any size; a for what is under 1."""
+    start = F.struct(n.cast("long").alias("rest"), F.lit("").alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        digit = F.chr(F.lit(97) + F.pmod(s["rest"] - 1, F.lit(26)))
+        more = s["rest"] > 0
+        return F.struct(F.when(more, F.floor((s["rest"] - 1) / 26)).otherwise(s["rest"]).cast("long").alias("rest"), F.when(more, F.concat(digit, s["out"])).otherwise(s["out"]).alias("out"))
+
+    letters = F.greatest(F.lit(1), F.ceil(F.log(F.lit(26.0), F.greatest(n, F.lit(1)) + 1)).cast("int") + 1)
+    out = F.aggregate(F.sequence(F.lit(1), letters), start, step, lambda s: s["out"])
+    return F.when(n < 1, "a").otherwise(out)
 
 
 def roman(n: Column) -> Column:
-    """Lower-case Roman numeral of 1 to 3999."""
-    tens = (("m", None, None), ("c", "d", "m"), ("x", "l", "c"), ("i", "v", "x"))
-    out = []
-    for k, (one, five, ten) in enumerate(tens):
-        d = F.pmod(F.floor(n / 10 ** (3 - k)), F.lit(10)).cast("int")
-        if five is None:
-            out.append(F.repeat(F.lit(one), d))
-        else:
-            out.append(F.when(d == 9, one + ten).when(d == 4, one + five).when(d >= 5, F.concat(F.lit(five), F.repeat(F.lit(one), d - 5))).otherwise(F.repeat(F.lit(one), d)))
-    return F.concat(*out)
+    """Lower-case Roman numeral, with as many m as there are thousands; i for what is under 1."""
+    out = [F.repeat(F.lit("m"), F.floor(n / 1000).cast("int"))]
+    for k, (one, five, ten) in enumerate((("c", "d", "m"), ("x", "l", "c"), ("i", "v", "x"))):
+        d = F.pmod(F.floor(n / 10 ** (2 - k)), F.lit(10)).cast("int")
+        out.append(F.when(d == 9, one + ten).when(d == 4, one + five).when(d >= 5, F.concat(F.lit(five), F.repeat(F.lit(one), d - 5))).otherwise(F.repeat(F.lit(one), d)))
+    return F.when(n < 1, "i").otherwise(F.concat(*out))
 
 
 def list_marker(style: Column, n: Column) -> Column:
-    """Marker of the n-th item under a numbering style; a dash for unknown ones."""
-    s = F.lower(F.coalesce(style, F.lit("")))
+    """Marker of the n-th item under a numbering style: a dash where it is unordered or not told, letters, Roman numbers (always small), else the number."""
+    s = F.lower(compact(F.coalesce(style, F.lit(""))))
+    letters = F.when(s.contains("upper case"), F.upper(alphabetic(n))).otherwise(alphabetic(n))
     return (
-        F.when(s.contains("roman"), F.concat(F.when(s.contains("upper"), F.upper(roman(n))).otherwise(roman(n)), F.lit(".")))
-        .when(s.contains("letter") | s.contains("alpha"), F.concat(F.when(s.contains("upper"), F.upper(alphabetic(n))).otherwise(alphabetic(n)), F.lit(".")))
-        .when(s.contains("decimal") | s.contains("arabic") | s.contains("number"), F.concat(n.cast("string"), F.lit(".")))
-        .otherwise("-")
+        F.when((s == "") | s.contains("unordered"), "-")
+        .when(s.contains("english letters"), F.concat(letters, F.lit(".")))
+        .when(s.contains("roman"), F.concat(roman(n), F.lit(".")))
+        .otherwise(F.concat(n.cast("string"), F.lit(".")))
     )
 
 

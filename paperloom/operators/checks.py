@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from paperloom.functions import ids
+from paperloom.functions import ids, text
 
 
 def violations(frame: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -39,18 +39,30 @@ def lineage(commits: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def free_names(files: DataFrame) -> DataFrame:
-    """One copy of each content under a name of its own: the first file of a content in order of path; the n-th file of a name gets -n before its suffix."""
+    """One copy of each content under a name of its own, in order of path: the first file of a content; a taken name gets -1, -2, ... before its suffix, as long as that is taken too.
+
+    Only names that are equal but for such endings can meet, so they are gone through together, in order."""
     first = files.withColumn("nth", F.row_number().over(W.partitionBy("sha256").orderBy("path"))).where("nth = 1").drop("nth")
-    again = F.row_number().over(W.partitionBy("name").orderBy("path")) - 1
-    named = first.withColumn("k", again)
-    return named.select("path", "sha256", F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat(F.regexp_replace("name", r"\.[^.]*$", ""), F.lit("-"), "k", F.regexp_extract("name", r"(\.[^.]*)$", 1))).alias("copy_name"))
+    stem, suffix = F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 2)
+    own = first.withColumns({"stem": stem, "suffix": suffix}).withColumn("root", F.regexp_replace("stem", r"(-\d+)+$", ""))
+    groups = own.groupBy("root", "suffix").agg(F.array_sort(F.collect_list(F.struct("path", "sha256", "name", "stem"))).alias("files"))
+
+    def named(taken: Column, f: Column) -> Column:
+        n = F.size(taken)
+        others = F.transform(F.sequence(F.lit(1), n + 1), lambda k: F.concat(f["stem"], F.lit("-"), k, F.col("suffix")))
+        free = F.filter(F.concat(F.array(f["name"]), others), lambda x: ~F.array_contains(taken, x))
+        return F.array_append(taken, F.get(free, F.lit(0)))
+
+    names = F.aggregate("files", F.array().cast("array<string>"), named)
+    out = groups.select(F.explode(F.arrays_zip("files", names.alias("copy_name"))).alias("x"))
+    return out.select("x.files.path", "x.files.sha256", "x.copy_name")
 
 
-def heading_lines(lines: DataFrame, times: float = 1.25) -> DataFrame:
-    """Lines whose size is at least ``times`` the median size of their document's lines, or bold and short."""
-    per = lines.groupBy("doc_id").agg(F.median("size").alias("median"))
-    j = lines.join(per, "doc_id")
-    return j.where((F.col("size") >= times * F.col("median")) | (F.col("bold") & (F.length("content") <= 80))).select("doc_id", "pos", "size", "median")
+def heading_lines(lines: DataFrame, above: float = 1.8, longest: int = 140) -> DataFrame:
+    """Lines of up to ``longest`` characters whose size is at least ``above`` over the median size of their document's lines (11 where none has a size), or which are bold."""
+    per = lines.groupBy("doc_id").agg(F.median(F.when(F.col("size") > 0, F.col("size"))).alias("median"))
+    j = lines.join(per, "doc_id").withColumn("median", F.coalesce("median", F.lit(11.0)))
+    return j.where((F.length("content") <= longest) & ((F.col("size") >= F.col("median") + above) | F.col("bold"))).select("doc_id", "pos", "size", "median")
 
 
 def grid_metrics(cells: DataFrame) -> DataFrame:
@@ -96,6 +108,43 @@ def forbidden(documents: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return documents.select("doc_id", F.explode(hits).alias("code"))
 
 
+#: The marks of one kind of document, all of the first and five of the second, and lines that hold each.
+HARD_MARKS = (
+    r"(?miU)^\s*#{0,6}\s*QUY TRÌNH QUẢN LÝ VẬT TƯ\s*$",
+    r"(?iU)\(QT\.TCKT\.01\)",
+    r"(?iU)BM\.QT\.TCKT\.01",
+    r"(?iU)BM\.QT\.TCKT\.05",
+    r"(?iU)\bV\.\s*LƯU ĐỒ\b",
+    r"(?iU)\bVI\.\s*DIỄN GIẢI LƯU ĐỒ\b",
+)
+SOFT_MARKS = (
+    r"(?iU)CÔNG TY CỔ PHẦN NHIÊN LIỆU BAY PETROLIMEX",
+    r"(?miU)^\s*(?:[-+*]\s+)?Vật tư:",
+    r"(?miU)^\s*(?:[-+*]\s+)?Kho vật tư:",
+    r"(?iU)BM\.QT\.TCKT\.03",
+    r"(?iU)BM\.QT\.TCKT\.06",
+    r"(?iU)P\.KT-TH",
+)
+PROFILE_LINES = (
+    "## quy trình quản lý vật tư", "(qt.tckt.01)", "BM.QT.TCKT.01", "bm.qt.tckt.05", "V. Lưu đồ", "VI.  diễn giải lưu đồ",
+    "Công ty cổ phần nhiên liệu bay Petrolimex", "- VẬT TƯ: x", "Kho vật tư: y", "BM.QT.TCKT.03", "BM.QT.TCKT.06", "p.kt-th",
+)
+
+
+def re2(pattern: str) -> str:
+    """The same pattern for DuckDB, which folds case beyond ASCII by itself and has no Unicode word ends."""
+    return pattern.replace("U)", ")", 1).replace(r"\b", r"(?:^|[^\p{L}\p{N}_]|$)")
+
+
+def fingerprint(documents: DataFrame) -> DataFrame:
+    """doc_id, hard, soft (marks found in the composed text), score, matched: all hard marks and five soft ones."""
+    t = text.nfc(F.col("markdown"))
+    found = lambda marks: sum((F.col("t").rlike(p).cast("int") for p in marks), F.lit(0))
+    out = documents.select("doc_id", t.alias("t")).select("doc_id", found(HARD_MARKS).alias("hard"), found(SOFT_MARKS).alias("soft"))
+    total = len(HARD_MARKS) + len(SOFT_MARKS)
+    return out.withColumns({"score": F.round((F.col("hard") + F.col("soft")) / total, 4), "matched": (F.col("hard") == len(HARD_MARKS)) & (F.col("soft") >= 5)})
+
+
 def run_stamp(at: Column, *parts: Column) -> Column:
     """YYYYmmdd_HHMMSS_ffffff and 8 hex digits of the parts' SHA-256."""
     return F.concat(F.date_format(at, "yyyyMMdd_HHmmss_SSSSSS"), F.lit("_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8))

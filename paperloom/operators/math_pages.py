@@ -13,27 +13,27 @@ from pyspark.sql.types import StringType
 from paperloom.functions import text
 
 # The patterns of questions, options, terms, stray glyphs and solution headings.
-QUESTION = r"(?mi)^\s*(?:#{1,6}\s*)?(?:\*{0,2})?Câu\s+(\d+)\b"
-OPTION = r"(?mi)^\s*(?:[-*+]\s*)?(?:\*{0,2})?([A-D])[.)]\*{0,2}\s+"
-DOUBLE_OPTION = r"(?mi)^\s*(?:[-*+]\s*)?(?:\*{0,2})?[A-D][.)]\*{0,2}\s+(?:[◯○⃝]\s*)?(?:\*{0,2})?[A-D][.)]"
+QUESTION = r"(?miU)^\s*(?:#{1,6}\s*)?(?:\*{0,2})?Câu\s+(\d+)\b"
+OPTION = r"(?miU)^\s*(?:[-*+]\s*)?(?:\*{0,2})?([A-D])[.)]\*{0,2}\s+"
+DOUBLE_OPTION = r"(?miU)^\s*(?:[-*+]\s*)?(?:\*{0,2})?[A-D][.)]\*{0,2}\s+(?:[◯○⃝]\s*)?(?:\*{0,2})?[A-D][.)]"
 TERMS = (
-    r"(?iu)\bma trận\b",
-    r"(?iu)\bđịnh thức\b",
-    r"(?iu)\bdet\s*[A-Za-z]?\b",
-    r"(?iu)\bvector\b|\bvectơ\b",
-    r"(?iu)\bspan\s*\(",
-    r"(?iu)\bhệ phương trình\b",
-    r"(?iu)\bkhông gian vector\b|\bkhông gian vectơ\b",
-    r"(?iu)\b(?:F|v)\s*[_\[]?\d",
-    r"(?iu)\[[^\]\n]{1,8}\]_[A-Za-z0-9]",
-    r"(?iu)\\begin\{(?:bmatrix|pmatrix|vmatrix|matrix)\}",
-    r"(?iu)[αβγλμ]|\\(?:alpha|beta|gamma|lambda|mu)\b",
+    r"(?iU)\bma trận\b",
+    r"(?iU)\bđịnh thức\b",
+    r"(?iU)\bdet\s*[A-Za-z]?\b",
+    r"(?iU)\bvector\b|\bvectơ\b",
+    r"(?iU)\bspan\s*\(",
+    r"(?iU)\bhệ phương trình\b",
+    r"(?iU)\bkhông gian vector\b|\bkhông gian vectơ\b",
+    r"(?iU)\b(?:F|v)\s*[_\[]?\d",
+    r"(?iU)\[[^\]\n]{1,8}\]_[A-Za-z0-9]",
+    r"(?iU)\\begin\{(?:bmatrix|pmatrix|vmatrix|matrix)\}",
+    r"(?iU)[αβγλμ]|\\(?:alpha|beta|gamma|lambda|mu)\b",
 )
-STRAY = r"(?mi)^\s*(?:ï|ò|ó|T|⌈|⌉|⌊|⌋|⎡|⎤|⎣|⎦)(?:\s+(?:ï|ò|ó|T))*\s*$"
-SOLUTION = r"(?mi)^\s*(?:#{1,6}\s*)?\[?Hướng\s+dẫn\s+giải\]?\s*:?[ \t]*$"
-SOUND_SOLUTION = r"(?mi)^\s*#{2,3}\s+\[Hướng dẫn giải\]\s*$"
-NUMBER = r"(?<!\w)[+−-]?(?:\d+(?:[.,]\d+)?|[αβγλμ])(?!\w)"
-IGNORED = r"^(?:\$\$|---+|<!--.*-->|\|[\s|:\-]+\|)$"
+STRAY = r"(?miU)^\s*(?:ï|ò|ó|T|⌈|⌉|⌊|⌋|⎡|⎤|⎣|⎦)(?:\s+(?:ï|ò|ó|T))*\s*$"
+SOLUTION = r"(?miU)^\s*(?:#{1,6}\s*)?\[?Hướng\s+dẫn\s+giải\]?\s*:?[ \t]*$"
+SOUND_SOLUTION = r"(?miU)^\s*#{2,3}\s+\[Hướng dẫn giải\]\s*$"
+NUMBER = r"(?U)(?<!\w)[+−-]?(?:\d+(?:[.,]\d+)?|[αβγλμ])(?!\w)"
+IGNORED = r"(?U)^(?:\$\$|---+|<!--.*-->|\|[\s|:\-]+\|)$"
 ENVIRONMENTS = ("bmatrix", "pmatrix", "vmatrix", "matrix", "aligned")
 
 
@@ -64,9 +64,9 @@ def numeric_grid(markdown: Column) -> Column:
 
 
 def risk(pages: DataFrame) -> DataFrame:
-    """doc_id, page, questions, terms, score, reasons: capped features add up."""
+    """doc_id, page, questions, terms, score, reasons: capped features of the composed text add up."""
     t = F.col("markdown")
-    made = pages.withColumns({
+    made = pages.withColumn("markdown", text.nfc(t)).withColumns({
         "questions": F.size(occurrences(t, QUESTION)),
         "terms": sum((t.rlike(p).cast("int") for p in TERMS), F.lit(0)),
         "options": F.size(occurrences(t, OPTION)),
@@ -110,9 +110,9 @@ def normalized(markdown: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(markdown, "\r\n?", "\n"), r"^\s+|\s+$", "")
     t = F.regexp_replace(F.regexp_replace(t, r"(?i)^```(?:markdown|md)?\s*\n", ""), r"\n```\s*$", "")
     t = F.regexp_replace(t, SOLUTION, "### [Hướng dẫn giải]")
-    t = F.regexp_replace(t, r"(?mi)^\s*(?:#{1,6}\s*)?Câu\s+(\d+)\s*[:.]?\s*$", "## Câu $1")
+    t = F.regexp_replace(t, r"(?miU)^\s*(?:#{1,6}\s*)?Câu\s+(\d+)\s*[:.]?\s*$", "## Câu $1")
     for letter in "ABCD":
-        t = F.regexp_replace(t, rf"(?mi)^\s*(?:[-*+]\s*)?{letter}[.)]\s+(.*\S)[ \t]*$", f"- **{letter}.** $1")
+        t = F.regexp_replace(t, rf"(?miU)^\s*(?:[-*+]\s*)?{letter}[.)]\s+(.*\S)[ \t]*$", f"- **{letter}.** $1")
     t = F.regexp_replace(F.regexp_replace(t, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
     return F.when(t == "", "").otherwise(F.concat(t, F.lit("\n")))
 

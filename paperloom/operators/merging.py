@@ -75,21 +75,35 @@ def content_groups(files: DataFrame) -> DataFrame:
     return files.groupBy("sha256").agg(F.count("*").alias("files"), F.min("path").alias("first_path"), (F.count("*") - 1).alias("copies"))
 
 
-def graph_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, code, id: edges whose end is no node, repeated nodes, self loops, decision nodes with fewer than two ways out, nodes without any edge."""
-    keyed = nodes.select("graph_id", "node_id").distinct()
-    def end(column: str) -> DataFrame:
-        return edges.join(keyed.withColumnRenamed("node_id", column), ["graph_id", column], "left_anti").select("graph_id", F.lit(f"unknown_{column}").alias("code"), F.col(column).alias("id"))
-
-    out = edges.groupBy("graph_id", F.col("source").alias("node_id")).agg(F.count_distinct("target").alias("ways"))
-    decisions = nodes.where("kind = 'DECISION'").join(out, ["graph_id", "node_id"], "left").where(F.coalesce("ways", F.lit(0)) < 2)
-    touched = edges.select("graph_id", F.explode(F.array("source", "target")).alias("node_id")).distinct()
+def graph_parts(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(graphs, nodes, edges) of ``payloads`` (graph_id, payload as JSON): nodes by their ``id`` and ``type``, edges by ``source`` or ``from`` and ``target`` or ``to``; what is no object has null columns only."""
+    kind = "struct<nodes:array<string>,edges:array<string>>"
+    p = payloads.select("graph_id", F.from_json("payload", kind).alias("p")).select("graph_id", "p.*")
+    field = lambda c, *names: F.trim(F.coalesce(*[F.nullif(F.get_json_object(c, f"$.{n}"), F.lit("")) for n in names], F.lit("")))
+    is_object = lambda c: F.col(c).startswith("{")
+    graphs = p.select("graph_id", (F.coalesce(F.size("nodes"), F.lit(0)) > 0).alias("has_nodes"), F.col("edges").isNotNull().alias("has_edges"))
+    nodes = p.select("graph_id", F.posexplode("nodes").alias("place", "n")).select("graph_id", "place", F.when(is_object("n"), field("n", "id")).alias("node_id"), F.lower(F.get_json_object("n", "$.type")).alias("kind"))
+    edges = p.select("graph_id", F.posexplode("edges").alias("place", "e")).select("graph_id", "place", F.when(is_object("e"), field("e", "source", "from")).alias("source"), F.when(is_object("e"), field("e", "target", "to")).alias("target"))
+    return graphs, nodes, edges
+
+
+def graph_issues(graphs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, code, id of what makes a graph's topology unsound; a decision needs two edges out whose ends are both nodes, to one target or several.
+
+    ``graphs`` has graph_id, has_nodes, has_edges; a null node_id or source is an entry that is no object, an empty node_id a node without one."""
+    keyed = nodes.where("node_id <> ''").select("graph_id", "node_id").distinct()
+    known = edges.where("source IS NOT NULL").join(keyed.withColumnRenamed("node_id", "source").withColumn("a", F.lit(True)), ["graph_id", "source"], "left")
+    known = known.join(keyed.withColumnRenamed("node_id", "target").withColumn("b", F.lit(True)), ["graph_id", "target"], "left").withColumn("sound", F.coalesce(F.col("a") & F.col("b"), F.lit(False)))
+    ways = known.where("sound").groupBy("graph_id", F.col("source").alias("node_id")).agg(F.count("*").alias("ways"))
+    decisions = nodes.where("kind = 'decision' AND node_id <> ''").select("graph_id", "node_id").distinct()
+    said = lambda frame, code, of: frame.select("graph_id", F.lit(code).alias("code"), of.alias("id"))
+    none = F.lit("")
     parts = [
-        end("source"), end("target"),
-        nodes.groupBy("graph_id", "node_id").count().where("count > 1").select("graph_id", F.lit("repeated_node").alias("code"), F.col("node_id").alias("id")),
-        edges.where("source = target").select("graph_id", F.lit("self_loop").alias("code"), F.col("source").alias("id")),
-        decisions.select("graph_id", F.lit("decision_without_branches").alias("code"), F.col("node_id").alias("id")),
-        keyed.join(touched, ["graph_id", "node_id"], "left_anti").select("graph_id", F.lit("isolated_node").alias("code"), F.col("node_id").alias("id")),
+        said(graphs.where("NOT has_nodes"), "nodes_missing_or_empty", none), said(graphs.where("NOT has_edges"), "edges_missing", none),
+        said(nodes.where("node_id IS NULL"), "node_not_object", none), said(nodes.where("node_id = ''"), "node_id_missing", none), said(edges.where("source IS NULL"), "edge_not_object", none),
+        said(nodes.where("node_id <> ''").groupBy("graph_id", "node_id").count().where("count > 1"), "duplicate_node_id", F.col("node_id")),
+        said(known.where("NOT sound"), "edge_endpoint_missing", F.concat("source", F.lit(">"), "target")),
+        said(decisions.join(ways, ["graph_id", "node_id"], "left").where(F.coalesce("ways", F.lit(0)) < 2), "decision_branch_count_invalid", F.col("node_id")),
     ]
     every = parts[0]
     for p in parts[1:]:

@@ -44,13 +44,22 @@ def lineage_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.lineage(c, i)
 
 
-@query(f"WITH {FILES_SQL}, f AS (SELECT source_path || '#' || doc_id::VARCHAR AS path, source_name AS name, sha256(text) AS sha256 FROM files), u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY sha256 ORDER BY path) = 1), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path) - 1 AS k FROM u) SELECT path, sha256, CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') || '-' || k::VARCHAR || regexp_extract(name, '(\\.[^.]*)$', 1) END AS copy_name FROM n")
+@query(
+    f"""WITH RECURSIVE {FILES_SQL}, f AS (SELECT source_path || '#' || doc_id::VARCHAR AS path, CASE WHEN doc_id % 4 = 1 THEN regexp_replace(source_name, '(\\.[^.]+)$', '-' || (doc_id % 3)::VARCHAR || '\\1') ELSE source_name END AS name, sha256(text) AS sha256 FROM files),
+    u AS (SELECT *, regexp_extract(name, '^(.+?)(\\.[^.]*)?$', 1) AS stem, regexp_extract(name, '^(.+?)(\\.[^.]*)?$', 2) AS suffix FROM f QUALIFY row_number() OVER (PARTITION BY sha256 ORDER BY path) = 1),
+    g AS (SELECT *, regexp_replace(stem, '(-[0-9]+)+$', '') AS root FROM u), n AS (SELECT *, row_number() OVER (PARTITION BY root, suffix ORDER BY path) AS k FROM g),
+    r AS (SELECT root, suffix, 0::BIGINT AS k, '' AS path, '' AS sha256, '' AS copy_name, []::VARCHAR[] AS taken FROM (SELECT DISTINCT root, suffix FROM n)
+      UNION ALL SELECT root, suffix, k, path, sha256, c, list_append(taken, c) FROM (SELECT n.root, n.suffix, n.k, n.path, n.sha256, r.taken, list_filter(list_prepend(n.name, list_transform(range(1, len(r.taken) + 2), lambda i: n.stem || '-' || i::VARCHAR || n.suffix)), lambda x: NOT list_contains(r.taken, x))[1] AS c FROM r JOIN n ON n.root = r.root AND n.suffix = r.suffix AND n.k = r.k + 1))
+    SELECT path, sha256, copy_name FROM r WHERE k > 0"""
+)
 def asset_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = files(spark, sf_dir).select(F.concat("source_path", F.lit("#"), "doc_id").alias("path"), F.col("source_name").alias("name"), F.sha2("text", 256).alias("sha256"))
-    return C.free_names(own)
+    """Some files have a name that others get when theirs is taken."""
+    d, n = F.col("doc_id"), F.col("source_name")
+    name = F.when(d % 4 == 1, F.concat(F.regexp_replace(n, r"\.[^.]+$", ""), F.lit("-"), d % 3, F.regexp_extract(n, r"(\.[^.]+)$", 1))).otherwise(n)
+    return C.free_names(files(spark, sf_dir).select(F.concat("source_path", F.lit("#"), "doc_id").alias("path"), name.alias("name"), F.sha2("text", 256).alias("sha256")))
 
 
-@query(f"WITH {ELEMENTS_SQL}, s AS (SELECT doc_id, pos, content, 8 + (length(content) * 7 + pos) % 13 AS size, pos % 9 = 4 AS bold FROM elements), m AS (SELECT doc_id, median(size)::DOUBLE AS median FROM s GROUP BY doc_id) SELECT doc_id, pos, size, median FROM s JOIN m USING (doc_id) WHERE size >= 1.25 * median OR (bold AND length(content) <= 80)")
+@query(f"WITH {ELEMENTS_SQL}, s AS (SELECT doc_id, pos, content, 8 + (length(content) * 7 + pos) % 13 AS size, pos % 9 = 4 AS bold FROM elements), m AS (SELECT doc_id, median(size)::DOUBLE AS median FROM s GROUP BY doc_id) SELECT doc_id, pos, size, median FROM s JOIN m USING (doc_id) WHERE length(content) <= 140 AND (size >= median + 1.8 OR bold)")
 def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = elements(spark, sf_dir).select("doc_id", "pos", "content", (8 + (F.length("content") * 7 + F.col("pos")) % 13).alias("size"), (F.col("pos") % 9 == 4).alias("bold"))
     return C.heading_lines(own)

@@ -24,6 +24,18 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.states_batch(table(spark, sf_dir, "events"))
 
 
+_STAGE = "CASE event_id % 9 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(jobs.STAGES)) + " ELSE 'OTHER' END"
+
+
+@query(
+    f"""WITH e AS (SELECT user_id AS job, list_position([{", ".join(f"'{s}'" for s in jobs.STAGES)}], {_STAGE}) AS r FROM events), m AS (SELECT job, max(r) AS r FROM e WHERE r > 0 GROUP BY job)
+    SELECT job, [{", ".join(f"'{s}'" for s in jobs.STAGES)}][r] AS stage, (100 * (r - 1) // 5)::INT AS percent, r = 6 AS finished FROM m"""
+)
+def job_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = F.expr(_STAGE)
+    return jobs.stages(table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), "event_id", stage.alias("stage")))
+
+
 @query("SELECT event_id, ts, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def latest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing's limit is its feature."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import geometry, text
 from paperloom.operators import math_pages as M
-from paperloom.operators import merging, ocr
+from paperloom.operators import checks, merging, ocr
 from paperloom.operators import elements as E
 from paperloom.plans.registry import query
 from paperloom.sources.files import walk_tree
@@ -25,19 +25,19 @@ def clean_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clean(spark, sf_dir).select("page", "det_id", "text", "confidence", "x0", "y0", "x1", "y1", "nth")
 
 
-@query(f"WITH {_CLEAN}, m AS (SELECT DISTINCT page, y0 AS mark FROM clean WHERE det_id % 7 = 0), s AS (SELECT *, (mark - lag(mark) OVER w > 3)::INT AS new FROM m WINDOW w AS (PARTITION BY page ORDER BY mark)), r AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY page ORDER BY mark) AS run FROM s) SELECT page, round_even(median(mark), 0)::INT AS centre, count(*) AS members FROM r GROUP BY page, run")
+@query(f"WITH {_CLEAN}, m AS (SELECT DISTINCT page, y0 AS mark FROM clean), s AS (SELECT *, (mark - lag(mark) OVER w > 3)::INT AS new FROM m WINDOW w AS (PARTITION BY page ORDER BY mark)), r AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY page ORDER BY mark) AS run FROM s) SELECT page, round_even(median(mark), 0)::INT AS centre, count(*) AS members FROM r GROUP BY page, run")
 def projection_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.projection_groups(_clean(spark, sf_dir).where("det_id % 7 = 0").select("page", F.col("y0").alias("mark")))
+    return ocr.projection_groups(_clean(spark, sf_dir).select("page", F.col("y0").alias("mark")))
 
 
 #: Two grids a page; lines that touch make edge ties.
-_GRIDS = "grids AS (SELECT page, g AS grid_id, [g * 400, g * 400 + 100, g * 400 + 200, g * 400 + 300] AS xs, [page * 5 + g * 300, page * 5 + g * 300 + 50, page * 5 + g * 300 + 120] AS ys FROM (SELECT DISTINCT page FROM clean), (SELECT unnest([0, 1]) AS g))"
+_GRIDS = "grids AS (SELECT page, g AS grid_id, [g * 400, g * 400 + 100, g * 400 + 200, g * 400 + 300] AS xs, [page % 40 * 5 + g * 300, page % 40 * 5 + g * 300 + 50, page % 40 * 5 + g * 300 + 120] AS ys FROM (SELECT DISTINCT page FROM clean), (SELECT unnest([0, 1]) AS g))"
 
 
 def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, p = F.col("grid_id"), F.col("page")
     pages = _clean(spark, sf_dir).select("page").distinct().withColumn("grid_id", F.explode(F.array(F.lit(0), F.lit(1))))
-    return pages.select("page", "grid_id", F.array(*[g * 400 + k for k in (0, 100, 200, 300)]).alias("xs"), F.array(*[p * 5 + g * 300 + k for k in (0, 50, 120)]).alias("ys"))
+    return pages.select("page", "grid_id", F.array(*[g * 400 + k for k in (0, 100, 200, 300)]).alias("xs"), F.array(*[p % 40 * 5 + g * 300 + k for k in (0, 50, 120)]).alias("ys"))
 
 
 _CELLS = f"""{_CLEAN}, {_GRIDS}, spots AS (SELECT c.*, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM clean c),
@@ -65,21 +65,15 @@ def outside_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.outside_grids(_clean(spark, sf_dir), _grids(spark, sf_dir)).select("page", "det_id", "text")
 
 
-def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All detections, the 40 pages cut into sheets by order number, so that a page holds some fifty boxes however many orders there are."""
-    sheet = (F.floor(F.col("det_id") / 20480) * 40 + F.col("page")).cast("int")
-    return ocr.clean(detections(spark, sf_dir).withColumn("page", sheet))
-
-
 @query()
 def visual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row clustering depends on what was clustered before; a test compares it with a plain loop."""
-    return ocr.cluster_rows(_sheets(spark, sf_dir)).withColumns({"confidence": F.round("confidence", 6)})
+    return ocr.cluster_rows(_clean(spark, sf_dir)).withColumns({"confidence": F.round("confidence", 6)})
 
 
 @query()
 def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.paragraphs(ocr.row_markdown(ocr.cluster_rows(_sheets(spark, sf_dir)), 1100))
+    return ocr.paragraphs(ocr.row_markdown(ocr.cluster_rows(_clean(spark, sf_dir)), 1100))
 
 
 @query(f"WITH {_CLEAN} SELECT page, count(*) AS boxes, round(avg(confidence), 6) AS mean, round(sum(confidence * length(text)) / sum(length(text)), 6) AS weighted, round(avg(confidence), 6) < 0.46 AS low FROM clean GROUP BY page")
@@ -87,14 +81,16 @@ def page_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.page_confidence(_clean(spark, sf_dir))
 
 
-@query(f"WITH {_CLEAN}, f AS (SELECT DISTINCT page, lower(substr(text, 1, 3)) AS line FROM clean WHERE y1 <= 1500 * 0.11 OR y0 >= 1500 * 0.89), p AS (SELECT count(DISTINCT page) AS pages FROM clean) SELECT line, count(*) AS on_pages FROM f, p WHERE length(line) BETWEEN 3 AND 160 GROUP BY line, pages HAVING pages >= 4 AND count(*) >= greatest(3, round_even(0.6 * pages, 0))")
+@query(f"WITH {_CLEAN}, f AS (SELECT DISTINCT page, CASE WHEN det_id % 3 = 0 THEN lower(text) ELSE 'footer ' || (det_id % 5)::VARCHAR END AS line FROM clean WHERE y1 <= 1500 * 0.11 OR y0 >= 1500 * 0.89), p AS (SELECT count(DISTINCT page) AS pages FROM clean) SELECT line, count(*) AS on_pages FROM f, p WHERE length(line) BETWEEN 3 AND 160 GROUP BY line, pages HAVING pages >= 4 AND count(*) >= greatest(3, round_even(0.6 * pages, 0))")
 def margin_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.margin_boilerplate(_clean(spark, sf_dir).withColumn("text", F.substring("text", 1, 3)), 1500)
+    d = F.col("det_id")
+    return E.margin_boilerplate(_clean(spark, sf_dir).withColumn("text", F.when(d % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("Footer "), d % 5))), 1500)
 
 
-@query(f"WITH {ELEMENTS_SQL}, p AS (SELECT doc_id, page, sum(len(regexp_extract_all(content, '[A-Za-z0-9]'))) AS alnum, (page * 37 % 100) / 100 AS r FROM elements GROUP BY doc_id, page), d AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE alnum >= 40) AS text_pages, count(*) FILTER (WHERE r >= 0.6) AS image_pages FROM p GROUP BY doc_id) SELECT *, text_pages = 0 OR (image_pages > text_pages AND text_pages * 2 < pages) AS requires_ocr FROM d")
+@query(f"WITH {ELEMENTS_SQL}, p AS (SELECT doc_id, page, sum(len(regexp_extract_all(content, '[A-Za-z0-9]'))) AS alnum, (page * 37 % 100) / 100 AS r FROM (SELECT * REPLACE (CASE WHEN (doc_id + page) % 3 = 0 THEN 'x' ELSE content END AS content) FROM elements) GROUP BY doc_id, page), d AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE alnum >= 40) AS text_pages, count(*) FILTER (WHERE alnum < 40 AND r >= 0.6) AS image_pages FROM p GROUP BY doc_id) SELECT *, image_pages = pages OR (image_pages >= 2 AND image_pages / pages >= 0.2) AS requires_ocr FROM d")
 def scan_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = elements(spark, sf_dir).groupBy("doc_id", "page").agg(F.sum(F.regexp_count("content", F.lit("[A-Za-z0-9]"))).alias("alnum"))
+    seen = elements(spark, sf_dir).withColumn("content", F.when((F.col("doc_id") + F.col("page")) % 3 == 0, "x").otherwise(F.col("content")))
+    own = seen.groupBy("doc_id", "page").agg(F.sum(F.regexp_count("content", F.lit("[A-Za-z0-9]"))).alias("alnum"))
     return ocr.scan_kind(own.withColumn("image_ratio", F.pmod(F.col("page") * 37, F.lit(100)) / 100))
 
 
@@ -158,12 +154,12 @@ def runaway_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH s AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(replace(lower(text), 'ß', 'ss')), '[a-z0-9]+')) AS token FROM documents), sc AS (SELECT doc_id, token, count(*) AS n FROM s GROUP BY ALL),
-    o AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(replace(lower(substr(text, 1, 600 + (doc_id % 5)::INT * 400)), 'ß', 'ss')), '[a-z0-9]+')) AS token FROM documents), oc AS (SELECT doc_id, token, count(*) AS n FROM o GROUP BY ALL)
+    o AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(replace(lower(replace(replace(text, ' the ', ' '), ' de ', ' ')), 'ß', 'ss')), '[a-z0-9]+')) AS token FROM documents), oc AS (SELECT doc_id, token, count(*) AS n FROM o GROUP BY ALL)
     SELECT doc_id, sum(coalesce(sc.n, 0))::BIGINT AS source_tokens, sum(coalesce(oc.n, 0))::BIGINT AS output_tokens, round(sum(least(coalesce(sc.n, 0), coalesce(oc.n, 0))) / greatest(1, sum(coalesce(sc.n, 0))), 6) AS recall FROM sc FULL JOIN oc USING (doc_id, token) GROUP BY doc_id"""
 )
 def bag_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return M.bag_recall(docs, docs.withColumn("text", F.expr("substring(text, 1, cast(600 + doc_id % 5 * 400 as int))")))
+    return M.bag_recall(docs, docs.withColumn("text", F.expr("replace(replace(text, ' the ', ' '), ' de ', ' ')")))
 
 
 _PAGES = f"{ELEMENTS_SQL}, pages0 AS (SELECT doc_id, page, string_agg(content, chr(10) ORDER BY pos) AS markdown FROM elements GROUP BY doc_id, page)"
@@ -216,34 +212,55 @@ def run_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ELEMENTS_SQL}, t AS (SELECT doc_id, page, pos, (pos % 5 + 1)::INT AS key, 'c' || (pos % 5)::VARCHAR || '@' || page::VARCHAR AS cell FROM elements WHERE pos < 5 OR doc_id % 3 = 0), k AS (SELECT doc_id, key, count(*) AS n, arg_min(cell, (page, pos)) AS cell FROM t GROUP BY ALL)
+    f"""WITH {ELEMENTS_SQL}, t AS (SELECT doc_id, page, pos, (CASE WHEN doc_id % 3 = 0 THEN pos % 5 ELSE pos END + 1)::INT AS key, 'c' || (pos % 5)::VARCHAR || '@' || page::VARCHAR AS cell FROM elements), k AS (SELECT doc_id, key, count(*) AS n, arg_min(cell, (page, pos)) AS cell FROM t GROUP BY ALL)
     SELECT doc_id, string_agg(cell, ' / ' ORDER BY key) AS cells, max(n) = 1 AND list(key ORDER BY key) = [1, 2, 3, 4, 5] AS sound FROM k GROUP BY doc_id"""
 )
 def split_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("pos")
-    rows = elements(spark, sf_dir).where("pos < 5 OR doc_id % 3 = 0").select("doc_id", "page", "pos", (p % 5 + 1).alias("key"), F.concat(F.lit("c"), p % 5, F.lit("@"), "page").alias("cell"))
+    rows = elements(spark, sf_dir).select("doc_id", "page", "pos", (F.when(F.col("doc_id") % 3 == 0, p % 5).otherwise(p) + 1).alias("key"), F.concat(F.lit("c"), p % 5, F.lit("@"), "page").alias("cell"))
     return merging.merge_split_tables(rows, 5)
 
 
+#: A graph for each customer: a fifth of the nodes is asked for but missing, some are repeated, entries of other kinds are strewn in.
 @query(
-    """WITH e AS (SELECT o_custkey % 50 AS graph_id, 'n' || (o_orderkey % 40)::VARCHAR AS source, 'n' || (o_custkey % 47)::VARCHAR AS target FROM orders WHERE o_orderkey % 9 = 0), n AS (SELECT g AS graph_id, 'n' || k::VARCHAR AS node_id, CASE WHEN k % 5 = 0 THEN 'DECISION' ELSE 'STEP' END AS kind FROM (SELECT unnest(range(0, 50)) AS g), (SELECT unnest(range(0, 43)) AS k) UNION ALL SELECT g, 'n1', 'STEP' FROM (SELECT unnest(range(0, 50, 7)) AS g)),
-    k AS (SELECT DISTINCT graph_id, node_id FROM n), w AS (SELECT graph_id, source, count(DISTINCT target) AS ways FROM e GROUP BY ALL)
-    SELECT DISTINCT graph_id, 'unknown_source' AS code, source AS id FROM e WHERE (graph_id, source) NOT IN (SELECT (graph_id, node_id) FROM k) UNION SELECT graph_id, 'unknown_target', target FROM e WHERE (graph_id, target) NOT IN (SELECT (graph_id, node_id) FROM k)
-    UNION SELECT graph_id, 'repeated_node', node_id FROM n GROUP BY ALL HAVING count(*) > 1 UNION SELECT graph_id, 'self_loop', source FROM e WHERE source = target UNION SELECT n.graph_id, 'decision_without_branches', node_id FROM n LEFT JOIN w ON w.graph_id = n.graph_id AND w.source = node_id WHERE kind = 'DECISION' AND coalesce(ways, 0) < 2
-    UNION SELECT graph_id, 'isolated_node', node_id FROM k ANTI JOIN (SELECT graph_id, source AS node_id FROM e UNION SELECT graph_id, target FROM e) USING (graph_id, node_id)"""
+    """WITH g AS (SELECT c_custkey AS graph_id, c_custkey % 11 <> 3 AS hn, c_custkey % 13 <> 5 AS he FROM customer),
+    n0 AS (SELECT graph_id, unnest(range(0, 6)) AS k FROM g WHERE hn UNION ALL SELECT graph_id, 2 FROM g WHERE hn AND graph_id % 7 = 1), n AS (SELECT graph_id, CASE WHEN graph_id % 17 = 4 AND k = 5 THEN '' WHEN graph_id % 19 = 6 AND k = 4 THEN NULL ELSE 'n' || k::VARCHAR END AS node_id, k % 3 = 0 AS d FROM n0),
+    e AS (SELECT o_custkey AS graph_id, CASE WHEN o_orderkey % 97 = 5 THEN NULL ELSE 'n' || (o_orderkey % 7)::VARCHAR END AS s, 'n' || (o_orderkey // 7 % 6)::VARCHAR AS t FROM orders JOIN g ON graph_id = o_custkey WHERE he),
+    k AS (SELECT DISTINCT graph_id, node_id FROM n WHERE node_id <> ''), j AS (SELECT e.*, a.node_id IS NOT NULL AND b.node_id IS NOT NULL AS ok FROM e LEFT JOIN k a ON a.graph_id = e.graph_id AND a.node_id = s LEFT JOIN k b ON b.graph_id = e.graph_id AND b.node_id = t WHERE s IS NOT NULL), w AS (SELECT graph_id, s, count(*) AS ways FROM j WHERE ok GROUP BY ALL)
+    SELECT graph_id, 'nodes_missing_or_empty' AS code, '' AS id FROM g WHERE NOT hn UNION SELECT graph_id, 'edges_missing', '' FROM g WHERE NOT he UNION SELECT graph_id, 'node_not_object', '' FROM n WHERE node_id IS NULL UNION SELECT graph_id, 'node_id_missing', '' FROM n WHERE node_id = ''
+    UNION SELECT graph_id, 'edge_not_object', '' FROM e WHERE s IS NULL UNION SELECT graph_id, 'duplicate_node_id', node_id FROM n WHERE node_id <> '' GROUP BY ALL HAVING count(*) > 1 UNION SELECT graph_id, 'edge_endpoint_missing', s || '>' || t FROM j WHERE NOT ok
+    UNION SELECT d.graph_id, 'decision_branch_count_invalid', d.node_id FROM (SELECT DISTINCT graph_id, node_id FROM n WHERE d AND node_id <> '') d LEFT JOIN w ON w.graph_id = d.graph_id AND w.s = d.node_id WHERE coalesce(ways, 0) < 2"""
 )
 def graph_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    node = lambda c: F.concat(F.lit("n"), c)
-    edges = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select((F.col("o_custkey") % 50).alias("graph_id"), node(F.col("o_orderkey") % 40).alias("source"), node(F.col("o_custkey") % 47).alias("target"))
-    nodes = spark.range(50).select(F.col("id").alias("graph_id"), F.explode(F.sequence(F.lit(0), F.lit(42))).alias("k")).select("graph_id", node(F.col("k")).alias("node_id"), F.when(F.col("k") % 5 == 0, "DECISION").otherwise("STEP").alias("kind"))
-    return merging.graph_issues(nodes.unionByName(spark.range(0, 50, 7).select(F.col("id").alias("graph_id"), F.lit("n1").alias("node_id"), F.lit("STEP").alias("kind"))), edges)
+    """The payloads are built as JSON, with either name for an edge's ends, and read again."""
+    g, k, o = F.col("graph_id"), F.col("k"), F.col("o_orderkey")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    custom = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("graph_id"))
+    plain = custom.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).unionByName(custom.where("graph_id % 7 = 1").withColumn("k", F.lit(2)))
+    node_id = F.when((g % 17 == 4) & (k == 5), "").otherwise(F.concat(F.lit("n"), k))
+    node = F.when((g % 19 == 6) & (k == 4), F.lit('"text"')).otherwise(F.concat(F.lit('{"id":'), quoted(node_id), F.lit(',"type":'), F.when(k % 3 == 0, '"Decision"').otherwise('"step"'), F.lit("}")))
+    ends = F.when(o % 2 == 0, F.array(F.lit('{"source":'), F.lit(',"target":'))).otherwise(F.array(F.lit('{"from":'), F.lit(',"to":')))
+    start, end = F.concat(F.lit("n"), o % 7), F.concat(F.lit("n"), F.floor(o / 7) % 6)
+    edge = F.when(o % 97 == 5, F.lit("7")).otherwise(F.concat(F.get(ends, F.lit(0)), quoted(start), F.get(ends, F.lit(1)), quoted(end), F.lit("}")))
+    listed = lambda c: F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(c)), ","), F.lit("]"))
+    nodes = plain.groupBy("graph_id").agg(listed(node).alias("nodes"))
+    edges = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("graph_id")).agg(listed(edge).alias("edges"))
+    own = custom.join(nodes, "graph_id").join(edges, "graph_id", "left")
+    fields = F.array_compact(F.array(F.when(g % 11 != 3, F.concat(F.lit('"nodes":'), "nodes")), F.when(g % 13 != 5, F.concat(F.lit('"edges":'), F.coalesce("edges", F.lit("[]"))))))
+    return merging.graph_issues(*merging.graph_parts(own.select("graph_id", F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")).alias("payload"))))
 
 
-@query("SELECT DISTINCT p_size, CASE p_size % 4 WHEN 0 THEN 'upper_letter' WHEN 1 THEN 'decimal' WHEN 2 THEN 'bullet' ELSE 'lower alpha' END AS style, CASE p_size % 4 WHEN 0 THEN CASE WHEN p_size > 26 THEN chr(64 + (p_size - 1) // 26) ELSE '' END || chr(65 + (p_size - 1) % 26) || '.' WHEN 1 THEN p_size::VARCHAR || '.' WHEN 2 THEN '-' ELSE CASE WHEN p_size > 26 THEN chr(96 + (p_size - 1) // 26) ELSE '' END || chr(97 + (p_size - 1) % 26) || '.' END AS marker FROM part")
+@query(
+    """WITH p AS (SELECT DISTINCT p_partkey % 5000 AS n, p_partkey % 6 AS k FROM part), r AS (SELECT *, repeat('m', (n // 1000)::INT) || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][n // 100 % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][n // 10 % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1] AS roman,
+      CASE WHEN n > 702 THEN chr((97 + (n - 703) // 676)::INT) ELSE '' END || CASE WHEN n > 26 THEN chr((97 + (n - 27) // 26 % 26)::INT) ELSE '' END || chr((97 + (n - 1) % 26)::INT) AS letters FROM p WHERE n > 0 UNION ALL SELECT 0, k, 'i', 'a' FROM (SELECT unnest(range(0, 6)) AS k))
+    SELECT n, k, CASE k WHEN 0 THEN upper(letters) || '.' WHEN 1 THEN letters || '.' WHEN 2 THEN '-' WHEN 3 THEN roman || '.' WHEN 4 THEN n::VARCHAR || '.' ELSE '-' END AS marker FROM r"""
+)
 def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("p_size")
-    style = F.when(n % 4 == 0, "upper_letter").when(n % 4 == 1, "decimal").when(n % 4 == 2, "bullet").otherwise("lower alpha")
-    return table(spark, sf_dir, "part").select("p_size").distinct().select("p_size", style.alias("style"), text.list_marker(style, n).alias("marker"))
+    n, k = F.col("n"), F.col("k")
+    own = table(spark, sf_dir, "part").select((F.col("p_partkey") % 5000).alias("n"), (F.col("p_partkey") % 6).alias("k")).where("n > 0").distinct()
+    own = own.unionByName(spark.range(6).select(F.lit(0).cast("long").alias("n"), F.col("id").alias("k")))
+    style = F.when(k == 0, "English  letters UPPER case").when(k == 1, "english letters").when(k == 2, "Unordered list").when(k == 3, "roman numbers upper case").when(k == 4, "arabic")
+    return own.select("n", "k", text.list_marker(style, n).alias("marker"))
 
 
 @query(
@@ -287,10 +304,19 @@ def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "turn", "n.node", F.coalesce("n.parent", F.lit(-1)).alias("parent"), "n.type", F.coalesce("n.page", F.lit(0)).alias("page"), F.coalesce("n.content", F.lit("")).alias("content"))
 
 
-@query(f"WITH {LINES_SQL}, h AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(content, 'the')) > 0 AS a, count(*) FILTER (WHERE regexp_matches(content, '^An')) > 0 AS b, count(*) FILTER (WHERE regexp_matches(content, 'ing')) > 0 AS c FROM lines GROUP BY doc_id) SELECT doc_id, a AND b AS hard, round((a::INT + b::INT + c::INT) / 3, 4) AS score, a AND b AND c AS accepted FROM h")
+#: Documents of the profile's kind: every third says all of its titles, others a part; some lack one mark or two.
+_PROFILE = [("h", p) for p in checks.HARD_MARKS] + [("s", p) for p in checks.SOFT_MARKS]
+
+
+def _profile_text(doc: str, join: str) -> list[tuple[str, str]]:
+    return [(x, f"({doc} % 3 = 0 AND ({doc} + {k}) % 14 <> 1) OR {doc} % {k + 2} = 0") for k, x in enumerate(checks.PROFILE_LINES)]
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, concat_ws(chr(10), text, {", ".join(f"CASE WHEN {w} THEN '{x}' END" for x, w in _profile_text("doc_id", ""))}) AS t FROM documents),
+    m AS (SELECT doc_id, {" + ".join(f"regexp_matches(t, '{checks.re2(p)}')::INT" for k, p in _PROFILE if k == "h")} AS hard, {" + ".join(f"regexp_matches(t, '{checks.re2(p)}')::INT" for k, p in _PROFILE if k == "s")} AS soft FROM t)
+    SELECT doc_id, hard, soft, round((hard + soft) / 12, 4) AS score, hard = 6 AND soft >= 5 AS matched FROM m"""
+)
 def fingerprint_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profile gate: all hard patterns and enough of the soft ones."""
-    d = table(spark, sf_dir, "documents")
-    hard, soft = ("the", "(?m)^An"), ("ing",)
-    hits = [F.col("text").rlike(p) for p in hard + soft]
-    return d.select("doc_id", (hits[0] & hits[1]).alias("hard"), F.round(sum(h.cast("int") for h in hits) / 3, 4).alias("score"), (hits[0] & hits[1] & hits[2]).alias("accepted"))
+    extra = [F.when(F.expr(w), x) for x, w in _profile_text("doc_id", "")]
+    return checks.fingerprint(table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "text", *extra).alias("markdown")))

@@ -25,7 +25,7 @@ ELEMENTS = """SELECT doc_id, pos, CAST(floor(pos / 5) AS INT) + 1 AS page,
   1 + (pos * 2) % 5 AS level, content, CAST(doc_id % 50 AS INT) AS x0, (pos % 5) * 100 AS y0, CAST(doc_id % 50 AS INT) + least(length(content), 500) AS x1, (pos % 5) * 100 + 10 + length(content) % 60 AS y1
   FROM lines"""
 
-DETECTIONS = """SELECT CAST(l_suppkey % 40 AS INT) AS page, l_orderkey * 10 + l_linenumber AS det_id, l_returnflag || l_linestatus || l_partkey::STRING AS text, l_discount * 10 AS confidence,
+DETECTIONS = """SELECT CAST(floor(l_orderkey / 16) AS INT) AS page, l_orderkey * 10 + l_linenumber AS det_id, l_returnflag || l_linestatus || l_partkey::STRING AS text, l_discount * 10 AS confidence,
   CAST(floor(l_quantity) AS INT) * 20 AS x0, CAST(floor(l_extendedprice) AS INT) % 1500 AS y0, CAST(floor(l_quantity) AS INT) * 20 + CAST(l_partkey % 90 AS INT) - 5 AS x1, CAST(floor(l_extendedprice) AS INT) % 1500 + 12 + l_linenumber AS y1
   FROM lineitem"""
 

@@ -11,8 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: An event's kind -> the state it asks for.
-ASKS = {"view": "QUEUED", "click": "RUNNING", "purchase": "DONE", "error": "FAILED"}
-STEPS = {("", "QUEUED"), ("QUEUED", "RUNNING"), ("RUNNING", "DONE"), ("RUNNING", "FAILED"), ("QUEUED", "FAILED"), ("DONE", "QUEUED"), ("FAILED", "QUEUED")}
+ASKS = {"view": "QUEUED", "click": "RUNNING", "purchase": "COMPLETED", "error": "FAILED"}
+STEPS = {("", "QUEUED"), ("QUEUED", "RUNNING"), ("RUNNING", "COMPLETED"), ("RUNNING", "FAILED"), ("QUEUED", "FAILED"), ("COMPLETED", "QUEUED"), ("FAILED", "QUEUED")}
+#: A job's stages in order.
+STAGES = ("UPLOAD", "EXTRACT", "VERIFY", "NORMALIZE", "EXPORT", "DONE")
 STATES = "job long, state string, changes int, refused int, last_event long"
 
 
@@ -68,6 +70,13 @@ def recovered(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns({"state": F.when(lost, "FAILED").otherwise(F.col("state")), "error": F.when(lost, "SERVER_RESTARTED")})
 
 
+def stages(events: DataFrame) -> DataFrame:
+    """job, stage, percent, finished of progress events (job, event_id, stage): the furthest stage heard of; unknown stages say nothing."""
+    rank = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    per = events.withColumn("rank", rank.cast("int")).where("rank > 0").groupBy("job").agg(F.max("rank").alias("rank"))
+    return per.select("job", F.element_at(F.array(*map(F.lit, STAGES)), F.col("rank")).alias("stage"), F.floor(100 * (F.col("rank") - 1) / (len(STAGES) - 1)).cast("int").alias("percent"), (F.col("rank") == len(STAGES)).alias("finished"))
+
+
 def latest(events: DataFrame, n: int) -> DataFrame:
     """The latest n events (1 to 50), newest first."""
     return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(max(1, min(50, n)))
