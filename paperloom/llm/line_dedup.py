@@ -8,16 +8,17 @@ for every PER_EDIT characters, at least one and at most ``most`` (a parameter; 2
 Two strings within distance t agree on at least one of any t + 1 consecutive segments of the
 shorter.  Each distinct line indexes its t + 1 segments under its length and probes the indexes
 of its own length and of up to t less, with the substrings that a shift by some of the length
-difference and the edits left on either side allow.  Pairs that meet are verified by a banded
-bit-parallel automaton, one long for each number of errors, one bit a diagonal, on what is left
-of them between their common ends.
-
-A key that more than CROWDED lines share is not paired: its lines come again with FINER segments,
-of which all but t agree, in keys of all those together.  Lines that are crowded even then come
-with keys of edits: the line without the characters that a sequence of t edits would touch, and
-the edits.  Lines that share such a key are near, so each is verified against the earliest only.
-No step pairs all lines of a group, however large; keys of edits are about 9/2 n^2 for n
-characters and two edits, for lines only that agree with CROWDED others on all but 2 of 24 parts.
+difference and the edits left on either side allow.  The first and the last segment can't shift
+against their ends, and have one size for a range of lengths, so one key of each does for most
+lengths.  Lines that meet are compared by the parities of their characters and of their pairs of
+characters, of which an edit changes two and four at most; what is left is verified by a banded
+bit-parallel automaton, one long for each number of errors, one bit a diagonal, between the
+common ends, which gives up when all its bits are gone.
+
+A key that more than CROWDED lines share is passed over: its lines come again with FINER segments,
+of which all but t agree, in keys of all those together.  Keys that are crowded even then are dealt
+to blocks of lines, and each two blocks are compared; that alone grows with the square of a
+group, of lines that agree on all but t of the finest segments, and holds CROWDED lines at a time.
 
 All is DataFrame expressions.  Distinct lines are kept once, bucketed by their hashes, so that
 only keys are shuffled and the texts of candidates are read in place.  Rows that repeat doc_id
@@ -43,9 +44,11 @@ PLACE = ["known", "doc", "version", "line_no"]
 LINE = ["h", "c"]
 
 MOST, PER_EDIT = 2, 10
-CROWDED = 64
+CROWDED = 512
 #: Segments of the rounds after the first.
 FINER = (8, 24)
+#: The outer segments' size changes with the length by steps of this, from twice this length on.
+STEP = 16
 
 
 def allowed(length: Column, most: int) -> Column:
@@ -60,18 +63,12 @@ def places(docs: DataFrame) -> DataFrame:
 
 
 def patterns(edits: int, segments: int) -> list[dict]:
-    """What a line of length l + ``longer`` has in common with one of length l within ``edits``.
+    """What a line of length l + ``longer`` keeps of one of length l within ``edits``: all but as many of the shorter's segments.
 
-    ``kept`` are ranges of the shorter's segments and by how much they are shifted in the longer: one
-    segment where there are edits + 1, all but ``edits`` of them where there are more.  ``own`` is the
+    ``kept`` are ranges of segments and by how much they are shifted in the longer.  ``own`` is the
     shorter's side itself, and ``part`` names what is kept."""
     out = []
     for longer in range(edits + 1):
-        if segments == edits + 1:
-            for k in range(segments):
-                for shift in range(max(-k, longer - (edits - k)), min(k, longer + edits - k) + 1):
-                    out.append({"part": k, "longer": longer, "own": longer == shift == 0, "kept": [(k, k + 1, shift)]})
-            continue
         # The shift changes at each segment left out, by as many edits as it takes.
         ways = [(0, *s, longer) for s in product(range(-edits, edits + 1), repeat=edits - 1)]
         ways = [s for s in ways if sum(abs(x - y) for x, y in zip(s, s[1:], strict=False)) <= edits]
@@ -83,38 +80,62 @@ def patterns(edits: int, segments: int) -> list[dict]:
     return out
 
 
-def segment_keys(line: Column, segments: int | None, most: int) -> Column:
-    """array<struct<key, own>>: the line's keys as the shorter (own) and as the longer of a pair; edits + 1 segments if not said."""
+_KEYS = "array<struct<key:bigint,own:boolean>>"
+
+
+def segment_keys(line: Column, most: int) -> Column:
+    """array<struct<key, own>>: the line's keys as the shorter (own) and as the longer of a pair, one of edits + 1 segments each."""
     n, out = F.length(line), []
-    kind = "array<struct<part:int,longer:int,own:boolean,kept:array<struct<x:int,y:int,shift:int>>>>"
 
-    def piece(size: Column, m: int, x, y, shift) -> Column:
-        start = F.floor(size * x / m).cast("int")
-        return F.substring(line, start + shift + 1, F.floor(size * y / m).cast("int") - start)
+    def step(size: Column) -> Column:
+        return F.when(size < 2 * STEP, size).otherwise(size - F.pmod(size, F.lit(STEP)))
+
+    def key(own: bool, *parts) -> Column:
+        return F.struct(F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("key"), F.lit(own).alias("own"))
+
+    for edits in range(1, most + 1):
+        for longer in range(edits + 1):
+            size, m = n - longer, edits + 1
+            ends = F.floor(step(size) / m).cast("int")
+            room = size - 2 * ends
+            outer = [key(longer == 0, edits, 0, step(size), F.substring(line, F.lit(1), ends)), key(longer == 0, edits, edits, step(size), F.substring(line, n - ends + 1, ends))]
+            inner = []
+            for k in range(1, edits):
+                start = ends + F.floor(room * (k - 1) / (edits - 1)).cast("int")
+                width = ends + F.floor(room * k / (edits - 1)).cast("int") - start
+                for shift in range(max(-k, longer - (edits - k)), min(k, longer + edits - k) + 1):
+                    inner.append(key(longer == shift == 0, edits, k, size, F.substring(line, start + shift + 1, width)))
+            fits, none = (size > 0) & (allowed(size, most) == edits), F.array().cast(_KEYS)
+            # The outer keys of the next longer size are the same where nothing changes between.
+            new = F.lit(True) if longer == 0 else (step(size) != step(size + 1)) | (allowed(size + 1, most) != edits)
+            out.append(F.when(fits & new, F.array(*outer)).otherwise(none))
+            if inner:
+                out.append(F.when(fits, F.array(*inner)).otherwise(none))
+    return F.concat(*out)
+
+
+def finer_keys(line: Column, segments: int, most: int) -> Column:
+    """The same with more segments, of which all but the edits are kept."""
+    n, out = F.length(line), []
+    kind = "array<struct<part:int,longer:int,own:boolean,kept:array<struct<x:int,y:int,shift:int>>>>"
 
-    def entries(rows: list[dict], edits: int, m: int) -> Column:
-        """Many patterns, as one table that each line goes through."""
-        text = json.dumps([p | {"kept": [dict(zip(("x", "y", "shift"), k, strict=True)) for k in p["kept"]]} for p in rows])
+    def entries(edits: int) -> Column:
+        text = json.dumps([p | {"kept": [dict(zip(("x", "y", "shift"), k, strict=True)) for k in p["kept"]]} for p in patterns(edits, segments)])
 
         def entry(p: Column) -> Column:
             size = n - p["longer"]
-            kept = F.concat_ws("\n", F.transform(p["kept"], lambda k: piece(size, m, k["x"], k["y"], k["shift"])))
-            return F.struct(F.xxhash64(size, F.lit(edits), F.lit(m), p["part"], kept).alias("key"), p["own"].alias("own"))
+
+            def piece(k: Column) -> Column:
+                start = F.floor(size * k["x"] / segments).cast("int")
+                return F.substring(line, start + k["shift"] + 1, F.floor(size * k["y"] / segments).cast("int") - start)
+
+            kept = F.concat_ws("\n", F.transform(p["kept"], piece))
+            return F.struct(F.xxhash64(size, F.lit(edits), F.lit(segments), p["part"], kept).alias("key"), p["own"].alias("own"))
 
         return F.transform(F.filter(F.from_json(F.lit(text), kind), lambda p: (n > p["longer"]) & (allowed(n - p["longer"], most) == edits)), entry)
 
     for edits in range(1, most + 1):
-        m = segments or edits + 1
-        every, by = patterns(edits, m), {}
-        if len(every) > 64:
-            out.append(entries(every, edits, m))
-            continue
-        for p in every:
-            by.setdefault(p["longer"], []).append(p)
-        for longer, some in by.items():
-            size = n - longer
-            keys = [F.struct(F.xxhash64(size, F.lit(edits), F.lit(m), F.lit(p["part"]), F.concat_ws("\n", *[piece(size, m, *k) for k in p["kept"]])).alias("key"), F.lit(p["own"]).alias("own")) for p in some]
-            out.append(F.when((size > 0) & (allowed(size, most) == edits), F.array(*keys)).otherwise(F.array().cast("array<struct<key:bigint,own:boolean>>")))
+        out.append(entries(edits))
     return F.concat(*out)
 
 
@@ -123,6 +144,15 @@ def codes(line: Column) -> Column:
     return F.transform(F.split(line, ""), lambda c: F.ascii(c))
 
 
+def parities(items: Column) -> Column:
+    """One bit for each of 64 kinds of items: whether there is an odd number of them."""
+    return F.aggregate(items, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(x), F.lit(64)))))
+
+
+#: Steps after which the automaton looks whether it can still succeed.
+PROBE = 32
+
+
 def within(x: Column, y: Column, most: int = 1) -> Column:
     """Whether two arrays are within edit distance ``most``: a banded bit-parallel automaton.
 
@@ -144,8 +174,15 @@ def within(x: Column, y: Column, most: int = 1) -> Column:
             words.append(new.bitwiseAND(full))
         return F.array(*words)
 
-    last = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, step)).otherwise(start)
-    return (F.abs(m - n) <= most) & (F.call_function("shiftright", F.get(last, F.lit(most)), m - n + most).bitwiseAND(F.lit(1).cast("long")) == 1)
+    def accepts(state: Column) -> Column:
+        return F.call_function("shiftright", F.get(state, F.lit(most)), m - n + most).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    def rest(state: Column) -> Column:
+        over = F.aggregate(F.sequence(F.lit(PROBE), n - 1), state, step)
+        return F.when(F.get(state, F.lit(most)) == 0, False).when(n <= PROBE, accepts(state)).otherwise(accepts(over))
+
+    first = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.least(n, F.lit(PROBE)) - 1), start, step)).otherwise(start)
+    return (F.abs(m - n) <= most) & let(first, rest)
 
 
 def common(x: Column, y: Column) -> Column:
@@ -192,67 +229,61 @@ def met(entries: DataFrame) -> DataFrame:
     return written(entries.join(keys.select("key", "n").hint("merge"), "key"), "line-keys")
 
 
-def met_pairs(shared: DataFrame) -> DataFrame:
-    """a, b: line names that meet in a key of CROWDED lines at most, the lesser first."""
-    groups = shared.where(F.col("n") <= CROWDED).groupBy("key").agg(F.collect_set(F.struct(*LINE, "own")).alias("g"))
-    one = groups.select(F.explode(F.filter("g", lambda e: e["own"])).alias("a"), "g").select("a", F.explode("g").alias("b"))
-    a, b = F.struct(*[F.col("a")[k].alias(k) for k in LINE]), F.struct(*[F.col("b")[k].alias(k) for k in LINE])
-    return one.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+def close_pairs(groups: DataFrame, most: int) -> DataFrame:
+    """a, b: names of the lines of a group (``of``; CROWDED at most) that parities and lengths let be near, the lesser first."""
+    member = F.struct(*LINE, "own", "size", "chars", "twos")
+    per = groups.groupBy("of").agg(F.collect_list(member).alias("g"))
+    name = lambda e: F.struct(*[e[k].alias(k) for k in LINE])
+
+    def may(a: Column, b: Column) -> Column:
+        far = lambda k: F.bit_count(a[k].bitwiseXOR(b[k]))
+        return (F.abs(a["size"] - b["size"]) <= most) & (far("chars") <= 2 * most) & (far("twos") <= 4 * most) & ((a["h"] < b["h"]) | ((a["h"] == b["h"]) & (a["c"] < b["c"])) | (~b["own"] & ((a["h"] != b["h"]) | (a["c"] != b["c"]))))
+
+    def of(a: Column) -> Column:
+        return F.transform(F.filter("g", lambda b: may(a, b)), lambda b: F.struct(F.least(name(a), name(b)).alias("a"), F.greatest(name(a), name(b)).alias("b")))
+
+    pairs = F.flatten(F.transform(F.filter("g", lambda a: a["own"]), of))
+    return per.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+
+
+def in_blocks(crowded: DataFrame) -> DataFrame:
+    """Entries of crowded keys in groups of CROWDED at most: blocks of each key's lines, two by two."""
+    blocks = F.ceil(F.col("n") * 3 / CROWDED)  # blocks are uneven by chance
+    own = F.pmod(F.xxhash64(*LINE, F.lit(7)), blocks)
+    rows = crowded.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return rows.withColumn("of", F.struct("key", F.least(own, "k").alias("x"), F.greatest(own, "k").alias("y")))
 
 
 def near_lines(lines: DataFrame, most: int) -> DataFrame:
-    """h, c of the distinct ``lines`` (h, c, first, line) that are near an earlier one."""
-    since, again, found = made(), lines.select(*LINE, "line"), []
-    for segments in (None, *FINER):
-        shared = met(again.select(*LINE, F.explode(segment_keys(F.col("line"), segments, most)).alias("e")).select(*LINE, "e.*"))
-        pairs = written(met_pairs(shared), "line-pairs")
-        crowded = shared.where(F.col("n") > CROWDED).select(*LINE, F.lit(True).alias("crowded"))
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("e")).select("e.*", F.lit(False).alias("crowded")).unionByName(crowded)
-        asked = asked.groupBy(*LINE).agg(F.max("crowded").alias("crowded"))
-        texts = written(lines.join(asked.hint("merge"), LINE).select(*LINE, "first", "line", codes(F.col("line")).alias("codes"), "crowded"), "line-texts")
-        found.append(verified(pairs, texts, most))
-        crowded = texts.where("crowded")
-        if crowded.isEmpty():
+    """h, c of the distinct ``lines`` (h, c, first, line, keys) that are near an earlier one."""
+    since, entries, found = made(), lines.select(*LINE, F.explode("keys").alias("e")).select(*LINE, "e.*"), []
+    for segments in (*FINER, None):
+        shared = met(entries)
+        asked = shared.groupBy(*LINE).agg(F.max(F.col("n") > CROWDED).alias("crowded"))
+        texts = lines.join(asked.hint("merge"), LINE).select(*LINE, "first", "line", codes(F.col("line")).alias("codes"), "crowded")
+        twos = F.zip_with(F.slice("codes", F.lit(1), F.greatest(F.size("codes") - 1, F.lit(0))), F.slice("codes", F.lit(2), F.size("codes")), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        texts = written(texts.withColumns({"chars": parities(F.col("codes")), "twos": parities(twos)}), "line-texts")
+        marks = texts.select(*LINE, F.size("codes").alias("size"), "chars", "twos")
+        known = shared.join(marks, LINE)
+        groups = known.where(F.col("n") <= CROWDED).withColumn("of", F.struct("key", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")))
+        if segments is None:
+            groups = groups.unionByName(in_blocks(known.where(F.col("n") > CROWDED)).select(*groups.columns))
+        found.append(verified(written(close_pairs(groups, most), "line-pairs"), texts, most))
+        again = texts.where("crowded")
+        if segments is None or again.isEmpty():
             break
-        again = crowded.select(*LINE, "line")
-    else:
-        found.append(verified(by_edits(crowded.select(*LINE, "first", "line"), most), crowded, most))
+        entries = again.select(*LINE, F.explode(finer_keys(F.col("line"), segments, most)).alias("e")).select(*LINE, "e.*")
     out = written(reduce(DataFrame.unionByName, found).distinct(), "near-lines")
     clean(lines.sparkSession, since, newest=1)
     return out
 
 
-def by_edits(lines: DataFrame, most: int) -> DataFrame:
-    """a, b: each of ``lines`` (h, c, first, line) with the earliest line that shares a key of edits with it, if that is earlier.
-
-    An edit substitutes a character (S), or deletes one of the line (D) or of the other (I); a key is the
-    edits, what is kept before each, and what is kept in all.  The other has the same key with D and I changed about."""
-    every = []
-    for edits in range(1, most + 1):
-        state = lines.select(*LINE, "first", F.length("line").alias("n"), F.lit("").alias("kept"), F.col("line").alias("rest"), F.lit("").alias("at"), F.lit("").alias("ops"))
-        for _ in range(edits):
-            state = state.select("*", F.explode(F.sequence(F.lit(0), F.length("rest"))).alias("k")).select("*", F.explode(F.array(*map(F.lit, "SDI"))).alias("op")).where((F.col("op") == "I") | (F.col("k") < F.length("rest")))
-            left = F.substring("rest", F.lit(1), F.col("k"))
-            after = F.col("k") + F.when(F.col("op") == "I", 1).otherwise(2)
-            state = state.select(*LINE, "first", "n", F.concat("kept", left).alias("kept"), F.substring("rest", after, F.col("n")).alias("rest"), F.concat_ws(",", "at", F.length("kept") + F.col("k")).alias("at"), F.concat("ops", "op").alias("ops"))
-        other = F.translate("ops", "DI", "ID")
-        shorter = F.col("n") + F.least(F.lit(0), F.length(F.regexp_replace("ops", "[SD]", "")) - F.length(F.regexp_replace("ops", "[SI]", "")))
-        state = state.where(allowed(shorter, most) == edits)
-        side = F.when(F.col("ops") == other, 0).when(F.col("ops") < other, 1).otherwise(2)
-        every.append(state.select(*LINE, "first", F.xxhash64(F.least("ops", other), "at", "kept", "rest").alias("key"), side.alias("side")))
-    entries = reduce(DataFrame.unionByName, every)
-    name = F.struct("first", *LINE)
-    least = entries.groupBy("key").agg(*[F.min(F.when(F.col("side") == s, name)).alias(f"m{s}") for s in (0, 1, 2)])
-    partner = F.when(F.col("side") == 0, F.col("m0")).when(F.col("side") == 1, F.col("m2")).otherwise(F.col("m1"))
-    found = entries.join(least.hint("merge"), "key").withColumn("p", partner).where(F.col("p.first") < F.col("first"))
-    return found.select(F.struct(*[F.col("p")[k].alias(k) for k in LINE]).alias("a"), F.struct(*LINE).alias("b")).distinct()
-
-
 def kept_places(docs: DataFrame, most: int) -> DataFrame:
     """known, doc, version, kept and firsts: of each document, the places of its lines that stay, and of those that occur there first."""
     rows = places(docs).select("known", "doc", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
     rows = rows.select(F.xxhash64("line").alias("h"), F.hash("line").alias("c"), F.struct(*PLACE).alias("first"), "line")
-    lines = bucketed(rows.groupBy(*LINE).agg(F.min("first").alias("first"), F.any_value("line").alias("line")), "distinct-lines", *LINE)
+    distinct = rows.groupBy(*LINE).agg(F.min("first").alias("first"), F.any_value("line").alias("line"))
+    lines = bucketed(distinct.withColumn("keys", segment_keys(F.col("line"), most)), "distinct-lines", *LINE)
     near = near_lines(lines, most).withColumn("near", F.lit(True))
     marked = lines.select(*LINE, "first").join(near.hint("merge"), LINE, "left")
     return marked.groupBy("first.known", "first.doc", "first.version").agg(F.count("*").alias("firsts"), F.collect_list(F.when(F.col("near").isNull(), F.col("first.line_no"))).alias("kept"))
