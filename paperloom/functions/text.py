@@ -142,7 +142,7 @@ def alphabetic(n: Column) -> Column:
         more = s["rest"] > 0
         return F.struct(F.when(more, F.floor((s["rest"] - 1) / 26)).otherwise(s["rest"]).cast("long").alias("rest"), F.when(more, F.concat(digit, s["out"])).otherwise(s["out"]).alias("out"))
 
-    letters = F.greatest(F.lit(1), F.ceil(F.log(F.lit(26.0), F.greatest(n, F.lit(1)) + 1)).cast("int") + 1)
+    letters = F.greatest(F.lit(1), F.ceil(F.log(26.0, F.greatest(n, F.lit(1)) + 1)).cast("int") + 1)
     out = F.aggregate(F.sequence(F.lit(1), letters), start, step, lambda s: s["out"])
     return F.when(n < 1, "a").otherwise(out)
 
