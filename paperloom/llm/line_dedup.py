@@ -80,38 +80,43 @@ def patterns(edits: int, segments: int) -> list[dict]:
     return out
 
 
-_KEYS = "array<struct<key:bigint,own:boolean>>"
-
-
-def segment_keys(line: Column, most: int) -> Column:
-    """array<struct<key, own>>: the line's keys as the shorter (own) and as the longer of a pair, one of edits + 1 segments each."""
-    n, out = F.length(line), []
-
-    def step(size: Column) -> Column:
-        return F.when(size < 2 * STEP, size).otherwise(size - F.pmod(size, F.lit(STEP)))
-
-    def key(own: bool, *parts) -> Column:
-        return F.struct(F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("key"), F.lit(own).alias("own"))
-
-    for edits in range(1, most + 1):
-        for longer in range(edits + 1):
-            size, m = n - longer, edits + 1
-            ends = F.floor(step(size) / m).cast("int")
-            room = size - 2 * ends
-            outer = [key(longer == 0, edits, 0, step(size), F.substring(line, F.lit(1), ends)), key(longer == 0, edits, edits, step(size), F.substring(line, n - ends + 1, ends))]
-            inner = []
-            for k in range(1, edits):
-                start = ends + F.floor(room * (k - 1) / (edits - 1)).cast("int")
-                width = ends + F.floor(room * k / (edits - 1)).cast("int") - start
-                for shift in range(max(-k, longer - (edits - k)), min(k, longer + edits - k) + 1):
-                    inner.append(key(longer == shift == 0, edits, k, size, F.substring(line, start + shift + 1, width)))
-            fits, none = (size > 0) & (allowed(size, most) == edits), F.array().cast(_KEYS)
-            # The outer keys of the next longer size are the same where nothing changes between.
-            new = F.lit(True) if longer == 0 else (step(size) != step(size + 1)) | (allowed(size + 1, most) != edits)
-            out.append(F.when(fits & new, F.array(*outer)).otherwise(none))
-            if inner:
-                out.append(F.when(fits, F.array(*inner)).otherwise(none))
-    return F.concat(*out)
+def with_keys(lines: DataFrame, most: int) -> DataFrame:
+    """``lines`` (with line) and ``keys``, array<struct<key, own>>: the line's keys as the shorter (own) and as the longer of a pair, one of edits + 1 segments each; null where a key doesn't apply.
+
+    What the keys share is computed once, in columns of its own."""
+    names, line = lines.columns, F.col("line")
+    out = lines.withColumn("_n", F.length("line"))
+    out = out.withColumns({f"_size{k}": F.col("_n") - k for k in range(-1, most + 1)})
+    out = out.withColumns({f"_step{k}": F.when(F.col(f"_size{k}") < 2 * STEP, F.col(f"_size{k}")).otherwise(F.col(f"_size{k}") - F.pmod(F.col(f"_size{k}"), F.lit(STEP))) for k in range(-1, most + 1)})
+    out = out.withColumns({f"_most{k}": F.when(F.col(f"_size{k}") > 0, allowed(F.col(f"_size{k}"), most)).otherwise(0) for k in range(-1, most + 1)})
+    kinds = [(edits, longer) for edits in range(1, most + 1) for longer in range(edits + 1)]
+    out = out.withColumns({f"_ends{e}_{k}": F.floor(F.col(f"_step{k}") / (e + 1)).cast("int") for e, k in kinds})
+    # The outer keys of the next longer size are the same where nothing changes between.
+    new = lambda k: F.lit(True) if k == 0 else (F.col(f"_step{k}") != F.col(f"_step{k - 1}")) | (F.col(f"_most{k}") != F.col(f"_most{k - 1}"))
+    out = out.withColumns({f"_new{k}": new(k) for k in range(most + 1)})
+
+    def keys(edits: int, longer: int, certain: bool) -> list[Column]:
+        n, size, step, ends = F.col("_n"), F.col(f"_size{longer}"), F.col(f"_step{longer}"), F.col(f"_ends{edits}_{longer}")
+        fits = F.lit(True) if certain else F.col(f"_most{longer}") == edits
+
+        def key(own: bool, test: Column | None, part: int, length: Column, text: Column) -> Column:
+            made = F.struct(F.xxhash64(F.lit(edits), F.lit(part), length, text).alias("key"), F.lit(own).alias("own"))
+            return made if test is None else F.when(test, made)
+
+        outer = None if certain and not longer else fits & F.col(f"_new{longer}")
+        found = [key(not longer, outer, 0, step, F.substring(line, F.lit(1), ends)), key(not longer, outer, edits, step, F.substring(line, n - ends + 1, ends))]
+        for k in range(1, edits):
+            # Between the outer segments the rest is cut evenly.
+            start = ends if k == 1 else ends + F.floor((size - 2 * ends) * (k - 1) / (edits - 1)).cast("int")
+            width = size - 2 * ends if edits == 2 else ends + F.floor((size - 2 * ends) * k / (edits - 1)).cast("int") - start
+            for shift in range(max(-k, longer - (edits - k)), min(k, longer + edits - k) + 1):
+                found.append(key(longer == shift == 0, None if certain else fits, k, size, F.substring(line, start + shift + 1, width)))
+        return found
+
+    # Lines that are long enough for all edits at every length they may have as the longer need no tests.
+    usual = F.array(*[x for k in range(most + 1) for x in keys(most, k, True)])
+    others = F.array(*[x for e, k in kinds for x in keys(e, k, False)])
+    return out.select(*names, F.when(F.col(f"_most{most}") == most, usual).otherwise(others).alias("keys"))
 
 
 def finer_keys(line: Column, segments: int, most: int) -> Column:
@@ -256,7 +261,7 @@ def in_blocks(crowded: DataFrame) -> DataFrame:
 
 def near_lines(lines: DataFrame, most: int) -> DataFrame:
     """h, c of the distinct ``lines`` (h, c, first, line, keys) that are near an earlier one."""
-    since, entries, found = made(), lines.select(*LINE, F.explode("keys").alias("e")).select(*LINE, "e.*"), []
+    since, entries, found = made(), lines.select(*LINE, F.explode("keys").alias("e")).where("e IS NOT NULL").select(*LINE, "e.*"), []
     for segments in (*FINER, None):
         shared = met(entries)
         asked = shared.groupBy(*LINE).agg(F.max(F.col("n") > CROWDED).alias("crowded"))
@@ -283,7 +288,7 @@ def kept_places(docs: DataFrame, most: int) -> DataFrame:
     rows = places(docs).select("known", "doc", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
     rows = rows.select(F.xxhash64("line").alias("h"), F.hash("line").alias("c"), F.struct(*PLACE).alias("first"), "line")
     distinct = rows.groupBy(*LINE).agg(F.min("first").alias("first"), F.any_value("line").alias("line"))
-    lines = bucketed(distinct.withColumn("keys", segment_keys(F.col("line"), most)), "distinct-lines", *LINE)
+    lines = bucketed(with_keys(distinct, most), "distinct-lines", *LINE)
     near = near_lines(lines, most).withColumn("near", F.lit(True))
     marked = lines.select(*LINE, "first").join(near.hint("merge"), LINE, "left")
     return marked.groupBy("first.known", "first.doc", "first.version").agg(F.count("*").alias("firsts"), F.collect_list(F.when(F.col("near").isNull(), F.col("first.line_no"))).alias("kept"))

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,10 +57,23 @@ def clean(spark: SparkSession, since: int = 0, newest: int = 0) -> None:
     del _made[since:end]
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is run inside go when it has ended, as its result is a table by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -68,7 +82,8 @@ def bucketed(df: DataFrame, name: str, *columns: str, codec: str = "zstd") -> Da
     spark = df.sparkSession
     path, table = new_path(spark, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.format("parquet").option("compression", codec).option("path", path).bucketBy(buckets, *columns).saveAsTable(table)
+    with shuffles_dropped(spark):
+        df.write.format("parquet").option("compression", codec).option("path", path).bucketBy(buckets, *columns).saveAsTable(table)
     _names[path] = table
     return spark.table(table)
 
