@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -62,10 +62,10 @@ def inventory_diff(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return m.join(f, "path", "full_outer").select("path", d.alias("difference")).where("difference IS NOT NULL")
 
 
-def image_files(references: DataFrame, files: DataFrame) -> DataFrame:
-    """ref_id, path: the file of the same path, else the only file of the same folded name, else null."""
-    base = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
-    exact = references.join(files.select("path", F.lit(True).alias("is")), "path", "left")
+def image_files(references: DataFrame, files: DataFrame, within: Column | None = None) -> DataFrame:
+    """ref_id, path: the file of the same path, else the only file of the same folded name (of equal ``within``, an expression of path), else null."""
+    base = F.struct(within if within is not None else F.lit(""), F.lower(F.regexp_extract("path", r"([^/\\]*)$", 1)))
+    exact = references.join(files.select("path", F.lit(True).alias("is")).distinct(), "path", "left")
     only = files.select(base.alias("base"), F.col("path").alias("by_name")).groupBy("base").agg(F.count("*").alias("n"), F.min("by_name").alias("by_name")).where("n = 1")
     return exact.withColumn("base", base).join(only, "base", "left").select("ref_id", F.when(F.col("is"), F.col("path")).otherwise(F.col("by_name")).alias("path"))
 
