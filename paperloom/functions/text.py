@@ -82,19 +82,78 @@ def compact(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 
+def _widened(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None or "\t" not in x else x.expandtabs(2))
+
+
 def structured(text: Column) -> Column:
-    """Line ends to LF, tabs to two spaces, no white space at line ends, no blank lines at either end."""
-    t = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\t", "  ")
+    """Composed text with line ends as LF, tabs to the next even column, no white space at line ends, no blank lines at either end."""
+    t = F.pandas_udf(_widened, StringType())(nfc(F.regexp_replace(text, "\r\n?", "\n")))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "(?m)[ \\x{0b}\\x{0c}]+$", ""), "^\n+", ""), "\n+$", "")
 
 
 def clean_markdown(text: Column) -> Column:
-    """Structured text with no doubled bullet, two line feeds at most, one at the end (none if empty)."""
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "(?m)[ \t]+$", ""), r"(?m)^(\s*)[-*+]\s+[•·]\s*", "$1- ")
+    """Composed text with no doubled bullet, two line feeds at most, one at the end (none if empty)."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(nfc(text), "\r\n?", "\n"), "(?m)[ \t]+$", ""), r"(?m)^(\s*)[-*+]\s+[•·]\s*", "$1- ")
     t = F.regexp_replace(F.regexp_replace(t, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
     return F.when(t == "", "").otherwise(F.concat(t, F.lit("\n")))
 
 
+# Markers that recognition doubles or invents, and what they become.
+DOUBLED = (
+    (r"(?mi)^(\s*)(?:i|ii|iii|iv|v|vi|vii)\.\s+((?:I|II|III|IV|V|VI|VII)\.\s*)", "$1$2"),
+    (r"(?m)^(\s*)(\d+)\.\s+\2\.\s+", "$1$2. "),
+    (r"(?m)^(\s*)[-+*]\s+[-+*]\s+", "$1- "),
+    (r"(?i)<br>\s*[-+*]\s+[-+*]\s+", "<br>- "),
+    (r"(?i)<br>\s*[AB]\.\s*[−–-]\s*", "<br>− "),
+)
+INVENTED = (r"(?i)1\.\s*(BM\.QT\.TCKT\.01)\s*,?\s*<br>\s*2\.\s*(BM\.QT\.TCKT\.02)", "$1<br>$2")
+NOISE, INTERPRETATION = ("petrolimex aviation",), ("tt", "nội dung", "diễn giải", "hồ sơ")
+
+
+def rewritten_markers(text: Column) -> Column:
+    """Each doubled or invented marker once, as it was meant."""
+    t = F.regexp_replace(text, "\r\n?", "\n")
+    for pattern, becomes in (*DOUBLED, INVENTED):
+        t = F.regexp_replace(t, pattern, becomes)
+    return t
+
+
+def is_noise(content: Column) -> Column:
+    """A stray item ``a. x`` or a logo's text alone."""
+    c = F.lower(compact(content))
+    return c.rlike(r"^a\.\s*x$") | c.isin(*NOISE)
+
+
+def is_interpretation_table(content: Column) -> Column:
+    """GFM rows of four cells each, whose first is the known header or begins with a number; the row of dashes doesn't count."""
+    lines = F.filter(F.split(content, "\n"), lambda x: F.trim(x) != "")
+    rows = F.filter(F.transform(lines, cells), lambda r: ~is_separator(r))
+    first = F.transform(F.get(rows, F.lit(0)), F.lower)
+    known = (first == F.array(*map(F.lit, INTERPRETATION))) | F.get(first, F.lit(0)).rlike(r"^\d+$")
+    return F.coalesce((F.size(rows) > 0) & F.forall(rows, lambda r: F.size(r) == 4) & known, F.lit(False))
+
+
+def display_name(path: Column, longest: int = 180) -> Column:
+    """A file's name in plain characters, cut to ``longest``; ``document`` for none."""
+    name = F.regexp_replace(F.trim(basename(F.coalesce(F.nullif(path, F.lit("")), F.lit("document")))), r"[^A-Za-z0-9._ -]+", "_")
+    return F.coalesce(F.nullif(F.substring(name, 1, longest), F.lit("")), F.lit("document"))
+
+
+def stripped_response(text: Column) -> Column:
+    """An engine's answer without a code fence around it and with one line feed at the end; empty if nothing is left."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    t = strip(F.regexp_replace(F.regexp_replace(strip(text), r"^```[^\n]*\n", ""), r"```$", ""))
+    return F.when(t == "", "").otherwise(F.concat(t, F.lit("\n")))
+
+
+def page_list(text: Column) -> Column:
+    """array<int>, ascending, of distinct pages in a text like ``3, 1,3``; null if there is none or one is no page."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+    pages = F.transform(parts, lambda x: x.try_cast("int"))
+    return F.when((F.size(parts) > 0) & F.forall(pages, lambda p: F.coalesce(p >= 1, F.lit(False))), F.array_sort(F.array_distinct(pages)))
+
+
 def escape_cell(text: Column) -> Column:
     return F.replace(F.replace(F.trim(text), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
 

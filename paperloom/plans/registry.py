@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from paperloom.plans import check_plans, citing_plans, elements_plans, ingest_plans, invariant_plans, job_plans, page_plans, tree_plans  # noqa: E402, F401  they register themselves
+from paperloom.plans import check_plans, citing_plans, elements_plans, ingest_plans, invariant_plans, job_plans, page_plans, repair_plans, tree_plans  # noqa: E402, F401  they register themselves

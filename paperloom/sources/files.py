@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
+import multiprocessing
+import os
 import re
+import signal
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,11 +52,22 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 
 
 def write_commit(tables: dict[str, DataFrame], path: str) -> None:
-    """A run's tables, then its manifest: a run without a manifest is not committed. Nothing is overwritten."""
-    first = next(iter(tables.values()))
-    for name, frame in tables.items():
-        frame.write.mode("errorifexists").parquet(f"{path}/{name}")
-    inventory(first.sparkSession, path, list(tables)).coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+    """A run's tables and their manifest, under a name of their own until all has been read back as written; only then the run has its path. Nothing is overwritten."""
+    spark = next(iter(tables.values())).sparkSession
+    place, staged = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(place):
+        raise FileExistsError(f"{path} is committed already")
+    hidden = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    try:
+        for name, frame in tables.items():
+            frame.write.mode("errorifexists").parquet(f"{staged}/{name}")
+        inventory(spark, staged, list(tables)).coalesce(1).write.mode("errorifexists").json(f"{staged}/manifest")
+        read_commit(spark, staged, list(tables))
+        if not system.rename(hidden, place):
+            raise FileExistsError(f"{path} could not be committed")
+    finally:
+        system.delete(hidden, True)
 
 
 def inventory(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -207,19 +224,62 @@ def bundle(files: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
-def run_engine(files: DataFrame, engine: Callable[[bytes], tuple[str, str]], attempts: int = 1) -> DataFrame:
-    """path, markdown, tree, error: an engine plugged in over a binaryFile frame, with its failures as rows."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def limited(engine: Callable[[bytes], tuple[str, str]], content: bytes, seconds: float | None) -> tuple[str, str]:
+    """The engine's result; with a limit, in a process of its own group, which is killed with all that it started when the time is over."""
+    if seconds is None:
+        return engine(content)
+    context = multiprocessing.get_context("fork")
+    here, there = context.Pipe(duplex=False)
+
+    def work() -> None:
+        os.setsid()
+        try:
+            there.send((True, engine(content)))
+        except BaseException as e:  # noqa: BLE001  handed to the parent
+            there.send((False, f"{type(e).__name__}: {e}"))
+
+    child = context.Process(target=work, daemon=True)
+    child.start()
+    there.close()
+    try:
+        if not here.poll(seconds):
+            raise TimeoutError(f"no result in {seconds:g} s")
+        sound, found = here.recv()
+    except EOFError:
+        raise RuntimeError("the engine ended without a result") from None
+    finally:
+        with contextlib.suppress(ProcessLookupError):
+            os.killpg(child.pid, signal.SIGKILL)
+        child.kill()
+        child.join(5)
+        here.close()
+    if not sound:
+        raise RuntimeError(found)
+    return found
+
+
+def run_engine(files: DataFrame, engine: Callable[[bytes], tuple[str, str]], attempts: int = 1, seconds: float | None = None, faults: Callable[[str, str], list[str]] | None = None) -> DataFrame:
+    """path, markdown, tree, error, attempts: an engine plugged in over a binaryFile frame, with its failures as rows.
+
+    A result with ``faults`` (names of what is wrong with it) counts as a failure and is asked for again, up to
+    ``attempts`` times; ``seconds`` is the limit of one attempt.  Reads a file at a time."""
+
+    def one(content: bytes) -> tuple:
+        error = None
+        for k in range(1, attempts + 1):
+            try:
+                markdown, tree = limited(engine, content, seconds)
+                if not (wrong := faults(markdown, tree) if faults else []):
+                    return markdown, tree, None, k
+                error = f"faults: {', '.join(wrong)}"
+            except Exception as e:  # the engine's own errors are data here
+                error = f"{type(e).__name__}: {e}"[:400]
+        return None, None, error, attempts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                for left in reversed(range(attempts)):
-                    try:
-                        rows.append((path, *engine(content), None))
-                        break
-                    except Exception as e:  # the engine's own errors are data here
-                        if not left:
-                            rows.append((path, None, None, f"{type(e).__name__}: {e}"[:400]))
-            yield pd.DataFrame(rows, columns=["path", "markdown", "tree", "error"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, markdown string, tree string, error string")
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                row = (path, *one(content.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (*[pa.string()] * 4, pa.int32()), strict=True)], names=["path", "markdown", "tree", "error", "attempts"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, markdown string, tree string, error string, attempts int")
