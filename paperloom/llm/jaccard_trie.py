@@ -46,13 +46,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import arrow_schema, by_batch, written
+from paperloom.llm.shared import arrow_schema, by_batch, tidy, written
 
 BLOCK = 1000
 #: Representatives of each result of a block.
 ENVOYS = 16
 #: Tokens that a task of step 2 gathers before it sends them, and that a bucket holds about.
-CHUNK, BUCKET = 1 << 20, 1 << 19
+CHUNK, BUCKET = 1 << 19, 1 << 18
 #: Words whose hashes a worker keeps at most.
 MOST_WORDS = 100_000
 _words: dict[bytes, int] = {}
@@ -168,6 +168,8 @@ def credits(docs: DataFrame, size: int, limit: Threshold, buckets: int, text_col
                     tokens, owners, held, needs = [], [], 0, {}
         if held:
             yield send()
+        tokens, owners, needs = [], [], {}
+        tidy()
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:  # what each class needs, and the credits given already
@@ -183,6 +185,8 @@ def credits(docs: DataFrame, size: int, limit: Threshold, buckets: int, text_col
         own = pair[np.repeat(several, size)]
         own = own[np.append(True, (own[1:] != own[:-1]).any(axis=1))] if len(own) else own
         who, n = np.unique(own[own[:, 1] != 0, 1], return_counts=True)
+        del pair, own
+        tidy()
         return pd.DataFrame({"short": who.view(np.int64), "credit": n.astype(np.int64), "needed": np.zeros(len(n), np.int64)})
 
     blobs = docs.select(F.col(text_col).alias("t")).mapInArrow(gather, "bucket long, blob binary")

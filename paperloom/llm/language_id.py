@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from paperloom.llm.shared import by_batch
+from paperloom.llm.shared import by_batch, tidy
 
 PROFILE = 300
 SAMPLE = 1500
@@ -115,6 +115,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
         for b in batches:
             said = [model.judge(t) for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in fields), pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], names=[*fields, "lang_pred", "score"])
+        tidy()
 
     schema = docs.select(*fields).schema.add("lang_pred", "string").add("score", "double")
     return docs.mapInArrow(run, schema)

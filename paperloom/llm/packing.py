@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import ROWS, arrow_schema
+from paperloom.llm.shared import ROWS, arrow_schema, tidy
 from paperloom.llm.units import library_encoder
 
 #: Documents of a bucket, about, and batches of rows that a task deals as one run.
@@ -97,6 +97,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, length: int, buc
                         rows.append((doc, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end]), dealt % buckets))
                         start = end
                 yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema=schema)
+        tidy()
 
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(cut, ddl)
 

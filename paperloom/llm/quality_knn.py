@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import by_batch
+from paperloom.llm.shared import by_batch, tidy
 
 PER_CLASS = 1500
 RANK, NEAREST, SHARP = 48, 15, 8
@@ -139,5 +139,6 @@ def predict(docs: DataFrame, model: Neighbours, text_col: str = "text") -> DataF
                 part = b.slice(k, 512)
                 x = np.array([features(t) for t in part.column(text_col).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in fields), pa.array(held.value.score(x), pa.float64())], names=[*fields, "quality_score"])
+        tidy()
 
     return docs.select(*fields).mapInArrow(run, docs.select(*fields).schema.add("quality_score", "double"))

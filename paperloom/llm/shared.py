@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,13 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.strip().split(" ") for c in ddl.split(","))])
 
 
+def tidy() -> None:
+    """Gives memory that is done with back to the system: a worker keeps what its largest batch took while it waits for other stages' tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def by_batch(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], ddl: str) -> DataFrame:
     """``function`` over ROWS rows at a time, columns as Python lists."""
     schema = arrow_schema(ddl)
@@ -102,6 +110,7 @@ def by_batch(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list
         for b in batches:
             for k in range(0, b.num_rows, ROWS):
                 yield pa.RecordBatch.from_pydict(function(b.slice(k, ROWS).to_pydict()), schema=schema)
+        tidy()
 
     return df.mapInArrow(run, ddl)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from paperloom.llm.shared import arrow_schema, by_batch
+from paperloom.llm.shared import arrow_schema, by_batch, tidy
 from paperloom.llm.units import library_encoder
 
 ENTRY = np.dtype([("id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("size", "<u4"), ("n", "<u4")])
@@ -104,6 +104,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
                     ids, sizes, counts, frames, held = [], [], [], [], 0
         if ids:
             yield close()
+        tidy()
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     ranged = rows.repartitionByRange("i", F.xxhash64("t")).sortWithinPartitions("i", F.xxhash64("t"))
