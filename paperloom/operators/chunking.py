@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from paperloom.functions import text
+from paperloom.functions import ids, text
 
 TARGET, MOST, STRUCTURAL = 350, 512, 2048
 STRUCTURES = ("TABLE", "LIST", "FLOWCHART")
@@ -51,28 +51,53 @@ def segments(elements: DataFrame, most: int = MOST) -> DataFrame:
 def group(parts: DataFrame, target: int = TARGET) -> DataFrame:
     """Adds ``chunk`` (from 1): a structural part is alone; a heading or another path begins a chunk, as does what would pass the target; a part above the target is alone as well.
 
-    An ordered fold over a document's parts inside the JVM; only sizes and paths enter it."""
-    row = F.struct("pos", "part", F.col("type").isin(*STRUCTURES).alias("alone"), (F.col("type").isin("HEADING", "TITLE")).alias("head"), F.array_join("path", "\u001f").alias("path"), "tokens")
+    An ordered fold over a document's parts inside the JVM, which carries the rows along and looks at sizes and paths only."""
+    row = F.struct("pos", "part", F.struct(*[c for c in parts.columns if c not in ("doc_id", "pos", "part")]).alias("rest"))
     docs = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("int").alias("size"), F.lit(True).alias("closed"), F.lit("").alias("path"), F.array().cast("array<int>").alias("out"))
 
     def step(s, x):
-        new = s["closed"] | x["alone"] | x["head"] | (s["path"] != x["path"]) | (s["size"] + x["tokens"] > target)
-        size = F.when(new, x["tokens"]).otherwise(s["size"] + x["tokens"])
+        r = x["rest"]
+        path, alone = F.array_join(r["path"], "\u001f"), r["type"].isin(*STRUCTURES)
+        new = s["closed"] | alone | r["type"].isin("HEADING", "TITLE") | (s["path"] != path) | (s["size"] + r["tokens"] > target)
+        size = F.when(new, r["tokens"]).otherwise(s["size"] + r["tokens"])
         chunk = s["chunk"] + new.cast("int")
-        return F.struct(chunk.alias("chunk"), size.alias("size"), (x["alone"] | (x["tokens"] > target)).alias("closed"), x["path"].alias("path"), F.array_append(s["out"], chunk).alias("out"))
+        return F.struct(chunk.alias("chunk"), size.alias("size"), (alone | (r["tokens"] > target)).alias("closed"), path.alias("path"), F.array_append(s["out"], chunk).alias("out"))
 
     numbered = docs.select("doc_id", "rows", F.aggregate("rows", start, step, lambda s: s["out"]).alias("chunks"))
-    at = numbered.select("doc_id", F.posexplode(F.arrays_zip("rows", "chunks")).alias("k", "x")).select("doc_id", "x.rows.pos", "x.rows.part", F.col("x.chunks").alias("chunk"))
-    return parts.join(at, ["doc_id", "pos", "part"])
+    return numbered.select("doc_id", F.explode(F.arrays_zip("rows", "chunks")).alias("x")).select("doc_id", "x.rows.pos", "x.rows.part", "x.rows.rest.*", F.col("x.chunks").alias("chunk"))
+
+
+def segment_ids(grouped: DataFrame) -> DataFrame:
+    """Adds the ids that a part's chain goes by: block_id, element_id, span_id, anchor_id; ``grouped`` has source_sha256."""
+    name = lambda of, *more: ids.digest_id(of, F.col("source_sha256"), F.col("pos"), *more)
+    return grouped.withColumns({"block_id": name("block"), "element_id": name("element", F.col("type")), "span_id": name("span", F.col("type")), "anchor_id": name("anchor", F.col("type"))})
+
+
+def canonical(value: Column) -> Column:
+    """JSON of a struct with its fields in the order of their names, nulls written, control characters in small hexadecimal digits."""
+    text_ = F.to_json(value, {"ignoreNullFields": "false"})
+    for code in (0x0B, 0x0E, 0x0F, 0x1A, 0x1B, 0x1C, 0x1D, 0x1E, 0x1F):
+        text_ = F.regexp_replace(text_, rf"(?<!\\)((?:\\\\)*)\\u00{code:02X}", rf"$1\\u00{code:02x}")
+    return text_
 
 
 def chunks(grouped: DataFrame) -> DataFrame:
-    """doc_id, chunk, parts, tokens, first_pos, last_pos, text, content_hash, chunk_id."""
-    every = F.array_sort(F.collect_list(F.struct("pos", "part", "content")))
-    per = grouped.groupBy("doc_id", "chunk").agg(F.count("*").alias("parts"), F.sum("tokens").alias("tokens"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.array_join(F.transform(every, lambda x: F.trim(x["content"])), "\n\n").alias("text"))
-    out = per.withColumn("content_hash", F.sha2("text", 256))
-    return out.withColumn("chunk_id", F.concat(F.lit("doc"), F.col("doc_id"), F.lit("#semantic-"), F.substring(F.sha2(F.concat_ws("|", "doc_id", "chunk", "content_hash"), 256), 1, 32)))
+    """doc_id, chunk, parts, tokens, first_pos, last_pos, text, content_hash, chunk_id: the id is the family's and a digest of the canonical JSON of source, path, text and segments.
+
+    ``grouped`` has family_id, source_sha256 and the ids of ``segment_ids``."""
+    segment = {"block_id": F.col("block_id"), "char_end": F.col("end"), "char_start": F.col("start"), "element_type": F.col("type"), "normalized_span_id": F.col("span_id"), "raw_sha256": F.sha2("content", 256), "source_anchor_id": F.col("anchor_id"), "source_element_id": F.col("element_id")}
+    every = F.array_sort(F.collect_list(F.struct("pos", "part", F.regexp_replace("content", r"^\s+|\s+$", "").alias("t"), F.struct(*[c.alias(n) for n, c in segment.items()]).alias("segment"), "path")))
+    per = grouped.groupBy("doc_id", "chunk").agg(every.alias("s"), F.sum("tokens").alias("tokens"), F.min("family_id").alias("family_id"), F.min("source_sha256").alias("source_sha256"))
+    out = per.withColumn("text", F.array_join(F.transform("s", lambda x: x["t"]), "\n\n"))
+    payload = F.struct(F.get("s", F.lit(0))["path"].alias("heading_path"), F.transform("s", lambda x: x["segment"]).alias("segments"), "source_sha256", "text")
+    name = F.concat("family_id", F.lit("#semantic-"), F.substring(F.sha2(canonical(payload), 256), 1, 32))
+    return out.select("doc_id", "chunk", F.size("s").alias("parts"), "tokens", F.get("s", F.lit(0))["pos"].alias("first_pos"), F.element_at("s", -1)["pos"].alias("last_pos"), "text", F.sha2("text", 256).alias("content_hash"), name.alias("chunk_id"))
+
+
+def oversize(parts: DataFrame, most: int = STRUCTURAL) -> DataFrame:
+    """doc_id, pos, tokens of structural elements over their limit, which can't be cut: a document that has one is not to be chunked."""
+    return parts.where(F.col("type").isin(*STRUCTURES) & (F.col("tokens") > most)).select("doc_id", "pos", "tokens")
 
 
 def report(c: DataFrame, most: int = MOST) -> DataFrame:

@@ -19,13 +19,18 @@ def _so_far(*order: str) -> W:
     return _doc(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def heading_paths(elements: DataFrame) -> DataFrame:
-    """doc_id, pos, path: at most two levels. A title resets the path to itself; else the first heading is the root, and each later one the second level."""
+def with_heading_paths(elements: DataFrame) -> DataFrame:
+    """``elements`` and path: at most two levels. A title resets the path to itself; else the first heading is the root, and each later one the second level."""
     own = F.struct("pos", "content")
     root = F.coalesce(F.last(F.when(F.col("type") == "TITLE", own), True).over(_so_far()), F.first(F.when(F.col("type") == "HEADING", own), True).over(_so_far()))
     rows = elements.withColumn("root", root).withColumn("second", F.last(F.when(F.col("type") == "HEADING", own), True).over(_so_far()))
     path = F.when(F.col("root").isNull(), F.array().cast("array<string>")).when(F.col("second.pos") > F.col("root.pos"), F.array("root.content", "second.content")).otherwise(F.array("root.content"))
-    return rows.select("doc_id", "pos", F.filter(F.transform(path, text.compact), lambda x: x != "").alias("path"))
+    return rows.select(*elements.columns, F.filter(F.transform(path, text.compact), lambda x: x != "").alias("path"))
+
+
+def heading_paths(elements: DataFrame) -> DataFrame:
+    """doc_id, pos, path of ``with_heading_paths``."""
+    return with_heading_paths(elements.select("doc_id", "pos", "type", "content")).select("doc_id", "pos", "path")
 
 
 def heading_stack(elements: DataFrame, deepest: int = 6) -> DataFrame:
@@ -103,10 +108,13 @@ def boilerplate(lines: DataFrame, pages: DataFrame, share: float = 0.6, longest:
     return per.join(pages, "doc_id").where(F.col("on_pages") >= need).select("doc_id", "line", "on_pages")
 
 
-def without_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Rows whose folded line isn't boilerplate of its document."""
-    keyed = lines.withColumn("line", F.lower(text.compact(F.col("content"))))
-    return keyed.join(repeated.select("doc_id", "line"), ["doc_id", "line"], "left_anti").drop("line")
+def without_boilerplate(lines: DataFrame, share: float = 0.6, longest: int = 120) -> DataFrame:
+    """Rows whose folded line isn't ``boilerplate`` of its document, whose last page tells how many pages there are; one shuffle by document."""
+    line, w = F.lower(text.compact(F.col("content"))), W.partitionBy("doc_id", "_line")
+    keyed = lines.withColumn("_line", line)
+    seen = keyed.withColumns({"_on": F.size(F.collect_set("page").over(w)), "_pages": F.max("page").over(W.partitionBy("doc_id"))})
+    repeated = (F.col("_line") != "") & (F.length("_line") <= longest) & (F.col("_on") >= F.greatest(F.lit(3), F.floor(share * F.col("_pages") + 0.5)))
+    return seen.where(~repeated).select(*lines.columns)
 
 
 def margin_boilerplate(rows: DataFrame, height: int, margin: float = 0.11, fewest: int = 4) -> DataFrame:

@@ -115,7 +115,7 @@ def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FOLDED} SELECT e.doc_id, e.pos, e.content FROM elements e ANTI JOIN rep ON e.doc_id = rep.doc_id AND lower({_compact('e.content')}) = rep.line")
 def without_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.without_lines(elements(spark, sf_dir), _repeated(spark, sf_dir)).select("doc_id", "pos", "content")
+    return E.without_boilerplate(elements(spark, sf_dir)).select("doc_id", "pos", "content")
 
 
 _ANCHORS = f"""{ELEMENTS_SQL}, total AS (SELECT doc_id, max(page) AS pages FROM elements GROUP BY doc_id),
@@ -293,19 +293,24 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = elements(spark, sf_dir)
-    pathed = own.join(E.heading_paths(own), ["doc_id", "pos"]).where(F.trim("content") != "")
+    pathed = E.with_heading_paths(own).where(F.trim("content") != "")
     return chunking.group(chunking.segments(pathed))
 
 
+def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("source_sha256"), F.concat(F.lit("doc-"), "doc_id").alias("family_id"))
+    return chunking.segment_ids(_grouped(spark, sf_dir).join(sources, "doc_id"))
+
+
 @query()
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-bounded ranges and the ordered grouping; a test compares both with plain loops."""
-    return chunking.chunks(_grouped(spark, sf_dir)).select("doc_id", "chunk", "parts", "tokens", "first_pos", "last_pos", "content_hash", "chunk_id")
+    return chunking.chunks(_identified(spark, sf_dir)).select("doc_id", "chunk", "parts", "tokens", "first_pos", "last_pos", "content_hash", "chunk_id")
 
 
 @query()
 def chunk_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.report(chunking.chunks(_grouped(spark, sf_dir)))
+    return chunking.report(chunking.chunks(_identified(spark, sf_dir)))
 
 
 @query()
