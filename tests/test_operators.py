@@ -8,6 +8,7 @@ import statistics
 import zipfile
 
 import pytest
+from urllib.parse import unquote
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,7 +202,7 @@ def test_docx_scan_and_catalog(spark, tmp_path):
     assert [(r["type"], r["level"], r["section"], r["content"]) for r in rows if "sub" in r["path"]] == [("TITLE", None, 0, "T"), ("HEADING", 2, 0, "H"), ("PARAGRAPH", None, 0, "text"), ("LIST", None, 1, "item"), ("TABLE", None, 1, "| a | b\\|c |\n| --- | --- |\n| d |  |")]
     assert [r["type"] for r in rows if "bad" in r["path"]] == ["ERROR"]
     facts = raw.select("path", files.upload_verdict(F.col("path"), F.col("length"), files.upload_facts(F.col("content"))).alias("v"))
-    assert {r["path"].rsplit("/", 1)[1]: r["v"] for r in facts.collect()} == {"bad.docx": "not_a_docx", "%C3%81%20b.docx": None} or {r["v"] for r in facts.collect()} == {"not_a_docx", None}
+    assert {unquote(r["path"].rsplit("/", 1)[1]): r["v"] for r in facts.collect()} == {"bad.docx": "not_a_docx", "Á b.docx": None}
 
 
 def test_engines_and_routes(spark):
