@@ -70,6 +70,14 @@ def image_files(references: DataFrame, files: DataFrame, within: Column | None =
     return exact.withColumn("base", base).join(only, "base", "left").select("ref_id", F.when(F.col("is"), F.col("path")).otherwise(F.col("by_name")).alias("path"))
 
 
+def markdown_only_images(markdown: DataFrame, files: DataFrame, structured: DataFrame) -> DataFrame:
+    """doc_id, path of the files (doc_id, path) that a document's Markdown (doc_id, markdown) names and its structure (doc_id, path) doesn't refer to."""
+    named = F.explode(F.regexp_extract_all("markdown", F.lit(r"!\[[^\]]*\]\(\s*<?([^)>]*?)>?\s*\)"), F.lit(1))).alias("target")
+    base = lambda c: F.regexp_extract(c, r"([^/\\]*)$", 1)
+    said = markdown.select("doc_id", named).select("doc_id", base("target").alias("base")).distinct()
+    return files.withColumn("base", base("path")).join(said, ["doc_id", "base"], "left_semi").join(structured, ["doc_id", "path"], "left_anti").select("doc_id", "path")
+
+
 def content_groups(files: DataFrame) -> DataFrame:
     """sha256, files, first_path, copies: files of equal content."""
     return files.groupBy("sha256").agg(F.count("*").alias("files"), F.min("path").alias("first_path"), (F.count("*") - 1).alias("copies"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.operators import merging
 from paperloom.plans.registry import query
 from paperloom.sources import trees
 from paperloom.sources.tables import table
@@ -96,3 +97,15 @@ def tree_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     policies = spark.range(2).select(F.md5(F.col("id").cast("string")).alias("content_sha256"), F.when(F.col("id") == 0, "DECORATIVE").otherwise("INFORMATIVE").alias("classification"), F.when(F.col("id") == 0, "BRAND_LOGO").otherwise("FIGURE").alias("role"), (F.col("id") == 1).alias("indexable"))
     found = trees.tree_assets(_images(spark, sf_dir), trees.tree_elements(_documents(spark, sf_dir)), policies)
     return found.withColumns({"paths": F.array_join("paths", ","), "elements": F.size("elements")})
+
+
+@query(
+    """WITH f AS (SELECT conv_id AS doc_id, turn, 'out/' || turn::VARCHAR || '.PNG' AS path FROM conversations WHERE conv_id % 4 <> 1) SELECT doc_id, path FROM f WHERE turn % 3 <> 1 AND turn % 6 <> 4"""
+)
+def markdown_only_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three files are named in Markdown, image blocks refer to some."""
+    own, t = table(spark, sf_dir, "conversations"), F.col("turn")
+    said = F.concat(F.lit("text ![a b]("), F.when(t % 2 == 0, "x/y/").otherwise(""), t, F.lit(".PNG) and [no]("), t + 100, F.lit(".PNG)"))
+    markdown = own.where(t % 3 != 1).groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.collect_list(said), "\n").alias("markdown"))
+    images = _images(spark, sf_dir).select("doc_id", "path")
+    return merging.markdown_only_images(markdown, images, images.where(F.regexp_extract("path", r"(\d+)", 1).cast("int") % 6 == 4))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import io
 import json
 import multiprocessing
@@ -11,6 +12,7 @@ import re
 import signal
 import uuid
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -121,34 +123,96 @@ def upload_verdict(name: Column, size: Column, facts: Column, most: int = 100_00
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_BLIP = "{http://schemas.openxmlformats.org/drawingml/2006/main}blip"
 DOCX_ROWS = "pos int, type string, level int, section int, content string"
+#: What a section's headers and footers are for, in the order in which they count.
+_MARGINS = [(tag, use) for tag in ("header", "footer") for use in ("default", "first", "even")]
+
+
+def _docx_text(e: ElementTree.Element) -> str:
+    marks = {f"{_W}br": "\n", f"{_W}tab": "\t"}
+    return "".join(marks.get(t.tag) or t.text or "" for t in e.iter() if t.tag in (f"{_W}t", *marks)).strip()
+
+
+def _docx_table(table: ElementTree.Element) -> str:
+    """GFM; a cell over several columns is followed by empty ones, one that goes on from above is empty."""
+    rows = []
+    for r in table.findall(f"{_W}tr"):
+        cells: list[str] = []
+        for c in r.findall(f"{_W}tc"):
+            span, down = c.find(f"{_W}tcPr/{_W}gridSpan"), c.find(f"{_W}tcPr/{_W}vMerge")
+            goes_on = down is not None and down.get(f"{_W}val") != "restart"
+            cells.append("" if goes_on else _docx_text(c).replace("|", "\\|").replace("\n", "<br>"))
+            cells += [""] * (int(span.get(f"{_W}val") or 1) - 1 if span is not None else 0)
+        rows.append(cells)
+    width = max(map(len, rows), default=0)
+    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+    return "\n".join([*lines[:1], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]) if width else ""
+
+
+def _docx_parts(z: zipfile.ZipFile) -> dict[str, str]:
+    """Id -> part, of the document's relations."""
+    if "word/_rels/document.xml.rels" not in z.namelist():
+        return {}
+    return {r.get("Id"): "word/" + r.get("Target", "").removeprefix("/word/") for r in ElementTree.fromstring(z.read("word/_rels/document.xml.rels"))}
 
 
 def docx_elements(content: bytes) -> list[tuple]:
-    """(pos, type, level, section, content) of a DOCX body: headings by style or outline, lists, tables as GFM, paragraphs."""
+    """(pos, type, level, section, content) of a DOCX body: headings by style or outline, lists, tables as GFM, paragraphs; then the texts of headers and footers, each once by its use and part.
+
+    A section that names no header of its own goes on with the one before, which is there already."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        ends = [] if body is None else list(body.iter(f"{_W}sectPr"))
+        parts, held = _docx_parts(z), set(z.namelist())
+        named = [(s, tag, use, parts.get(ref.get(f"{_R}id"))) for s, end in enumerate(ends) for tag, use in _MARGINS for ref in end.findall(f"{_W}{tag}Reference") if ref.get(f"{_W}type", "default") == use]
+        margins = {p: ElementTree.fromstring(z.read(p)) for _, _, _, p in named if p in held}
     out, section = [], 0
-    text_of = lambda e: "".join(t.text or "" if t.tag == f"{_W}t" else "\n" if t.tag == f"{_W}br" else "\t" for t in e.iter() if t.tag in (f"{_W}t", f"{_W}br", f"{_W}tab"))
     for e in body if body is not None else ():
         if e.tag == f"{_W}p":
             style, outline, numbered = (e.find(f"{_W}pPr/{_W}{n}") for n in ("pStyle", "outlineLvl", "numPr"))
             name = (style.get(f"{_W}val") or "").lower() if style is not None else ""
-            m, t = re.search(r"heading\s*(\d)", name), text_of(e).strip()
+            m, t = re.search(r"heading\s*(\d)", name), _docx_text(e)
             level = int(m[1]) if m else int(outline.get(f"{_W}val")) + 1 if outline is not None else None
-            kind = "TITLE" if name == "title" else "HEADING" if level else "LIST" if numbered is not None or name.startswith("list") else "CAPTION" if name == "caption" else "PARAGRAPH"
+            kind = "TITLE" if name == "title" else "HEADING" if level else "LIST" if numbered is not None or name.startswith("list") else "CAPTION" if "caption" in name else "PARAGRAPH"
             if t:
                 out.append((len(out), kind, level, section, t))
             section += e.find(f"{_W}pPr/{_W}sectPr") is not None
-        elif e.tag == f"{_W}tbl":
-            rows = [[text_of(c).strip().replace("|", "\\|").replace("\n", "<br>") for c in r.findall(f"{_W}tc")] for r in e.findall(f"{_W}tr")]
-            if rows:
-                width = max(map(len, rows))
-                lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-                out.append((len(out), "TABLE", None, section, "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])))
+        elif e.tag == f"{_W}tbl" and (t := _docx_table(e)):
+            out.append((len(out), "TABLE", None, section, t))
+    seen = set()
+    for s, tag, use, part in named:
+        for p in margins[part].iter(f"{_W}p") if part in margins else ():
+            t = _docx_text(p)
+            if t and (tag, use, part, t) not in seen:
+                seen.add((tag, use, part, t))
+                out.append((len(out), tag.upper(), None, s, t))
     return out
 
 
+def docx_assets(content: bytes) -> list[tuple]:
+    """(part, sha256, size, references) of the images in a DOCX body, in order of part."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        parts, held = _docx_parts(z), set(z.namelist())
+        used = Counter(parts.get(b.get(f"{_R}embed")) for b in ElementTree.fromstring(z.read("word/document.xml")).iter(_BLIP))
+        blobs = {p: z.read(p) for p in used if p in held}
+    return [(p, hashlib.sha256(b).hexdigest(), len(b), used[p]) for p, b in sorted(blobs.items())]
+
+
+def read_docx_assets(files: DataFrame) -> DataFrame:
+    """path, part, sha256, size, refs of the images in the DOCX files of a binaryFile frame; damaged files have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                with contextlib.suppress(zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    rows = [(path, *r) for r in docx_assets(content.as_py())]
+                    yield pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(("path", "part", "sha256", "size", "refs"))}, schema=pa.schema([("path", pa.string()), ("part", pa.string()), ("sha256", pa.string()), ("size", pa.int64()), ("refs", pa.int32())]))
+
+    return files.select("path", "content").mapInArrow(run, "path string, part string, sha256 string, size long, refs int")
+
+
 def read_docx(files: DataFrame) -> DataFrame:
     """path and DOCX_ROWS of the DOCX files of a binaryFile frame; a damaged file gives one row of type ERROR."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,10 +1,12 @@
 """Rules by their documented values and by plain loops, where the registered queries' SQL can't reach."""
 
 import hashlib
+import io
 import json
 import random
 import time
 import unicodedata
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +125,27 @@ def test_trees():
         list(trees.blocks("{}"))
 
 
+def test_docx_margins_tables_and_images(spark):
+    w, r = ('xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"', 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"')
+    p = lambda t, more="": f"<w:p>{more}<w:r><w:t>{t}</w:t></w:r></w:p>"
+    cell = lambda t, props="": f"<w:tc><w:tcPr>{props}</w:tcPr>{p(t)}</w:tc>"
+    end = lambda *refs: "<w:sectPr>" + "".join(f'<w:{tag}Reference w:type="{use}" r:id="{i}"/>' for tag, use, i in refs) + "</w:sectPr>"
+    table = f"""<w:tbl><w:tr>{cell("a", '<w:gridSpan w:val="2"/>')}</w:tr><w:tr>{cell("b", '<w:vMerge w:val="restart"/>')}{cell("c")}</w:tr><w:tr>{cell("gone", "<w:vMerge/>")}{cell("d")}</w:tr></w:tbl>"""
+    blip = '<w:p><w:r><a:blip xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" r:embed="i1"/></w:r></w:p>'
+    body = p("one", f"<w:pPr>{end(('header', 'default', 'h1'), ('footer', 'default', 'f1'))}</w:pPr>") + table + blip + blip + p("two") + end(("header", "first", "h1"), ("footer", "default", "f1"))
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w} {r}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", '<Relationships><Relationship Id="h1" Target="header1.xml"/><Relationship Id="f1" Target="footer1.xml"/><Relationship Id="i1" Target="media/image1.png"/></Relationships>')
+        z.writestr("word/header1.xml", f"<w:hdr {w}>{p('Head')}{p('Head')}{p(' ')}</w:hdr>")
+        z.writestr("word/footer1.xml", f"<w:ftr {w}>{p('Foot')}</w:ftr>")
+        z.writestr("word/media/image1.png", b"png")
+    df = spark.createDataFrame([("x.docx", raw.getvalue()), ("bad.docx", b"no")], "path string, content binary")
+    got = [(r["type"], r["section"], r["content"]) for r in files.read_docx(df).where("path = 'x.docx'").orderBy("pos").collect()]
+    assert got == [("PARAGRAPH", 0, "one"), ("TABLE", 1, "| a |  |\n| --- | --- |\n| b | c |\n|  | d |"), ("PARAGRAPH", 1, "two"), ("HEADER", 0, "Head"), ("FOOTER", 0, "Foot"), ("HEADER", 1, "Head")]
+    assert [tuple(r) for r in files.read_docx_assets(df).collect()] == [("x.docx", "word/media/image1.png", hashlib.sha256(b"png").hexdigest(), 3, 2)]
+
+
 def test_engines_have_limits_and_are_asked_again(spark, tmp_path):
     df = spark.createDataFrame([("slow", b"s"), ("bad", b"b"), ("dies", b"d"), ("good", b"g")], "path string, content binary").coalesce(1)
 
