@@ -40,6 +40,8 @@ from paperloom.llm.shared import arrow_schema, written
 PIVOTS, SAMPLE, SCALE = 32, 1000, 256
 #: Rows of a block, queries of a pack, packs of a slice (about).
 BLOCK, PACK, SLICE = 4096, 512, 8
+#: Sample vectors in a group that gets a pivot of its own, at least.
+CROWD = 3
 #: Candidates evaluated first in bound order; each step has four times as many as the one before.
 STEP = 64
 #: Beyond this, products of floats are no longer exact integers.
@@ -54,7 +56,7 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 
 def choose_pivots(vectors: DataFrame, count: int = PIVOTS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """By vector length, up to ``count`` pivots, farthest-first among about ``sample`` vectors of least hashed id."""
+    """By vector length, up to ``count`` pivots among about ``sample`` vectors of least hashed id: first those with most others near, each group once, as a near pivot tells all far vectors apart; then farthest-first."""
     n = max(1, vectors.count())
     low = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * sample / n))
     by: dict[int, list] = {}
@@ -63,11 +65,16 @@ def choose_pivots(vectors: DataFrame, count: int = PIVOTS, sample: int = SAMPLE)
     out = {}
     for size, rows in by.items():
         x = np.array(rows, np.float64)
-        at = [0]
-        far = np.linalg.norm(x - x[0], axis=1)
+        apart = np.sqrt(np.maximum(0, (x * x).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * x @ x.T))
+        close, at = apart < np.median(apart) / 2, []
+        while len(at) < count // 2 and (held := close.sum(axis=1)).max() >= CROWD:
+            at.append(int(held.argmax()))
+            close &= ~close[at[-1]]  # its group is covered
+        at = at or [0]
+        far = apart[at].min(axis=0)
         while len(at) < min(count, len(x)) and far.max() > 0:
             at.append(int(far.argmax()))
-            far = np.minimum(far, np.linalg.norm(x - x[at[-1]], axis=1))
+            far = np.minimum(far, apart[at[-1]])
         out[size] = x[at]
     return out
 
