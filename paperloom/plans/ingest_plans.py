@@ -10,6 +10,7 @@ from paperloom.functions import ids, text
 from paperloom.functions.ids import uuid5_sql
 from paperloom.operators import catalog, merging, resolve, route, versions
 from paperloom.plans.registry import query
+from paperloom.sources import scratch
 from paperloom.sources.tables import FILES_SQL, NAMED_SQL, files, named, table
 
 _FORMAT = "CASE WHEN lower(source_name) LIKE '%.pdf' THEN 'PDF' WHEN lower(source_name) LIKE '%.docx' THEN 'DOCX' WHEN lower(source_name) LIKE '%.doc' THEN 'DOC' WHEN lower(source_name) LIKE '%.png' OR lower(source_name) LIKE '%.jpg' THEN 'IMAGE' ELSE 'UNKNOWN' END"
@@ -53,9 +54,14 @@ def document_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(files(spark, sf_dir)).select("doc_id", "source_name", "normalized_name", "document_code", "family_id")
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with their identity, for the rules that each look at another part of it."""
+    return scratch.once(spark, "named-files", sf_dir, lambda: named(files(spark, sf_dir)).drop("text", "lang"))
+
+
 def known_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth document is registered, some under a second family; a family's versions are numbered by id and the last is ACTIVE."""
-    own = named(files(spark, sf_dir)).where("doc_id % 4 = 0")
+    own = _named(spark, sf_dir).where("doc_id % 4 = 0")
     own = own.withColumn("family_id", F.when(F.col("doc_id") % 16 == 0, F.concat("family_id", F.lit("-alt"))).otherwise(F.col("family_id")))
     w = W.partitionBy("family_id")
     rows = own.withColumns({"version_number": F.row_number().over(w.orderBy("doc_id")).cast("int"), "n": F.count("*").over(w)})
@@ -65,14 +71,14 @@ def known_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = named(files(spark, sf_dir)).where("doc_id % 4 <> 0")
+    own = _named(spark, sf_dir).where("doc_id % 4 <> 0")
     return own.withColumn("catalog_id", ids.catalog_id(F.col("source_path"), F.col("sha256"))).select("doc_id", "catalog_id", "source_name", "sha256", "document_code", "normalized_name", "family_id")
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules: content, code, name, similar name, new family."""
     entries, known = arriving(spark, sf_dir), known_versions(spark, sf_dir)
-    return resolve.resolve(entries, known, resolve.name_scores(entries, known))
+    return scratch.once(spark, "decisions", sf_dir, lambda: resolve.resolve(entries, known, resolve.name_scores(entries, known)))
 
 
 _KNOWN = f"""{NAMED_SQL}, known0 AS (SELECT *, (row_number() OVER (PARTITION BY family_id ORDER BY doc_id))::INT AS version_number, count(*) OVER (PARTITION BY family_id) AS n FROM (SELECT * REPLACE (CASE WHEN doc_id % 16 = 0 THEN family_id || '-alt' ELSE family_id END AS family_id) FROM named WHERE doc_id % 4 = 0)),
@@ -163,7 +169,7 @@ def review_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decided(spark, sf_dir).where("outcome <> 'CONFLICT'").join(arriving(spark, sf_dir).select("catalog_id", "sha256", F.col("doc_id").alias("pos")), "catalog_id")
-    return versions.assign(d, known_versions(spark, sf_dir))
+    return scratch.once(spark, "assignments", sf_dir, lambda: versions.assign(d, known_versions(spark, sf_dir)))
 
 
 _ASSIGNED = f"""{_DECIDED}, todo AS (SELECT * FROM decided WHERE outcome <> 'CONFLICT'), held AS (SELECT family_id, sha256, min((version_number, version_id)) AS h FROM known GROUP BY ALL),
