@@ -51,8 +51,11 @@ def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = written(media.with_media(table(spark, sf_dir, "documents")), "media")
-    return media.fingerprints(stored).withColumn("feature", F.concat_ws(":", F.size("landmarks"), F.hex(F.xxhash64("landmarks"))))
+    """Files and landmarks are stored; row groups are small, as a landmark is kept for some ten bytes of text."""
+    small = {"parquet.block.size": 16 << 20}
+    stored = written(media.with_media(table(spark, sf_dir, "documents")), "media", **small)
+    found = written(media.fingerprints(stored), "landmarks", **small)
+    return found.withColumn("feature", F.concat_ws(":", F.size("landmarks"), F.hex(F.xxhash64("landmarks")))).drop("landmarks")
 
 
 def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,11 +70,11 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd", **options: int) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
     with shuffles_dropped(df.sparkSession):
-        df.write.option("compression", codec).parquet(path)
+        df.write.options(compression=codec, **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
