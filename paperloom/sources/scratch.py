@@ -30,8 +30,13 @@ def once(spark: SparkSession, name: str, sf_dir: str, make: Callable[[], DataFra
     if key not in _held:
         path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
         _made.append(path)
-        frame = make()
-        frame.write.option("compression", "zstd").parquet(path)
+        frame, keep = make(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = spark.conf.get(keep, "false")
+        spark.conf.set(keep, "true")  # the job's shuffle files go when the table is there
+        try:
+            frame.write.option("compression", "zstd").parquet(path)
+        finally:
+            spark.conf.set(keep, before)
         _held[key] = spark.read.schema(frame.schema).parquet(path)
     return _held[key]
 
