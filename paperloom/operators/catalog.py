@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import posixpath
+from urllib.parse import unquote, urlsplit
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from paperloom.functions import ids, text
 
@@ -27,15 +33,25 @@ def media_type(name: Column) -> Column:
     return _looked_up(text.suffix(name), MEDIA, "application/octet-stream")
 
 
+def _is_link(paths: pd.Series) -> pd.Series:
+    return paths.map(lambda p: os.path.islink(unquote(urlsplit(p).path)))
+
+
 def scan_predicate(name: Column) -> Column:
     """Regular source files: not the office programs' lock files, of a known suffix."""
     return ~F.startswith(text.basename(name), F.lit("~$")) & (file_format(name) != "UNKNOWN")
 
 
-def scan(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """Catalog of the files under ``root``: Spark lists and reads them, whatever the store."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+def scan(spark: SparkSession, root: str, recursive: bool = True, part: str | None = None) -> DataFrame:
+    """Catalog of the files under ``root``, or under ``part``, a folder in it, by their paths from ``root``: Spark lists and reads them, whatever the store.
+
+    On a local disk symbolic links are left out."""
+    if part is not None and not f"{posixpath.normpath(part)}/".startswith(f"{posixpath.normpath(root)}/"):
+        raise ValueError(f"{part} is not under {root}")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(part or root)
     base = root.split("://")[-1].strip("/") + "/"
+    if "://" not in root or root.startswith("file:"):
+        found = found.where(~F.pandas_udf(_is_link, BooleanType())(F.col("path")))
     relative = F.substring_index(F.col("path"), base, -1)
     rows = found.select(relative.alias("source_path"), "length", "modificationTime", "content")
     if not recursive:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text
-from paperloom.operators import checks, chunking, math_pages, merging, route, versions
+from paperloom.operators import catalog, checks, chunking, math_pages, merging, ocr, route, versions
 from paperloom.operators import elements as E
 from paperloom.plans import registry
 from paperloom.sources import files, trees
@@ -193,6 +193,27 @@ def test_texts(spark):
     assert one(text.rewritten_markers(F.lit("1. 2. x\n4. 4. y"))) == "1. 2. x\n4. y"
 
 
+def test_scan_stays_under_its_root(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "sub" / "é a.pdf").write_bytes(b"x")
+    (tmp_path / "in" / "b.pdf").write_bytes(b"y")
+    (tmp_path / "c.pdf").write_bytes(b"z")
+    (tmp_path / "in" / "sub" / "link.pdf").symlink_to(tmp_path / "c.pdf")
+    paths = lambda **more: [r["source_path"] for r in catalog.scan(spark, f"{tmp_path}/in", **more).collect()]
+    assert paths() == ["b.pdf", "sub/é a.pdf"] and paths(part=f"{tmp_path}/in/sub") == ["sub/é a.pdf"]
+    for outside in (f"{tmp_path}", f"{tmp_path}/in/../x", f"{tmp_path}/inside"):
+        with pytest.raises(ValueError):
+            paths(part=outside)
+
+
+def test_signatures_are_no_headings(spark):
+    said = ["ĐẠI DIỆN BÊN GIAO", "KT. giám đốc", "CHƯƠNG ABC", "người lập", "điều 5 x", "• a"]
+    rows = [(1, k, 500, 600, 10.0, t) for k, t in enumerate(said)]
+    df = spark.createDataFrame(rows, "page int, row int, x0 int, x1 int, height double, text string")
+    got = [r["markdown"] for r in ocr.row_markdown(df, 5000).orderBy("row").collect()]
+    assert got == ["ĐẠI DIỆN BÊN GIAO", "KT. giám đốc", "## CHƯƠNG ABC", "người lập", "## điều 5 x", "- a"]
+
+
 def test_whole_tables_are_read(spark):
     lines = spark.read.parquet(f"{SF}/documents.parquet").select(F.explode(F.split("text", "\n"))).count()
     for name, column in (("semantic_groups", None), ("issue_scopes", None)):
