@@ -89,6 +89,7 @@ def library_encoder(path: str) -> UnitEncoder:
         specials = [t.content for t in own.get_added_tokens_decoder().values()]
         if any(set(t) & set(SPACE) for t in specials):
             raise ValueError("an added token holds white space, so texts can't be cut there")
+        special = re.compile("|".join(map(re.escape, specials)) or "(?!)").search
         pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         latin = re.compile("[\n -~À-ſ]*").fullmatch
         word = re.compile("( [A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)").fullmatch
@@ -101,10 +102,10 @@ def library_encoder(path: str) -> UnitEncoder:
         tails = {p: piece(p) for p in ",."} | {"": b""}
 
         def unit(u: str) -> bytes:
-            if len(u) <= LONGEST_KEPT and not any(t in u for t in specials):
-                if m := word(u):
+            if len(u) <= LONGEST_KEPT:
+                if m := word(u):  # letters alone hold no special token
                     return piece(m[1]) + tails[m[2]]
-                if latin(u):
+                if latin(u) and not special(u):
                     return b"".join(map(piece, pieces(u)))
             return array("I", own.encode(u, add_special_tokens=False).ids).tobytes()
 
