@@ -87,8 +87,8 @@ def library_encoder(path: str) -> UnitEncoder:
 
         own = Tokenizer.from_file(path)
         specials = [t.content for t in own.get_added_tokens_decoder().values()]
-        if any(set(t) & set(SPACE) for t in specials):
-            raise ValueError("an added token holds white space, so texts can't be cut there")
+        if any(set(t) & set(SPACE) or t.isalpha() for t in specials):
+            raise ValueError("an added token holds white space, where texts are cut, or is a word by itself")
         special = re.compile("|".join(map(re.escape, specials)) or "(?!)").search
         pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         latin = re.compile("[\n -~À-ſ]*").fullmatch
