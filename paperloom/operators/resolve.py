@@ -35,8 +35,10 @@ def _rule(families: Column, version: Column, outcome: str, reason: str, confiden
     )
 
 
-def resolve(entries: DataFrame, index: DataFrame, scores: DataFrame | None = None, threshold: float = 90.0) -> DataFrame:
-    """entries (catalog_id, sha256, document_code, normalized_name, family_id proposed) -> one decision each.
+def resolve(entries: DataFrame, index: DataFrame, scores: DataFrame | None = None, threshold: float = 90.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """entries (catalog_id, sha256, document_code, normalized_name, family_id proposed) -> one decision each, with the entry's columns named in ``keep``.
+
+    Entries of the same path and content share a catalog_id, so what else is known of one can't be joined back by it.
 
     Rules: equal content, equal code, equal name, similar name (``scores`` of ``name_scores``: always a
     conflict for review), else a new family.  Index keys are grouped before the joins, which are ordinary
@@ -55,7 +57,7 @@ def resolve(entries: DataFrame, index: DataFrame, scores: DataFrame | None = Non
         out = out.join(fuzzy_candidates(scores, threshold), "catalog_id", "left")
         rules.append(F.when(F.col("fuzzy").isNotNull(), F.struct(F.lit("CONFLICT").alias("outcome"), F.lit(None).cast("string").alias("family_id"), F.lit(None).cast("string").alias("matched_version_id"), F.col("fuzzy").alias("candidate_family_ids"), (F.col("best") / 100).alias("confidence"), F.lit("fuzzy_name_match_requires_review").alias("reason_code"))))
     rules.append(F.struct(F.lit("UNRELATED").alias("outcome"), F.col("family_id").alias("family_id"), F.lit(None).cast("string").alias("matched_version_id"), F.array().cast("array<string>").alias("candidate_family_ids"), F.when(F.col("document_code").isNotNull(), 1.0).otherwise(0.8).alias("confidence"), F.lit("no_known_family_match").alias("reason_code")))
-    d = out.select("catalog_id", F.coalesce(*rules).alias("d")).select("catalog_id", "d.*").withColumn("requires_human_review", F.col("outcome") == "CONFLICT")
+    d = out.select("catalog_id", *keep, F.coalesce(*rules).alias("d")).select("catalog_id", *keep, "d.*").withColumn("requires_human_review", F.col("outcome") == "CONFLICT")
     return d.withColumn("decision_id", ids.prefixed_uuid("res", F.col("catalog_id"), F.col("outcome"), F.col("reason_code"), F.col("family_id"), F.array_join(F.array_sort("candidate_family_ids"), ",")))
 
 

@@ -76,9 +76,9 @@ def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules: content, code, name, similar name, new family."""
+    """All rules: content, code, name, similar name, new family; a row each file, copies under one path too."""
     entries, known = arriving(spark, sf_dir), known_versions(spark, sf_dir)
-    return scratch.once(spark, "decisions", sf_dir, lambda: resolve.resolve(entries, known, resolve.name_scores(entries, known)))
+    return scratch.once(spark, "decisions", sf_dir, lambda: resolve.resolve(entries, known, resolve.name_scores(entries, known), keep=("doc_id", "sha256")))
 
 
 _KNOWN = f"""{NAMED_SQL}, known0 AS (SELECT *, (row_number() OVER (PARTITION BY family_id ORDER BY doc_id))::INT AS version_number, count(*) OVER (PARTITION BY family_id) AS n FROM (SELECT * REPLACE (CASE WHEN doc_id % 16 = 0 THEN family_id || '-alt' ELSE family_id END AS family_id) FROM named WHERE doc_id % 4 = 0)),
@@ -150,7 +150,7 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN r.review_id IS NULL THEN d.family_id ELSE r.pick END AS family_id, CASE WHEN r.review_id IS NULL THEN d.matched_version_id END AS matched_version_id, r.review_id IS NULL AND d.outcome = 'CONFLICT' AS requires_human_review FROM decided d LEFT JOIN reviewed r USING (decision_id)"""
 )
 def reviewed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decided(spark, sf_dir).join(arriving(spark, sf_dir).select("catalog_id", "doc_id"), "catalog_id")
+    d = decided(spark, sf_dir)
     r = d.where("outcome = 'CONFLICT' AND doc_id % 2 = 1").select(F.concat(F.lit("rv-"), "decision_id").alias("review_id"), F.col("decision_id").alias("original_decision_id"), F.lit("NEW_VERSION").alias("outcome"), F.get("candidate_family_ids", F.lit(0)).alias("family_id"), F.lit(None).cast("string").alias("matched_version_id"))
     return resolve.apply_reviews(d.drop("doc_id"), r)[0]
 
@@ -160,7 +160,7 @@ def reviewed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted AS (SELECT *, count(*) OVER (PARTITION BY decision_id) AS n FROM reviews) SELECT review_id, CASE WHEN decision_id = 'none' THEN 'unknown_decision' WHEN n > 1 THEN 'duplicate_review' ELSE 'not_a_conflict' END AS violation FROM counted WHERE decision_id = 'none' OR n > 1 OR outcome <> 'CONFLICT'"""
 )
 def review_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decided(spark, sf_dir).join(arriving(spark, sf_dir).select("catalog_id", "doc_id"), "catalog_id")
+    d = decided(spark, sf_dir)
     cols = [F.lit("NEW_VERSION").alias("outcome"), F.col("family_id"), F.lit(None).cast("string").alias("matched_version_id")]
     own = lambda n, test, of: d.where(test).select(F.concat(F.lit(f"rv{n}-"), "decision_id").alias("review_id"), of.alias("original_decision_id"), *cols)
     r = own(1, "doc_id % 7 = 1", F.col("decision_id")).unionByName(own(2, "doc_id % 21 = 1", F.col("decision_id"))).unionByName(own(3, "doc_id % 50 = 1", F.lit("none")))
@@ -168,7 +168,7 @@ def review_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decided(spark, sf_dir).where("outcome <> 'CONFLICT'").join(arriving(spark, sf_dir).select("catalog_id", "sha256", F.col("doc_id").alias("pos")), "catalog_id")
+    d = decided(spark, sf_dir).where("outcome <> 'CONFLICT'").withColumnRenamed("doc_id", "pos")
     return scratch.once(spark, "assignments", sf_dir, lambda: versions.assign(d, known_versions(spark, sf_dir)))
 
 
