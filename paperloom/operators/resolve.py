@@ -153,11 +153,14 @@ def quarantine(decisions: DataFrame) -> DataFrame:
 
 
 def apply_reviews(decisions: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(decisions with their reviews applied, violations: unknown decision, several reviews, not a conflict)."""
+    """(decisions with their reviews applied, violations: unknown decision, several reviews, not a conflict).
+
+    A decision that was made for several copies has a row each; its reviews are judged once."""
     r = reviews.select(F.col("original_decision_id").alias("decision_id"), "review_id", F.col("outcome").alias("r_outcome"), F.col("family_id").alias("r_family"), F.col("matched_version_id").alias("r_version"))
     counted = r.withColumn("n", F.count("*").over(W.partitionBy("decision_id")))
-    known = decisions.select("decision_id", F.col("outcome").alias("was"))
-    bad = counted.join(known, "decision_id", "left").select("review_id", F.when(F.col("was").isNull(), "unknown_decision").when(F.col("n") > 1, "duplicate_review").when(F.col("was") != "CONFLICT", "not_a_conflict").alias("violation")).where("violation IS NOT NULL")
+    known = decisions.select("decision_id", F.col("outcome").alias("was")).distinct()
+    judged = counted.join(known, "decision_id", "left").withColumn("violation", F.when(F.col("was").isNull(), "unknown_decision").when(F.col("n") > 1, "duplicate_review").when(F.col("was") != "CONFLICT", "not_a_conflict"))
+    bad = judged.where("violation IS NOT NULL").select("review_id", "violation")
     good = r.join(bad, "review_id", "left_anti")
     out = decisions.join(good, "decision_id", "left")
     new = F.col("review_id").isNotNull()
