@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -41,21 +44,32 @@ def lineage(commits: DataFrame, inputs: DataFrame) -> DataFrame:
 def free_names(files: DataFrame) -> DataFrame:
     """One copy of each content under a name of its own, in order of path: the first file of a content; a taken name gets -1, -2, ... before its suffix, as long as that is taken too.
 
-    Only names that are equal but for such endings can meet, so they are gone through together, in order."""
+    Only names that are equal but for such endings can meet, so they are gone through together, in order, as a stream:
+    what is held is the names taken so far and, by stem, the number that was reached, as a taken name stays taken."""
     first = files.withColumn("nth", F.row_number().over(W.partitionBy("sha256").orderBy("path"))).where("nth = 1").drop("nth")
     stem, suffix = F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 2)
-    own = first.withColumns({"stem": stem, "suffix": suffix}).withColumn("root", F.regexp_replace("stem", r"(-\d+)+$", ""))
-    groups = own.groupBy("root", "suffix").agg(F.array_sort(F.collect_list(F.struct("path", "sha256", "name", "stem"))).alias("files"))
-
-    def named(taken: Column, f: Column) -> Column:
-        n = F.size(taken)
-        others = F.transform(F.sequence(F.lit(1), n + 1), lambda k: F.concat(f["stem"], F.lit("-"), k, F.col("suffix")))
-        free = F.filter(F.concat(F.array(f["name"]), others), lambda x: ~F.array_contains(taken, x))
-        return F.array_append(taken, F.get(free, F.lit(0)))
-
-    names = F.aggregate("files", F.array().cast("array<string>"), named)
-    out = groups.select(F.explode(F.arrays_zip("files", names.alias("copy_name"))).alias("x"))
-    return out.select("x.files.path", "x.files.sha256", "x.copy_name")
+    own = first.select("path", "sha256", "name", stem.alias("stem"), suffix.alias("suffix")).withColumn("root", F.regexp_replace("stem", r"(-\d+)+$", ""))
+    ordered = own.repartition("root", "suffix").sortWithinPartitions("root", "suffix", "path", "sha256", "name")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, taken, reached = None, set(), {}
+        for b in batches:
+            names = []
+            for name, stem, suffix, root in zip(*(b.column(c).to_pylist() for c in ("name", "stem", "suffix", "root")), strict=True):
+                if group != (root, suffix):
+                    group, taken, reached = (root, suffix), set(), {}
+                free = name
+                if name in taken:
+                    k = reached.get(stem, 1)
+                    while (free := f"{stem}-{k}{suffix}") in taken:
+                        k += 1
+                    reached[stem] = k + 1
+                if name is not None:
+                    taken.add(free)
+                names.append(free)
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("sha256"), pa.array(names, pa.string())], names=["path", "sha256", "copy_name"])
+
+    return ordered.mapInArrow(named, "path string, sha256 string, copy_name string")
 
 
 def heading_lines(lines: DataFrame, above: float = 1.8, longest: int = 140) -> DataFrame:
