@@ -11,18 +11,19 @@ from paperloom.operators import checks, merging, ocr
 from paperloom.operators import elements as E
 from paperloom.plans.registry import query
 from paperloom.sources.files import walk_tree
-from paperloom.sources.tables import DETECTIONS_SQL, ELEMENTS_SQL, LINES_SQL, detections, elements, lines, table
+from paperloom.sources.tables import DETECTIONS_SQL, ELEMENTS_SQL, LINES_SQL, STORED, detections, elements, lines, table
 
 _CLEAN = f"{DETECTIONS_SQL}, clean AS (SELECT page, det_id, text, least(1.0, greatest(0.0, confidence)) AS confidence, x0, y0, x1, y1 FROM detections WHERE confidence >= 0.18 AND x1 > x0 AND y1 > y0)"
 
 
-def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.clean(detections(spark, sf_dir))
+def _clean(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
+    return ocr.clean(detections(spark, sf_dir, stored), ties=STORED if stored else ())
 
 
 @query(f"WITH {_CLEAN} SELECT page, det_id, text, confidence, x0, y0, x1, y1, row_number() OVER (PARTITION BY page ORDER BY y0, x0, det_id) AS nth FROM clean")
 def clean_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clean(spark, sf_dir).select("page", "det_id", "text", "confidence", "x0", "y0", "x1", "y1", "nth")
+    """Boxes alike in place and id come as they are stored."""
+    return _clean(spark, sf_dir, stored=True).select("page", "det_id", "text", "confidence", "x0", "y0", "x1", "y1", "nth")
 
 
 @query(f"WITH {_CLEAN}, m AS (SELECT DISTINCT page, y0 AS mark FROM clean), s AS (SELECT *, (mark - lag(mark) OVER w > 3)::INT AS new FROM m WINDOW w AS (PARTITION BY page ORDER BY mark)), r AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY page ORDER BY mark) AS run FROM s) SELECT page, round_even(median(mark), 0)::INT AS centre, count(*) AS members FROM r GROUP BY page, run")

@@ -57,8 +57,17 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, ELEMENTS, lines=lines(spark, sf_dir))
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, DETECTIONS, lineitem=table(spark, sf_dir, "lineitem"))
+#: Where a row is stored: what sets rows in order that are alike in all that a query orders by.
+STORED = ("stored_file", "stored_row")
+
+
+def detections(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
+    """Boxes of recognised text, with STORED if asked."""
+    rows = table(spark, sf_dir, "lineitem")
+    if not stored:
+        return _sql(spark, DETECTIONS, lineitem=rows)
+    at = rows.select("*", *[F.col(f"_metadata.{c}").alias(n) for n, c in zip(STORED, ("file_path", "row_index"), strict=True)])
+    return _sql(spark, DETECTIONS.replace("\n  FROM lineitem", f", {', '.join(STORED)}\n  FROM lineitem"), lineitem=at)
 
 
 def named(frame: DataFrame) -> DataFrame:
