@@ -58,7 +58,7 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def grid_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, grids = _clean(spark, sf_dir), _grids(spark, sf_dir)
-    return ocr.grid_markdown(ocr.grid_cells(own, grids), own, grids)
+    return ocr.grid_markdown(ocr.grid_cells(own, grids), _clean(spark, sf_dir, stored=True), grids, STORED)
 
 
 @query(f"WITH {_CELLS} SELECT page, det_id, text FROM spots WHERE NOT EXISTS (SELECT 1 FROM grids WHERE grids.page = spots.page AND cx BETWEEN xs[1] - 2 AND xs[4] + 2 AND cy BETWEEN ys[1] - 2 AND ys[3] + 2)")
