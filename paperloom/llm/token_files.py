@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from paperloom.llm.shared import arrow_schema, by_batch, tidy
-from paperloom.llm.units import library_encoder
+from paperloom.llm.units import library_encoder, library_table
 
 ENTRY = np.dtype([("id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("size", "<u4"), ("n", "<u4")])
 CONTAINER = "shard int, container int, first_id long, last_id long, docs int, tokens long, start long, width int, dictionary string, index binary, body binary"
@@ -80,7 +80,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3, write_content_size=True, **_codec(dictionary)).compress
-        encode, shard, number, start = library_encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
+        encode, shard, number, start = library_table(vocabulary), TaskContext.get().partitionId(), 0, 0
         ids, sizes, counts, frames, held = [], [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -93,8 +93,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
             return pa.RecordBatch.from_pydict(dict(zip(schema.names, [[x] for x in row], strict=True)), schema=schema)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.append(np.frombuffer(encode((text,))[0], "<u4"), np.uint32(end_id))
+            for doc, got in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
+                own = np.append(np.frombuffer(got, "<u4"), np.uint32(end_id))
                 frame = compress(packed(own, width))
                 ids.append(doc), sizes.append(len(frame)), counts.append(len(own)), frames.append(frame)
                 held += len(frame)

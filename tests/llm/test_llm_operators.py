@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,35 @@ def test_units_equal_the_whole_text(library):
         assert np.frombuffer(units.library_encoder(BYTE_BPE).one(t), "<u4").tolist() == library(t), t[:80]
 
 
+def test_tables_equal_the_whole_text(library, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice([*" \n\t\u3000'ab1,.!日€", " ", " word", " word,", " word.", "\nEté.", " x" * 30, "<|endoftext|>", " " + "long" * 20]) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    texts = pa.array([None, "", " ", "\n", " a", "\na", "a\n", "a ", "a,", " ,", " a,.", *[x for x in TEXTS if x], *texts], pa.string())
+    want = [library(t) for t in texts.to_pylist()]
+    for stretch, most in ((16 << 20, 450_000), (500, 450_000), (500, 30), (1, 3)):
+        monkeypatch.setattr(units, "STRETCH", stretch)
+        table = units.UnitTable(units.library_encoder(BYTE_BPE), most)
+        for part, own in ((texts, want), (texts.slice(7, 300), want[7:307]), (texts.cast(pa.large_string()), want), (texts.slice(0, 0), [])):
+            assert [np.frombuffer(x, "<u4").tolist() for x in table(part)] == own
+            assert len(table._units) <= most
+
+
+def test_units_are_encoded_once(library):
+    calls = []
+
+    def encode(u):
+        calls.append(u)
+        return np.array(library(u), "<u4").tobytes()
+
+    table = units.UnitTable(units.UnitEncoder(encode))
+    list(table(pa.array([" word word, word. other", " word, other."])))
+    assert sorted(u for u in calls if u[0] == " ") == [" other", " word"]
+    encoder = units.UnitEncoder(encode)
+    encoder.one("a  b word\tword"), calls.clear()
+    encoder.one("c  b word\tother")
+    assert " word" not in calls
+
+
 def test_op1_round_trip(spark, docs, empty, library):
     path = new_path(spark, "t1")
     token_files.write_token_files(docs, path, BYTE_BPE, 0, body_bytes=2000)
